@@ -23,7 +23,7 @@ import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY, SALT = "__key", "__salt"
@@ -55,9 +55,14 @@ def estimate_load(df: DataFrame, key: Column, max_keys: int = 256, sketch_items:
 
 def plan_shards(df: DataFrame, key: Column, tasks: int | None = None, split_share: float = 0.5, max_keys: int = 256, sketch_items: int = 20_000) -> ShardPlan:
     """Estimates loads, splits keys above `split_share` of a task's even load, bin-packs the shards and finds their salts."""
-    spark = df.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, loads = estimate_load(df, key, max_keys, sketch_items)
+    kind = df.select(key.alias(KEY)).schema[KEY].dataType.simpleString()
+    return plan_from_loads(df.sparkSession, rows, loads, kind, tasks, split_share)
+
+
+def plan_from_loads(spark: SparkSession, rows: int, loads: dict, kind: str, tasks: int | None = None, split_share: float = 0.5) -> ShardPlan:
+    """The plan for known or estimated loads of the heaviest keys, whose type is `kind`; keys under the split limit are left out."""
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = ShardPlan(rows, tasks, loads)
     limit = max(1.0, rows / tasks * split_share)
     heavy = {k: n for k, n in loads.items() if n >= limit}
@@ -71,11 +76,9 @@ def plan_shards(df: DataFrame, key: Column, tasks: int | None = None, split_shar
         held, t = heapq.heappop(bins)
         heapq.heappush(bins, (held + load, t))
         wanted.setdefault(k, []).append(t)
-    field_type = df.select(key.alias(KEY)).schema[KEY].dataType.simpleString()
-    keys = spark.createDataFrame([(k,) for k in wanted], f"{KEY} {field_type}")
-    candidates = spark.range(1, 1 + 12 * tasks).select(F.col("id").cast("int").alias(SALT))
-    found = (
-        keys.join(F.broadcast(candidates), how="cross")  # at most max_keys times 12 salts for each task, all of them numbers made here
+    keys = spark.createDataFrame([(k,) for k in wanted], f"{KEY} {kind}")
+    found = (  # at most as many keys as tasks / split_share, each with 12 candidate salts for each task
+        keys.select(KEY, F.explode(F.sequence(F.lit(1), F.lit(12 * tasks))).alias(SALT))
         .groupBy(KEY, F.pmod(F.hash(SALT, KEY), F.lit(tasks)).alias("task"))
         .agg(F.min(SALT).alias(SALT))
         .collect()
@@ -83,7 +86,7 @@ def plan_shards(df: DataFrame, key: Column, tasks: int | None = None, split_shar
     at = {(r[KEY], r["task"]): r[SALT] for r in found}
     for k, ts in wanted.items():
         spare = iter(range(12 * tasks + 1, 12 * tasks + 1 + len(ts)))
-        used = set()
+        used: set[int] = set()
         for t in ts:
             salt = at.get((k, t))
             if salt is None or salt in used:  # no candidate leads there, or the task has a shard of this key
