@@ -97,6 +97,14 @@ def plan_from_loads(spark: SparkSession, rows: int, loads: dict, kind: str, task
     return plan
 
 
+def plan_from_counts(counts: DataFrame, key: str, n: str, rows: int, split_share: float = 0.5) -> ShardPlan:
+    """The plan for a table of counts for each key. Only keys above the split limit reach the driver: at most tasks / `split_share`."""
+    spark = counts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heavy = counts.where((F.col(n) >= max(1.0, rows / tasks * split_share)) & F.col(key).isNotNull()).groupBy(key).agg(F.sum(n).alias("n"))
+    return plan_from_loads(spark, rows, {r[key]: r["n"] for r in heavy.collect()}, counts.schema[key].dataType.simpleString(), tasks, split_share)
+
+
 def _lookup(df: DataFrame, plan: ShardPlan) -> DataFrame:
     """The plan as a table to broadcast: at most `max_keys` rows."""
     kind = df.schema[KEY].dataType.simpleString()
