@@ -89,9 +89,7 @@ def copies(h: DataFrame, recs: DataFrame, row_id: str = "row_id") -> DataFrame:
     split over the tasks.
     """
     several = recs.where("copies > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("check").alias("rc"), "copies", "first")
-    tasks = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = recs.agg(F.sum("copies")).first()[0] or 0
-    heavy = several.where(F.col("copies") >= max(2, total // (2 * tasks))).groupBy("r1").agg(F.sum("copies").alias("n"))  # at most 2 * tasks rows
-    plan = skew.plan_from_loads(h.sparkSession, total, {r["r1"]: r["n"] for r in heavy.collect()}, "bigint", tasks)
+    plan = skew.plan_from_counts(several, "r1", "copies", total)
     joined = skew.join_by_key(h, several, F.col("h1"), F.col("r1"), plan=plan, spread=[F.col(row_id)])
     return joined.where((F.col("h2") == F.col("r2")) & (F.col("check") == F.col("rc")) & (F.col(row_id) > F.col("first"))).select("first", F.col(row_id).alias("copy"))

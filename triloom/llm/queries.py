@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.numbers import literal_number
-from triloom.llm import dedup, digest, frequency, pairs
+from triloom.llm import areas, dedup, digest, frequency, mixing, packing, pairs, tokenizer
 from triloom.llm.sql import SQL  # noqa: F401
 from triloom.plans.tables import table
 from triloom.session import written
@@ -86,4 +86,53 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return dedup.records(dedup.hashed(table(spark, d, "kg_file_reader"))).select(F.col("first").alias("first_row_id"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_lift, p3_found, p3_percentiles, p3_certified, p4_found, p4_word_counts, p6_found, p6_records)}
+def _sizes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents with their tokens, as a written table without the texts."""
+    return written(tokenizer.with_tokens(table(spark, d, "documents").select("doc_id", *columns, "text")), "sizes")
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, packed into each kind of container."""
+    return packing.packed(_sizes(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.fill(p7_pack(spark, d), table(spark, d, "pack_sizes"))
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    sizes = mixing.version_weights(_sizes(spark, d, "source", "docket"), "doc_id", "docket")
+    return mixing.mixed(written(sizes, "weighted"), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mix(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source reaches."""
+    return mixing.shares(written(_mix(spark, d), "mix"), table(spark, d, "mix_targets"))
+
+
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    names = sorted(r["area"] for r in table(spark, d, "subject_areas").where("area IS NOT NULL").select("area").distinct().collect())
+    return areas.scored(docs, areas.train(docs, table(spark, d, "area_labels"), names))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The areas that the dispute of each document is about."""
+    return _areas(spark, d)
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by area."""
+    return areas.composition(_areas(spark, d), table(spark, d, "documents"), table(spark, d, "subject_areas"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_lift, p3_found, p3_percentiles, p3_certified, p4_found, p4_word_counts, p6_found, p6_records, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_composition)
+}
