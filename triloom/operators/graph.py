@@ -46,8 +46,7 @@ def walk_table(edges: DataFrame, weighted: bool = False) -> DataFrame:
     e = out_index(edges, weighted)
     if weighted:
         e = e.where("w > 0")
-        deg = F.count("*").alias("next_deg")
-        stats = e.groupBy(F.col("subject").alias("__v")).agg(deg, F.max("tot_w").alias("next_tot"))
+        stats = e.groupBy(F.col("subject").alias("__v")).agg(F.max("out_deg").alias("next_deg"), F.max("tot_w").alias("next_tot"))
         part = lambda at: F.expr(f"CAST(({at}) AS DECIMAL(19,0)) * CAST(out_deg AS DECIMAL(19,0)) DIV CAST(tot_w AS DECIMAL(19,0))")
         slots = F.sequence(part("cum_w - w").cast("bigint"), part("cum_w - 1").cast("bigint"))
         e = e.withColumn("slot", F.explode(slots))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triloom.model import KGEmbedder, wide
 from triloom.operators import corpus, graph, literals, search, vocab, walks
 from triloom.plans.tables import table
 from triloom.session import written
@@ -212,6 +213,28 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"), F.count("*").alias("runs"))
 
 
+def _fitted(spark: SparkSession, d: str, **settings: object) -> DataFrame:
+    """Vectors of all words of `edge_df`, its numbers binned, after one epoch over walks from every vertex."""
+    m = KGEmbedder(spark, walk_number=1, walk_depth=2, vector_size=16, window_size=2, epochs=1, learning_rate=0.01, literal_predicates=LITERALS, literal_strategy="bin", **settings)
+    return m.fit_transform(_triples(spark, d))
+
+
+def fit_skipgram(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted(spark, d)
+
+
+def fit_cbow(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted(spark, d, embedding_model="cbow", batch_size=128)
+
+
+def fit_mllib(spark: SparkSession, d: str) -> DataFrame:
+    return _fitted(spark, d, backend="mllib")
+
+
+def transform_wide(spark: SparkSession, d: str) -> DataFrame:
+    return wide(_fitted(spark, d), 16)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -220,6 +243,7 @@ QUERIES = {
         start_replication, walk_uniform, walk_weighted, hop_fanout, walk_bfs, bfs_leaves,
         walk_tokens, token_counts, min_count_filter, skipgram_pairs, pair_totals, cbow_contexts,
         predict_center_topk, betweenness_small, run_summary,
+        fit_skipgram, fit_cbow, fit_mllib, transform_wide,
     )
 }
 
