@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, item: str = "token", vector: str = "embedding", query: str = "query_id", query_vector: str = "query", most_queries: int = 10_000) -> DataFrame:
@@ -24,16 +25,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, item: str = "token", v
     qt, it = queries.schema[query].dataType.simpleString(), vectors.schema[item].dataType.simpleString()
     if not rows:
         return vectors.sparkSession.createDataFrame([], f"{query} {qt}, rank int, {item} {it}, score double")
-    names = [r[0] for r in rows]
+    names, name_type = [r[0] for r in rows], to_arrow_type(queries.schema[query].dataType)
     q = np.array([r[1] for r in rows], dtype=np.float64)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scores = None, None
+        ids, scores, item_type = None, None, None
         for b in batches:
             if not b.num_rows:
                 continue
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            own = b.column(0).to_numpy(zero_copy_only=False)
+            own, item_type = b.column(0).to_numpy(zero_copy_only=False), b.column(0).type
             s, i = q @ v.T, np.broadcast_to(own, (len(q), len(own)))
             if ids is not None:
                 s, i = np.concatenate([scores, s], 1), np.concatenate([ids, i], 1)
@@ -41,7 +42,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, item: str = "token", v
             ids, scores = np.take_along_axis(i, order, 1), np.take_along_axis(s, order, 1)
         if ids is not None:
             width = ids.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(width)]), pa.array(ids.ravel()), pa.array(scores.ravel())], names=[query, item, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(width)], name_type), pa.array(ids.ravel(), item_type), pa.array(scores.ravel())], names=[query, item, "score"])
 
     near = vectors.where(F.col(vector).isNotNull()).select(item, vector).mapInArrow(best, f"{query} {qt}, {item} {it}, score double")
     order = Window.partitionBy(query).orderBy(F.desc("score"), item)

@@ -25,6 +25,7 @@ _IRI = re.compile(r"(?:https?://|urn:)[^\s\x00-\x20\x7f-\x9f�<>\"{}|\\^`]+")
 _IRI_START = re.compile(r"https?://|urn:")
 _BLANK_NODE = re.compile(r"_:[A-Za-z0-9]+")
 _BAD_IN_LITERAL = re.compile(r"[\x00-\x1f\x7f-\x9f�]")
+_BREAKS = re.compile(r"\r?\n")  # may stand in a quoted field that spans lines
 _TAG = re.compile(r"[A-Za-z]{2,3}(?:-[A-Za-z0-9]+)*")
 _WEIGHT = re.compile(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?", re.A)
 _DATATYPES = {
@@ -125,7 +126,7 @@ def _delimited(s: str, pos: int, end: int, sep: str, n_cols: int, multiline: boo
         raise Broken("value", at[0], "an IRI or a blank node as subject")
     if not _IRI.fullmatch(predicate):
         raise Broken("value", at[1], "an IRI as predicate")
-    if not (_IRI.fullmatch(obj) or (obj.strip() and not _IRI_START.match(obj) and not _BAD_IN_LITERAL.search(obj))):
+    if not (_IRI.fullmatch(obj) or (obj.strip() and not _IRI_START.match(obj) and not _BAD_IN_LITERAL.search(_BREAKS.sub("", obj) if multiline else obj))):
         raise Broken("value", at[2], "an IRI, a blank node or a literal as object")
     return Triple(subject, predicate, obj, _weight(fields[3], at[3]) if len(fields) > 3 else None, None), pos
 
@@ -273,7 +274,7 @@ def parse_line(raw: str | None, fmt: str | None, n_cols: int | None) -> Outcome:
     if is_no_record(text, fmt):
         return Outcome("none", 1, None, None, None, None)
     try:
-        triple, stop = _record(text, 0, end, fmt, n_cols, True)
+        triple, stop = _record(text, 0, end, fmt, n_cols, False)
         if stop != end:
             raise Broken("column_count", stop, "the line's end")
         return Outcome("record", 1, None, None, None, triple)
