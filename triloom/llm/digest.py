@@ -122,8 +122,8 @@ def merged(parts: DataFrame, key: str, delta: float = 200.0, fan_in: int = 64) -
         return pa.Table.from_batches(list(_emit(b, t.schema.field(key).type, key)))
 
     cols = [key, "n", "low", "high", "means", "weights"]
-    near = parts.select(*cols).withColumn("__part", F.floor(F.spark_partition_id() / fan_in))
-    first = near.groupBy(key, "__part").applyInArrow(merge, schema)
+    near = parts.select(*cols).withColumn("__round", F.floor(F.spark_partition_id() / fan_in))
+    first = near.groupBy(key, "__round").applyInArrow(merge, schema)
     return first.groupBy(key).applyInArrow(merge, schema)
 
 
@@ -173,23 +173,25 @@ def exact_quantiles(values: DataFrame, key: str, value: str, quantiles: list[flo
     `values` is read once for each pass: hand over a written table. Groups are
     those with at least one finite value; null keys are left out.
     """
-    v = values.select(F.col(key), F.col(value).cast("double").alias("v")).where(F.col(key).isNotNull() & (F.abs("v") < float("inf")))
+    named, key = key, "__key"
+    v = values.select(F.col(named).alias(key), F.col(value).cast("double").alias("v")).where(F.col(key).isNotNull() & (F.abs("v") < float("inf")))
     whole = merged(digests(v, key, "v", delta), key, delta)
     state = written(_brackets(whole, key, quantiles, reach), "brackets")
-    widen = reach
+    widen, left = reach, float("inf")
     while True:
         # (key, q, n, base, lo, hi): all rows of the group under lo are `below`
         hit = v.join(state, key).groupBy(key, "q", "n", "lo", "hi").agg(F.count(F.when(F.col("v") < F.col("lo"), 1)).alias("below"), F.count(F.when((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")), 1)).alias("inside"))
         place = F.col("q") * (F.col("n") - 1)
         hit = hit.withColumn("r0", F.floor(place)).withColumn("r1", F.ceil(place))
         counted = written(hit.withColumn("sure", (F.col("below") <= F.col("r0")) & (F.col("r1") < F.col("below") + F.col("inside"))), "counted")
-        worst = counted.agg(F.max("inside").alias("inside"), F.min("sure").alias("sure"), F.max(F.when(F.col("lo") < F.col("hi"), F.col("inside"))).alias("open")).first()
+        worst = counted.agg(F.max("inside").alias("inside"), F.min("sure").alias("sure"), F.max(F.when(F.col("lo") < F.col("hi"), F.col("inside"))).alias("open"), F.sum(F.when(F.col("lo") < F.col("hi"), F.col("inside"))).alias("all")).first()
         if worst["sure"] is False:
             inf = float("inf")
             lo = F.when(F.col("r0") < F.col("below"), -inf).otherwise(F.col("lo"))
             hi = F.when(F.col("r1") >= F.col("below") + F.col("inside"), inf).otherwise(F.col("hi"))
             state = counted.select(key, "q", "n", lo.alias("lo"), hi.alias("hi"))
-        elif (worst["open"] or 0) > most:
+        elif (worst["open"] or 0) > most and worst["all"] < left:  # without progress only repeated values are left
+            left = worst["all"]
             state = written(_narrowed(v, counted, key, delta, widen), "brackets")
             widen = min(0.4, widen * 2)
         else:
@@ -201,7 +203,7 @@ def exact_quantiles(values: DataFrame, key: str, value: str, quantiles: list[flo
     at = lambda r: F.max(F.when((F.col("begin") <= F.col(r)) & (F.col(r) < F.col("end")), F.col("v")))
     got = ranked.groupBy(key, "q", "n", "r0").agg(at("r0").alias("v0"), at("r1").alias("v1"))
     part = F.col("q") * (F.col("n") - 1) - F.col("r0")
-    return got.select(key, "q", "n", F.when(part == 0, F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * part).alias("quantile"))
+    return got.select(F.col(key).alias(named), "q", "n", F.when(part == 0, F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * part).alias("quantile"))
 
 
 def _brackets(digest: DataFrame, key: str, quantiles: list[float], reach: float) -> DataFrame:
@@ -218,9 +220,9 @@ def _brackets(digest: DataFrame, key: str, quantiles: list[float], reach: float)
 def _narrowed(v: DataFrame, counted: DataFrame, key: str, delta: float, reach: float) -> DataFrame:
     """Narrower brackets from digests of the rows inside the present ones."""
     name = F.to_json(F.struct(key, "q"))
-    inside = v.join(counted.select(key, "q", "lo", "hi"), key).where("v >= lo AND v <= hi").select(name.alias("g"), "v")
-    d = merged(digests(inside, "g", "v", delta), "g", delta)
-    c = counted.withColumn("g", name).join(d.select("g", F.col("low"), F.col("high"), "means", "weights"), "g")
+    inside = v.join(counted.select(key, "q", "lo", "hi"), key).where("v >= lo AND v <= hi").select(name.alias("__part"), "v")
+    d = merged(digests(inside, "__part", "v", delta), "__part", delta)
+    c = counted.withColumn("__part", name).join(d.select("__part", F.col("low"), F.col("high"), "means", "weights"), "__part")
     kind = counted.schema[key].dataType.simpleString()
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
