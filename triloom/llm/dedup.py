@@ -27,7 +27,7 @@ def composed(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Letters, digits and accents without regard to case; blanks, punctuation, symbols and invisible characters go."""
-    return F.lower(F.upper(F.regexp_replace(text, _NOT_COUNTED, "")))
+    return F.upper(F.regexp_replace(text, _NOT_COUNTED, ""))
 
 
 def canonical_object(text: Column) -> Column:

@@ -24,7 +24,7 @@ def _from(letter: str, own: str) -> str:
     return f"CASE instr(coalesce(field_order, 'spo'), '{letter}') {cases} ELSE {own} END"
 
 
-_CLEAN = "lower(upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')))"
+_CLEAN = "upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g'))"
 _AROUND = "[\\s\\p{Z}\\p{Cf}\"''“”„‟‘’‚‛«»‹›`´()\\[\\]{}<>]+"
 _BARE = f"regexp_replace(o, '^{_AROUND}|{_AROUND}$', '', 'g')"
 _KEYS = f"""f AS (SELECT row_id, nfc_normalize({_from("s", "subject")}) AS s, nfc_normalize({_from("p", "predicate")}) AS p, nfc_normalize({_from("o", "object")}) AS o FROM kg_file_reader),
