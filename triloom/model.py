@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from triloom.config import WalkConfig
 from triloom.operators import corpus, graph, literals, vocab, walks
-from triloom.session import written
+from triloom.session import exists, written
 from triloom.sources import sinks
 from triloom.sources.readers import read_triples
 from triloom.track import build_tracker
@@ -81,7 +81,7 @@ class KGEmbedder:
         return self._prepare(self.read_data(path, col_map, read_kwargs))
 
     def _prepare(self, triples: DataFrame) -> DataFrame:
-        edges, _ = self.generate_vocab(self.handle_literals(triples))
+        edges, _ = self.generate_vocab(written(self.handle_literals(triples), "triples"))  # read several times from here on
         return self.construct_graph(edges)
 
     # --- walking and training ---
@@ -171,14 +171,12 @@ class KGEmbedder:
     def load(cls, spark: SparkSession, path: str) -> KGEmbedder:
         """A saved model. `transform` works; walking needs the data loaded again."""
         m = cls(spark, WalkConfig(**sinks.read_json(spark, f"{path}/config")))
-        jvm = spark.sparkContext._jvm
-        there = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(p))
-        if there(f"{path}/word2idx"):
+        if exists(spark, f"{path}/word2idx"):
             m.word2idx = spark.read.parquet(f"{path}/word2idx")
-        names = [n for n in ("in", "out", "weight", "bias") if there(f"{path}/model/{n}")]
+        names = [n for n in ("in", "out", "weight", "bias") if exists(spark, f"{path}/model/{n}")]
         if names:
             m.params = {n: np.array([r["row"] for r in spark.read.parquet(f"{path}/model/{n}").orderBy("token").collect()], dtype=np.float32) for n in names}
-        if there(f"{path}/vectors"):
+        if exists(spark, f"{path}/vectors"):
             m.vectors = spark.read.parquet(f"{path}/vectors")
         return m
 

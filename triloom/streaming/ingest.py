@@ -13,30 +13,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from triloom.operators import vocab
 from triloom.operators.ranking import globally_indexed
+from triloom.session import exists
 
 WORDS = "token int, word string, batch bigint"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def append_batch(triples: DataFrame, batch: int, folder: str) -> None:
     """Adds the words and edges of one batch to the tables `words` and `edges` of the folder."""
     spark = triples.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     known = _read(spark, f"{folder}/words", WORDS).where(F.col("batch") < batch)
     t = vocab.complete(triples).select(*vocab.TRIPLE).persist()
     fresh = vocab.terms(t).join(known.select("word"), "word", "left_anti")
     first = (known.agg(F.max("token")).first()[0] if known.head(1) else None)
     begin = 0 if first is None else first + 1
     new = globally_indexed(fresh, [F.col("word")], "i").select((F.col("i") + begin).cast("int").alias("token"), "word", F.lit(batch).alias("batch"))
-    new.write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/words")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/words")
     words = _read(spark, f"{folder}/words", WORDS).where(F.col("batch") <= batch).select("token", "word")
-    vocab.encoded(t, words).withColumn("batch", F.lit(batch)).write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/edges")
+    vocab.encoded(t, words).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/edges")
     t.unpersist()
 
 
