@@ -150,3 +150,10 @@ def test_metrics(spark):
     assert m.density == 0.5
     assert rows(graph.degree_distribution(edges(spark, [(0, 9, 1)]))) == [(1, 2)]
     assert rows(graph.top_k_by_degree(edges(spark, [(0, 9, 1), (0, 9, 2)]), 1), "vertex", "degree") == [(0, 2)]
+
+
+def test_imported_sequences(spark):
+    v = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (1, 2, -1), (2, 0, 6), (2, 1, 5), (2, 2, None)], "walk_id bigint, pos int, vertex int")
+    assert rows(walks.from_sequences(v)) == [(1, 0, 5, 6), (2, 0, 6, 5)]
+    t = spark.createDataFrame([(1, 0, 5), (1, 0, 5), (1, 1, None), (1, 2, -1)], "walk_id bigint, pos int, token int")
+    assert rows(corpus.unpadded(t)) == [(1, 0, 5)]

@@ -16,6 +16,11 @@ def tokens(hops: DataFrame) -> DataFrame:
     return hops.select("walk_id", F.explode(at).alias("t")).select("walk_id", "t.pos", "t.token")
 
 
+def unpadded(toks: DataFrame) -> DataFrame:
+    """Tokens of imported walks without padding (null or negative) and repeated rows; a position may keep several tokens."""
+    return toks.where("token >= 0").select("walk_id", "pos", "token").distinct()
+
+
 def token_counts(toks: DataFrame) -> DataFrame:
     """(token, n)."""
     return toks.groupBy("token").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triloom.functions.hashing import draw32
@@ -111,3 +111,15 @@ def bfs_walks(edges: DataFrame, starts: DataFrame | None = None, depth: int = 4,
     walk = (F.col("start").cast("bigint") * (1 << 31) + F.col("leaf")).alias("walk_id")
     hops = p.select(walk, F.posexplode(hop).alias("step", "hop")).select("walk_id", "step", "hop.src", "hop.dst")
     return fanned_out(hops, edges)
+
+
+def from_sequences(visits: DataFrame, walk: str = "walk_id", pos: str = "pos", vertex: str = "vertex") -> DataFrame:
+    """(walk_id, step, src, dst) of imported vertex sequences: each visit with the next of its own walk.
+
+    Null and negative vertices are padding. A walk's last visit has no hop, and
+    a hop never leads into another walk.
+    """
+    v = visits.where(f"{vertex} >= 0").select(F.col(walk).alias("walk_id"), F.col(pos).alias("__p"), F.col(vertex).alias("src"))
+    own = Window.partitionBy("walk_id").orderBy("__p", "src")
+    h = v.withColumn("step", (F.row_number().over(own) - 1).cast("int")).withColumn("dst", F.lead("src").over(own))
+    return h.where("dst IS NOT NULL").select("walk_id", "step", "src", "dst")

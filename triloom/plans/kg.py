@@ -184,7 +184,17 @@ def pair_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _given(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tokens").where("token >= 0").distinct()
+    return corpus.unpadded(table(spark, d, "tokens"))
+
+
+def tokens_unpadded(spark: SparkSession, d: str) -> DataFrame:
+    """The walks of the table `tokens` without padding and repeated deliveries."""
+    return _given(spark, d)
+
+
+def sequence_hops(spark: SparkSession, d: str) -> DataFrame:
+    """Hops between the entities (even positions) of those walks."""
+    return walks.from_sequences(_given(spark, d).where("pos % 2 = 0"), vertex="token")
 
 
 def cbow_contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +251,7 @@ QUERIES = {
         kg_triples, vocabulary, encode_edges, decode_edges, vertex_set, degree_stats, degree_table, degree_distribution, graph_density, out_degree_index, weight_index, nt_parse,
         literal_drop, literal_bin_uniform, literal_bin_quantile, predicate_local_name, numeric_coerce,
         start_replication, walk_uniform, walk_weighted, hop_fanout, walk_bfs, bfs_leaves,
-        walk_tokens, token_counts, min_count_filter, skipgram_pairs, pair_totals, cbow_contexts,
+        walk_tokens, tokens_unpadded, sequence_hops, token_counts, min_count_filter, skipgram_pairs, pair_totals, cbow_contexts,
         predict_center_topk, betweenness_small, run_summary,
         fit_skipgram, fit_cbow, fit_mllib, transform_wide,
     )
@@ -326,6 +336,8 @@ SQL = {
       SELECT walk_id, step, src, e.predicate AS predicate, dst FROM back JOIN e ON e.subject = src AND e.object = dst""",
     "bfs_leaves": f"{_BFS} SELECT start, v AS leaf, d AS depth FROM leaf",
     "walk_tokens": f"{_STREAM} SELECT walk_id, pos, token FROM k",
+    "tokens_unpadded": f"WITH {_GIVEN} SELECT walk_id, pos, token FROM k",
+    "sequence_hops": f"WITH {_GIVEN}, h AS (SELECT walk_id, CAST(row_number() OVER w - 1 AS INTEGER) AS step, token AS src, lead(token) OVER w AS dst FROM k WHERE pos % 2 = 0 WINDOW w AS (PARTITION BY walk_id ORDER BY pos, token)) SELECT * FROM h WHERE dst IS NOT NULL",
     "token_counts": f"{_STREAM} SELECT token, count(*) AS n FROM k GROUP BY 1",
     "min_count_filter": f"{_STREAM} SELECT walk_id, pos, token FROM k WHERE token IN (SELECT token FROM k GROUP BY 1 HAVING count(*) >= 5)",
     "skipgram_pairs": f"WITH {_GIVEN} SELECT c.token AS center, x.token AS context, count(*) AS n FROM k c JOIN k x ON x.walk_id = c.walk_id AND abs(x.pos - c.pos) BETWEEN 1 AND {WINDOW} GROUP BY 1, 2",
