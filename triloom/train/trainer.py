@@ -78,7 +78,7 @@ def local_epoch(model: object, params: dict[str, np.ndarray], data: tuple[np.nda
     return total, touched
 
 
-def fit(data: DataFrame, model: object, epochs: int = 5, rate: float = 0.0001, batch_size: int | None = None, seed: int = 42, partitions: int | None = None, max_parameters: int = MAX_PARAMETERS, rows_a_task: int = 1_000_000) -> Fit:
+def fit(data: DataFrame, model: object, epochs: int = 5, rate: float = 0.0001, batch_size: int | None = None, seed: int = 42, partitions: int | None = None, max_parameters: int = MAX_PARAMETERS, rows_a_task: int = 200_000) -> Fit:
     """Trains `model` on the columns it names. `batch_size` defaults to a hundredth of a partition's rows.
 
     A partition's rows are held as numpy arrays by its task; the number of
