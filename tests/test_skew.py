@@ -1,5 +1,7 @@
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -21,13 +23,44 @@ def test_heavy_keys_are_split_and_placed_apart(skewed):
     assert plan.shards("hot") == 4  # limit 1250 rows a shard, at most one for each task
     assert plan.shards("k1") == 1
     n = plan.tasks
-    placed = skew.with_shard(df, F.col("k"), plan, [F.col("id")]).withColumn("task", F.pmod(F.hash(skew.SALT, skew.KEY), F.lit(n)))
+    placed = skew.with_shard(df, F.col("k"), plan, [F.col("id")]).withColumn("task", F.pmod(F.hash(skew.KEY, skew.SALT), F.lit(n)))
     load = dict(rows(placed.groupBy("task").count()))
     assert max(load.values()) < 1.5 * plan.rows / n
     aimed = {(s, t) for s, t in zip(plan.salts["hot"], plan.places["hot"], strict=True)}
     assert set(rows(placed.where("k = 'hot'").select(skew.SALT, "task").distinct())) == aimed
 
 
+def test_many_heavy_keys_are_all_seen(spark):
+    df = spark.range(100_000).select((F.col("id") % 1000).alias("k"))
+    plan = skew.plan_shards(df, F.col("k"), tasks=4000)
+    assert len(plan.salts) == 1000
+    assert {len(s) for s in plan.salts.values()} == {9}  # 100 rows in shards of at most 12.5
+
+
+def test_plan_for_ten_thousand_tasks_is_fast_and_even(spark):
+    tasks, began = 10_000, time.time()
+    loads = {i: 60 for i in range(15_000)} | {-1: 1_000_000}
+    plan = skew.plan_from_loads(spark, 2_000_000, loads, "bigint", tasks)
+    assert time.time() - began < 20
+    assert plan.shards(-1) == tasks
+    held = Counter()
+    for k, ts in plan.places.items():
+        assert len(set(ts)) == len(ts)
+        for t in ts:
+            held[t] += loads[k] / len(ts)
+    assert max(held.values()) < 2_000_000 / tasks * 1.5
+
+
+def test_hashes_are_those_of_the_shuffle(spark):
+    df = spark.createDataFrame([(i * 7919 - 50_000, f"k{i}") for i in range(200)], "s int, k string")
+    got = df.select(F.hash("s").alias("a"), F.hash("k", "s").alias("b"), F.hash("k").alias("seed"), "s").collect()
+    s = np.array([r.s for r in got])
+    assert skew.hash_int(s, 42).tolist() == [r.a for r in got]
+    assert skew.hash_int(s, np.array([r.seed for r in got])).tolist() == [r.b for r in got]
+    v = spark.createDataFrame([(x,) for x in skew.spread_values(13)], "v int").repartition(13, "v").select("v", F.spark_partition_id().alias("p"))
+    assert [r.p for r in sorted(v.collect(), key=lambda r: skew.spread_values(13).index(r.v))] == list(range(13))
+
+
 def test_aggregate_has_each_key_once(skewed):
     df, counts = skewed
     got = skew.aggregate_by_key(df, F.col("k"), [F.count("*").alias("n"), F.max("id").alias("m")], [F.sum("n").alias("n"), F.max("m").alias("m")])
@@ -54,6 +87,8 @@ def test_empty_and_uniform(spark):
     empty = spark.createDataFrame([], "id int, k string")
     assert skew.aggregate_by_key(empty, F.col("k"), [F.count("*").alias("n")], [F.sum("n").alias("n")]).count() == 0
     assert skew.plan_shards(empty, F.col("k")).salts == {}
+    nulls = spark.createDataFrame([(None,)] * 50, "k string")
+    assert rows(skew.aggregate_by_key(nulls, F.col("k"), [F.count("*").alias("n")], [F.sum("n").alias("n")])) == [(None, 50)]
     even = spark.range(1000).select((F.col("id") % 500).alias("k"))
     assert skew.plan_shards(even, F.col("k")).salts == {}
 

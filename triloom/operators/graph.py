@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.operators import skew
-from triloom.operators.ranking import indexed_within
+from triloom.operators.ranking import globally_indexed, indexed_within
 from triloom.session import written
 
 WEIGHT_SCALE = 1000  # weights become whole numbers, so that running sums are the same everywhere
@@ -17,6 +17,12 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("subject", "object")).alias("vertex")).distinct()
 
 
+def whole_weight(weights: str = "weights") -> Column:
+    """Weights as whole numbers; null is 0, a negative one an error."""
+    bad = F.raise_error(F.lit("weights must not be negative")).cast("bigint")
+    return F.coalesce(F.when(F.col(weights) < 0, bad).otherwise(F.round(F.col(weights) * WEIGHT_SCALE).cast("bigint")), F.lit(0))
+
+
 def out_index(edges: DataFrame, weighted: bool = False) -> DataFrame:
     """Edges with `out_idx` (from 0, by object and predicate) and `out_deg` of their subject.
 
@@ -28,34 +34,48 @@ def out_index(edges: DataFrame, weighted: bool = False) -> DataFrame:
     order = [F.col("object"), F.col("predicate")]
     if not weighted:
         return indexed_within(e, "subject", order, "out_idx", "out_deg")
-    bad = F.raise_error(F.lit("weights must not be negative")).cast("bigint")
-    w = F.coalesce(F.when(F.col("weights") < 0, bad).otherwise(F.round(F.col("weights") * WEIGHT_SCALE).cast("bigint")), F.lit(0))
-    return indexed_within(e.withColumn("w", w).drop("weights"), "subject", [*order, F.col("w")], "out_idx", "out_deg", "w")
+    return indexed_within(e.withColumn("w", whole_weight()).drop("weights"), "subject", [*order, F.col("w")], "out_idx", "out_deg", "w")
 
 
-def walk_table(edges: DataFrame, weighted: bool = False) -> DataFrame:
-    """What a walk needs of each edge, as a written table.
+def walk_table(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What walks need, as two written tables: vertices with edges, and edges by position.
 
-    (subject, slot, predicate, object, out_deg, next_deg), if `weighted` also
-    (w, cum_w, tot_w, next_tot). `slot` is the out index, so a hub's edges
-    spread over many join keys; weighted, the range of weights of each subject
-    is cut into as many equal slots as it has edges, and an edge has a row for
-    each slot it reaches into, two on average. `next_*` are of the object, so a
+    Edges have positions in the order of subject, object and predicate; those
+    of a vertex are the `deg` ones from `first` on. A step draws a position, so
+    its join key is unique among the edges and a hub is no heavier a key than
+    any other vertex. Each edge carries `first` and `deg` of its object, so a
     step needs no other join.
+
+    Weighted, positions are of slots: the range of weights of each vertex is
+    cut into as many equal slots as it has edges with weight, and an edge has a
+    row for each slot it reaches into, two on average. `base` and `tot` are
+    where the vertex's weights begin in the running sum `run` of all edges, and
+    how much they are.
+
+    Vertices: (v, first, deg[, base, tot]). Edges: (pos, subject, predicate,
+    object, next_first, next_deg[, w, run, next_base, next_tot]).
     """
-    e = out_index(edges, weighted)
+    e = edges.select("subject", "predicate", "object", *(["weights"] if weighted else []))
+    order = [F.col("subject"), F.col("object"), F.col("predicate")]
+    own = [F.min("pos").alias("first"), F.count("*").alias("deg")]
     if weighted:
-        e = e.where("w > 0")
-        stats = e.groupBy(F.col("subject").alias("__v")).agg(F.max("out_deg").alias("next_deg"), F.max("tot_w").alias("next_tot"))
-        part = lambda at: F.expr(f"CAST(({at}) AS DECIMAL(19,0)) * CAST(out_deg AS DECIMAL(19,0)) DIV CAST(tot_w AS DECIMAL(19,0))")
-        slots = F.sequence(part("cum_w - w").cast("bigint"), part("cum_w - 1").cast("bigint"))
-        e = e.withColumn("slot", F.explode(slots))
+        e = e.withColumn("w", whole_weight()).drop("weights").where("w > 0")
+        g = globally_indexed(e, [*order, F.col("w")], "pos", ("w", "run"))
+        own += [F.min(F.col("run") - F.col("w")).alias("base"), F.sum("w").alias("tot")]
     else:
-        stats = e.groupBy(F.col("subject").alias("__v")).agg(F.max("out_deg").alias("next_deg"))
-        e = e.withColumnRenamed("out_idx", "slot")
-    joined = skew.join_by_key(e, stats, F.col("object"), F.col("__v"), "left").drop("__v")
-    keep = ["subject", "slot", "predicate", "object", "out_deg", "next_deg"] + (["w", "cum_w", "tot_w", "next_tot"] if weighted else [])
-    return written(joined.select(*keep), "walk-table")
+        g = globally_indexed(e, order, "pos")
+    v = written(g.groupBy(F.col("subject").alias("v")).agg(*own), "walk-vertices")
+    more = []
+    if weighted:
+        total = v.agg(F.sum("deg")).first()[0] or 0
+        g = skew.join_by_key(g, v, F.col("subject"), F.col("v"), plan=skew.plan_from_counts(v, "v", "deg", total), spread=[F.col("pos")])
+        part = lambda at: F.expr(f"CAST(({at}) - base AS DECIMAL(19,0)) * CAST(deg AS DECIMAL(19,0)) DIV CAST(tot AS DECIMAL(19,0))")
+        slots = F.sequence(part("run - w").cast("bigint"), part("run - 1").cast("bigint"))
+        g = g.withColumn("__slot", F.explode(slots)).withColumn("pos", F.col("first") + F.col("__slot")).drop("v", "first", "deg", "base", "tot", "__slot")
+        more = ["w", "run", "next_base", "next_tot"]
+    nexts = v.select(F.col("v").alias("__v"), *[F.col(c).alias(f"next_{c}") for c in v.columns if c != "v"])
+    joined = skew.join_by_key(g, nexts, F.col("object"), F.col("__v"), "left", spread=[F.col("pos")])
+    return v, written(joined.select("pos", "subject", "predicate", "object", "next_first", "next_deg", *more), "walk-table")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

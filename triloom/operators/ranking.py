@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triloom.operators import skew
-from triloom.session import written
+from triloom.session import local_table, written
 
 _SHIFT = 33  # partition number and place in a monotonically increasing id
 
@@ -40,7 +40,7 @@ def globally_indexed(df: DataFrame, order: Sequence[Column], into: str = "gidx",
     sums = [F.count("*").alias("n")] + ([F.sum(running[0]).alias("s")] if running else [])
     parts = t.groupBy("__part").agg(*sums).collect()  # one row for each partition
     rows = [(p, o, s) for (p, o), (_, s) in zip(_offsets({r["__part"]: r["n"] for r in parts}), _offsets({r["__part"]: r["s"] if running else 0 for r in parts}), strict=True)]
-    look = spark.createDataFrame(rows, "__part bigint, __before bigint, __sum bigint")
+    look = local_table(spark, rows, "__part bigint, __before bigint, __sum bigint")
     t = t.join(F.broadcast(look), "__part").withColumn(into, F.col("__before") + F.col("__at"))
     if running:
         upto = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
@@ -59,7 +59,7 @@ def indexed_within(df: DataFrame, group: str, order: Sequence[Column], into: str
     first = [F.min("__g").alias("__first"), F.count("*").alias(size)]
     if weight:
         first += [F.sum(weight).alias("tot_w"), F.min(F.col("__run") - F.col(weight)).alias("__base")]
-    stats = g.groupBy(F.col(group).alias("__grp")).agg(*first)
+    stats = written(g.groupBy(F.col(group).alias("__grp")).agg(*first), "group-stats")
     rows = stats.agg(F.sum(size)).first()[0] or 0
     plan = skew.plan_from_counts(stats, "__grp", size, rows)
     out = skew.join_by_key(g, stats, F.col(group), F.col("__grp"), plan=plan, spread=[F.col("__g")])

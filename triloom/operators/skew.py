@@ -1,16 +1,18 @@
 """Per-key results where a few keys hold most rows: fragment and replicate by estimated load.
 
-1. One pass with a mergeable heavy-hitter sketch of fixed size estimates the
-   rows of the heaviest keys (`estimate_load`).
+1. One pass with mergeable heavy-hitter sketches estimates the rows of the
+   heaviest keys (`estimate_load`). As many keys are followed as can lie above
+   the split limit, so the sketch grows with the tasks, not with the data.
 2. The driver splits every key above a share of a task's even load into
-   proportionate shards and bin-packs the shards, largest first, onto the
-   reduce tasks (`plan_shards`). The plan has at most `max_keys` keys.
-3. Each shard gets a salt. Of a few thousand candidate salts that one is taken
-   whose hash, as Spark's shuffle computes it, leads to the shard's task
-   (`ShardPlan`). All other keys have the salt 0 and go where their hash leads.
+   proportionate shards and bin-packs the shards, largest first, onto the least
+   loaded of the reduce tasks that their candidate salts lead to
+   (`plan_from_loads`). A shard has a fixed number of candidates, whose hashes
+   the driver computes as Spark's shuffle does, so the plan is linear in shards.
+3. Keys under the limit are not planned: each is less than `split_share` of a
+   task's load, and they go where their hash leads, with the salt 0.
 4. Rows get the salt of their key's shard (`with_shard`). Aggregates combine
-   before the shuffle by (salt, key) and merge a key's shards afterwards
-   (`aggregate_by_key`). Joins shuffle by (salt, key) and copy of the other
+   before the shuffle by (key, salt) and merge a key's shards afterwards
+   (`aggregate_by_key`). Joins shuffle by (key, salt) and copy of the other
    side only the rows of split keys, once for each of their shards
    (`join_by_key`).
 
@@ -19,14 +21,20 @@ A salt only steers where rows go: results don't depend on the estimates.
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triloom.session import local_table
+
 KEY, SALT = "__key", "__salt"
+CANDIDATES = 16  # salts that are tried for each shard
+MOST_TRACKED = 1_000_000  # what Spark's sketch allows
+_GROUPS = 64  # partial sketches that one task merges
 
 
 @dataclass
@@ -43,87 +51,134 @@ class ShardPlan:
         return len(self.salts.get(key, [0]))
 
 
-def estimate_load(df: DataFrame, key: Column, max_keys: int = 256, sketch_items: int = 20_000) -> tuple[int, dict]:
-    """Number of rows and estimated rows of the heaviest keys, null included, from one pass over the key column.
+def hash_int(values: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """Spark's 32-bit Murmur3 of whole numbers (int), from the hash of what stands before them."""
+    u = lambda x: np.asarray(x).astype(np.int64).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        k = u(values) * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = u(seed) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return (h ^ (h >> np.uint32(16))).astype(np.int32)
 
-    The sketch overestimates a key by at most about 4 / `sketch_items` of the
-    rows. Partial sketches are combined before they leave a task.
-    """
-    r = df.select(key.alias(KEY)).selectExpr(f"approx_top_k({KEY}, {max_keys}, {sketch_items}) AS top", "count(*) AS n").first()
-    return r["n"], {x["item"]: x["count"] for x in r["top"] or []}
+
+def spread_values(n: int) -> list[int]:
+    """n whole numbers (int) of which the i-th goes to the i-th of n partitions when Spark shuffles by it."""
+    out = np.full(n, -1, np.int64)
+    begin, step = 0, max(64, int(4 * n * (1 + math.log(n + 1))))
+    while (out < 0).any():
+        at = np.arange(begin, begin + step)
+        to, first = np.unique(np.mod(hash_int(at, 42).astype(np.int64), n), return_index=True)
+        open_ = out[to] < 0
+        out[to[open_]] = at[first[open_]]
+        begin += step
+    return out.tolist()
+
+
+def tasks_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_shards(df: DataFrame, key: Column, tasks: int | None = None, split_share: float = 0.5, max_keys: int = 256, sketch_items: int = 20_000) -> ShardPlan:
+def _tracked(tasks: int, split_share: float) -> tuple[int, int]:
+    """Keys that may lie above the limit, and items a sketch has to follow so that its error (about 4 / items) is an eighth of the limit."""
+    keys = math.ceil(tasks / split_share)
+    return keys, max(10_000, 32 * keys)
+
+
+def estimate_loads(df: DataFrame, keys: dict[str, Column], tasks: int, split_share: float = 0.5) -> tuple[int, dict[str, dict]]:
+    """Number of rows, and for each named key the estimated rows of its heaviest values, null included, from one pass.
+
+    Partial sketches of tasks are merged in two rounds. With so many tasks that
+    Spark's sketch is too small (above 15,625) keys are counted exactly.
+    """
+    most, items = _tracked(tasks, split_share)
+    if items > MOST_TRACKED:
+        rows = df.count()
+        limit = rows / tasks * split_share
+        exact = {n: {r[KEY]: r["n"] for r in df.select(k.alias(KEY)).groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") >= limit).collect()} for n, k in keys.items()}
+        return rows, exact
+    cols = df.select(*[k.alias(n) for n, k in keys.items()])
+    near = cols.groupBy(F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("__g")).agg(*[F.expr(f"approx_top_k_accumulate(`{n}`, {items})").alias(n) for n in keys], F.count("*").alias("__n"))
+    whole = near.groupBy(F.lit(1)).agg(*[F.expr(f"approx_top_k_combine(`{n}`, {items})").alias(n) for n in keys], F.sum("__n").alias("__n"))
+    r = whole.select(*[F.expr(f"approx_top_k_estimate(`{n}`, {most})").alias(n) for n in keys], "__n").first()
+    return (r["__n"], {n: {x["item"]: x["count"] for x in r[n] or []} for n in keys}) if r else (0, {n: {} for n in keys})
+
+
+def estimate_load(df: DataFrame, key: Column, tasks: int | None = None, split_share: float = 0.5) -> tuple[int, dict]:
+    """As `estimate_loads`, of one key."""
+    rows, loads = estimate_loads(df, {KEY: key}, tasks or tasks_of(df.sparkSession), split_share)
+    return rows, loads[KEY]
+
+
+def plan_each(df: DataFrame, keys: dict[str, Column], tasks: int | None = None, split_share: float = 0.5) -> dict[str, ShardPlan]:
+    """A plan for each named key, all from one pass."""
+    tasks = tasks or tasks_of(df.sparkSession)
+    rows, loads = estimate_loads(df, keys, tasks, split_share)
+    kinds = {n: df.select(k.alias(n)).schema[n].dataType.simpleString() for n, k in keys.items()}
+    return {n: plan_from_loads(df.sparkSession, rows, loads[n], kinds[n], tasks, split_share) for n in keys}
+
+
+def plan_shards(df: DataFrame, key: Column, tasks: int | None = None, split_share: float = 0.5) -> ShardPlan:
     """Estimates loads, splits keys above `split_share` of a task's even load, bin-packs the shards and finds their salts."""
-    rows, loads = estimate_load(df, key, max_keys, sketch_items)
-    kind = df.select(key.alias(KEY)).schema[KEY].dataType.simpleString()
-    return plan_from_loads(df.sparkSession, rows, loads, kind, tasks, split_share)
+    return plan_each(df, {KEY: key}, tasks, split_share)[KEY]
 
 
 def plan_from_loads(spark: SparkSession, rows: int, loads: dict, kind: str, tasks: int | None = None, split_share: float = 0.5) -> ShardPlan:
     """The plan for known or estimated loads of the heaviest keys, whose type is `kind`; keys under the split limit are left out."""
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or tasks_of(spark)
     plan = ShardPlan(rows, tasks, loads)
     limit = max(1.0, rows / tasks * split_share)
-    heavy = {k: n for k, n in loads.items() if n >= limit}
+    heavy = sorted(((k, n) for k, n in loads.items() if n >= limit), key=lambda x: (-x[1], repr(x[0])))
     if not heavy or tasks < 2:
         return plan
-    units = sorted(((n / s, k, i) for k, n in heavy.items() for s in [min(tasks, -(-n // int(limit)))] for i in range(s)), key=lambda u: (-u[0], repr(u[1]), u[2]))
-    even = (rows - sum(heavy.values())) / tasks  # what the other keys bring to every task
-    bins = [(even, t) for t in range(tasks)]
-    wanted: dict = {}
-    for load, k, _ in units:
-        held, t = heapq.heappop(bins)
-        heapq.heappush(bins, (held + load, t))
-        wanted.setdefault(k, []).append(t)
-    keys = spark.createDataFrame([(k,) for k in wanted], f"{KEY} {kind}")
-    found = (  # at most as many keys as tasks / split_share, each with 12 candidate salts for each task
-        keys.select(KEY, F.explode(F.sequence(F.lit(1), F.lit(12 * tasks))).alias(SALT))
-        .groupBy(KEY, F.pmod(F.hash(SALT, KEY), F.lit(tasks)).alias("task"))
-        .agg(F.min(SALT).alias(SALT))
-        .collect()
-    )
-    at = {(r[KEY], r["task"]): r[SALT] for r in found}
-    for k, ts in wanted.items():
-        spare = iter(range(12 * tasks + 1, 12 * tasks + 1 + len(ts)))
-        used: set[int] = set()
-        for t in ts:
-            salt = at.get((k, t))
-            if salt is None or salt in used:  # no candidate leads there, or the task has a shard of this key
-                salt = next(spare)
-            used.add(salt)
-            plan.salts.setdefault(k, []).append(salt)
-            plan.places.setdefault(k, []).append(t)
+    cut = [(n / s, k, s) for k, n in heavy for s in [min(tasks, -(-n // int(limit)))]]
+    keys = local_table(spark, [(k,) for _, k, _ in cut], f"{KEY} {kind}")
+    seeds = [r[0] for r in keys.select(F.hash(KEY)).collect()]  # one number for each key above the limit
+    held = np.full(tasks, (rows - sum(n for _, n in heavy)) / tasks)  # what the other keys bring to every task
+    for i in sorted(range(len(cut)), key=lambda i: -cut[i][0]):
+        load, k, shards = cut[i]
+        salts = np.arange(1, CANDIDATES * shards + 1)
+        to, first = np.unique(np.mod(hash_int(salts, seeds[i]).astype(np.int64), tasks), return_index=True)
+        take = np.argsort(held[to], kind="stable")[:shards]
+        held[to[take]] += load
+        plan.salts[k], plan.places[k] = salts[first[take]].tolist(), to[take].tolist()
     return plan
 
 
 def plan_from_counts(counts: DataFrame, key: str, n: str, rows: int, split_share: float = 0.5) -> ShardPlan:
     """The plan for a table of counts for each key. Only keys above the split limit reach the driver: at most tasks / `split_share`."""
     spark = counts.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks_of(spark)
     heavy = counts.where((F.col(n) >= max(1.0, rows / tasks * split_share)) & F.col(key).isNotNull()).groupBy(key).agg(F.sum(n).alias("n"))
     return plan_from_loads(spark, rows, {r[key]: r["n"] for r in heavy.collect()}, counts.schema[key].dataType.simpleString(), tasks, split_share)
 
 
 def _lookup(df: DataFrame, plan: ShardPlan) -> DataFrame:
-    """The plan as a table to broadcast: at most `max_keys` rows."""
+    """The plan as a table to broadcast: at most tasks / `split_share` keys, with at most tasks + keys salts among them."""
     kind = df.schema[KEY].dataType.simpleString()
-    return df.sparkSession.createDataFrame([(k, s) for k, s in plan.salts.items()], f"__k {kind}, __salts array<int>")
+    return local_table(df.sparkSession, [(k, s) for k, s in plan.salts.items()], f"__k {kind}, __salts array<int>")
 
 
 def with_shard(df: DataFrame, key: Column, plan: ShardPlan, spread: Sequence[Column] | None = None) -> DataFrame:
     """Adds the key and its shard's salt as `__key` and `__salt`.
 
     `spread` are columns that tell rows of a key apart (an id); without them
-    rows are dealt out by their place in the input.
+    all columns are taken. A row's shard follows from its content alone, so a
+    task that is run again deals rows out as before. Equal rows share a shard:
+    aggregates combine them before the shuffle, joins leave them to adaptive
+    splitting.
     """
+    by = F.xxhash64(*(spread or [F.col(f"`{c}`") for c in df.columns]))
     df = df.withColumn(KEY, key)
     if not plan.salts:
         return df.withColumn(SALT, F.lit(0))
-    by = F.xxhash64(*spread) if spread else F.monotonically_increasing_id()
+    df = df.withColumn("__by", by)
     joined = df.join(F.broadcast(_lookup(df, plan)), F.col(KEY).eqNullSafe(F.col("__k")), "left")
-    salt = F.coalesce(F.element_at("__salts", (F.pmod(by, F.size("__salts").cast("long")) + 1).cast("int")), F.lit(0))
-    return joined.withColumn(SALT, F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(salt)).drop("__k", "__salts")
+    salt = F.coalesce(F.element_at("__salts", (F.pmod("__by", F.size("__salts").cast("long")) + 1).cast("int")), F.lit(0))
+    return joined.withColumn(SALT, F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(salt)).drop("__k", "__salts", "__by")
 
 
 def aggregate_by_key(df: DataFrame, key: Column, partial: Sequence[Column], merge: Sequence[Column], plan: ShardPlan | None = None, spread: Sequence[Column] | None = None) -> DataFrame:
@@ -133,7 +188,7 @@ def aggregate_by_key(df: DataFrame, key: Column, partial: Sequence[Column], merg
     An empty table gives no rows.
     """
     plan = plan or plan_shards(df, key)
-    return with_shard(df, key, plan, spread).groupBy(SALT, KEY).agg(*partial).groupBy(KEY).agg(*merge)
+    return with_shard(df, key, plan, spread).groupBy(KEY, SALT).agg(*partial).groupBy(KEY).agg(*merge)
 
 
 def join_by_key(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, how: str = "inner", plan: ShardPlan | None = None, spread: Sequence[Column] | None = None) -> DataFrame:
@@ -153,5 +208,5 @@ def join_by_key(left: DataFrame, right: DataFrame, left_key: Column, right_key:
         r = r.join(F.broadcast(look), F.col("__rkey") == F.col("__k"), "left").withColumn("__rsalt", F.explode(F.coalesce("__salts", F.array(F.lit(0))))).drop("__k", "__salts")
     else:
         r = r.withColumn("__rsalt", F.lit(0))
-    out = with_shard(left, left_key, plan, spread).join(r, (F.col(SALT) == F.col("__rsalt")) & (F.col(KEY) == F.col("__rkey")), how)
+    out = with_shard(left, left_key, plan, spread).join(r, (F.col(KEY) == F.col("__rkey")) & (F.col(SALT) == F.col("__rsalt")), how)
     return out.drop(SALT, KEY, "__rsalt", "__rkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triloom.operators import skew
 from triloom.operators.ranking import globally_indexed
+from triloom.session import written
 
 TRIPLE = ["subject", "predicate", "object"]
 
@@ -29,26 +30,34 @@ def vocabulary(triples: DataFrame) -> DataFrame:
 def encoded(triples: DataFrame, vocab: DataFrame) -> DataFrame:
     """Triples in tokens; triples with a null or unknown term are left out, all other columns but the terms' stay.
 
-    Subjects and objects are skewed: their joins split heavy terms by estimated
-    load. Predicates are few but each frequent: the vocabulary is first cut to
-    the predicates that occur, and what is left is joined as its measured size
-    allows.
+    The terms of all three places are skewed: one pass estimates their loads,
+    and the joins split heavy terms. For the predicates the vocabulary is first
+    cut to those that occur, and written, so that its size is known and a small
+    one is broadcast without a shuffle of the triples.
     """
     t = complete(triples)
     v = vocab.select("token", "word")
-    for c in ("subject", "object"):
-        side = v.select(F.col("word").alias("__w"), F.col("token").alias(f"__{c}"))
-        t = skew.join_by_key(t, side, F.col(c), F.col("__w"), plan=skew.plan_shards(complete(triples), F.col(c))).drop("__w")
-    used = complete(triples).select(F.col("predicate").alias("__w")).distinct()
-    side = v.join(used, v["word"] == used["__w"], "left_semi").select(F.col("word").alias("__w"), F.col("token").alias("__predicate"))
-    t = t.join(side, F.col("predicate") == F.col("__w")).drop("__w")
+    used = t.select(F.col("predicate").alias("__w")).distinct()
+    few = written(v.join(used, v["word"] == used["__w"], "left_semi"), "predicates")
+    t = _looked_up(t, {"subject": v, "object": v, "predicate": few}, "word", "token")
     rest = [c for c in triples.columns if c not in TRIPLE]
     return t.select(*[F.col(f"__{c}").cast("int").alias(c) for c in TRIPLE], *rest)
 
 
+def _looked_up(rows: DataFrame, sides: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """Adds for each named column c the `value` of the row of its side whose `key` it is, as `__c`; rows without one leave."""
+    plans = skew.plan_each(rows, {c: F.col(c) for c in sides})
+    for c, side in sides.items():
+        s = side.select(F.col(key).alias("__w"), F.col(value).alias(f"__{c}"))
+        rows = skew.join_by_key(rows, s, F.col(c), F.col("__w"), plan=plans[c], spread=[F.col(x) for x in TRIPLE]).drop("__w")
+    return rows
+
+
 def decoded(edges: DataFrame, vocab: DataFrame) -> DataFrame:
     """Encoded triples as terms again."""
-    out = edges
-    for c in TRIPLE:
-        out = out.join(vocab.select(F.col("token").alias("__t"), F.col("word").alias(f"__{c}")), F.col(c) == F.col("__t")).drop("__t")
-    return out.select(*[F.col(f"__{c}").alias(c) for c in TRIPLE], *[c for c in edges.columns if c not in TRIPLE])
+    e = edges.dropna(subset=TRIPLE)
+    v = vocab.select("token", "word")
+    used = e.select(F.col("predicate").alias("__t")).distinct()
+    few = written(v.join(used, v["token"] == used["__t"], "left_semi"), "predicates")
+    e = _looked_up(e, {"subject": v, "object": v, "predicate": few}, "token", "word")
+    return e.select(*[F.col(f"__{c}").alias(c) for c in TRIPLE], *[c for c in edges.columns if c not in TRIPLE])

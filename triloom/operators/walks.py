@@ -1,8 +1,9 @@
 """Walks over the indexed edge table: uniform, by weight, and breadth-first.
 
 Every walk advances one hop a round, all walks together. A round is one join
-whose key holds the drawn edge's slot, so a hub's edges and the walks that
-leave it spread over many keys. Each round's hops are a written table: the next
+on the position of the drawn edge, so a hub's edges and the walks that leave it
+spread over many keys; positions that many walks draw (at vertices with few
+edges) are split by estimated load. Each round's hops are a written table: the next
 round starts from it, and no lineage grows.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triloom.functions.hashing import draw32
@@ -24,10 +25,10 @@ def replicated(starts: DataFrame, walk_number: int) -> DataFrame:
     """(walk_id, start, k): each distinct start `walk_number` times; walk_id is start * walk_number + k."""
     s = starts.toDF("start").where("start IS NOT NULL").distinct()
     s = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(walk_number - 1))))
-    return s.select((F.col("start").cast("bigint") * walk_number + F.col("k")).alias("walk_id"), "start", "k")
+    return s.select(walk_number_of(walk_number).alias("walk_id"), "start", "k")
 
 
-def random_walks(edges: DataFrame, starts: DataFrame | None = None, depth: int = 4, walk_number: int = 100, seed: int = 42, weighted: bool = False, multi_edge: str = "fanout", hashing: str = "md5") -> DataFrame:
+def random_walks(edges: DataFrame, starts: DataFrame | None = None, depth: int = 4, walk_number: int = 100, seed: int = 42, weighted: bool = False, multi_edge: str = "fanout", hashing: str = "xxhash64") -> DataFrame:
     """(walk_id, step, src, predicate, dst): the hops of walks of at most `depth` hops.
 
     Edges are drawn uniformly, parallel ones each for itself, or in proportion
@@ -40,28 +41,43 @@ def random_walks(edges: DataFrame, starts: DataFrame | None = None, depth: int =
         raise ValueError("multi_edge must be fanout or sample")
     if depth < 1 or walk_number < 1:
         raise ValueError("depth and walk_number must be at least 1")
-    table = graph.walk_table(edges, weighted)
-    first = table.select(F.col("subject").alias("cur"), F.col("out_deg").alias("deg"), *([F.col("tot_w").alias("tot")] if weighted else [])).distinct()
-    starts = graph.vertices(edges) if starts is None else starts
-    front = replicated(starts, walk_number).join(first, F.col("start") == F.col("cur")).drop("cur").withColumn("cur", F.col("start"))
+    v, table = graph.walk_table(edges, weighted)
+    here = v.columns[1:]
+    s = v if starts is None else starts.toDF("__start").where("__start IS NOT NULL").distinct().join(v, F.col("__start") == F.col("v"))
+    front = s.withColumnRenamed("v", "start").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(walk_number - 1))))
+    front = front.select(walk_number_of(walk_number).alias("walk_id"), "start", "k", *here)
     hops = []
     for step in range(depth):
-        f = front.withColumn("h", draw32(F.lit(seed), F.col("start"), F.col("k"), F.lit(step), method=hashing))
-        if weighted:
-            f = f.withColumn("target", F.expr("CAST(h AS DECIMAL(19,0)) * CAST(tot AS DECIMAL(19,0)) DIV CAST(4294967296 AS DECIMAL(10,0))"))
-            f = f.withColumn("slot", F.expr("CAST(target AS DECIMAL(19,0)) * CAST(deg AS DECIMAL(19,0)) DIV CAST(tot AS DECIMAL(19,0))"))
-            on = (F.col("cur") == F.col("subject")) & (f["slot"] == table["slot"]) & (F.col("cum_w") - F.col("w") <= F.col("target")) & (F.col("target") < F.col("cum_w"))
+        f = _drawn(front, seed, step, weighted, hashing).select("walk_id", "start", "k", *(["at", "target"] if weighted else ["at"]))
+        if step:  # before the first step each start has the same number of walks
+            f = written(f, f"front-{step}")
+            hop = skew.join_by_key(f, table, F.col("at"), F.col("pos"), spread=[F.col("walk_id")])
         else:
-            f = f.withColumn("slot", F.pmod("h", F.col("deg")))
-            on = (F.col("cur") == F.col("subject")) & (f["slot"] == table["slot"])
-        hop = f.join(table, on).select("walk_id", "start", "k", F.lit(step).alias("step"), F.col("cur").alias("src"), "predicate", F.col("object").alias("dst"), F.col("next_deg").alias("deg"), *([F.col("next_tot").alias("tot")] if weighted else []))
+            hop = f.join(table, F.col("at") == F.col("pos"))
+        if weighted:
+            hop = hop.where((F.col("run") - F.col("w") <= F.col("target")) & (F.col("target") < F.col("run")))
+        hop = hop.select("walk_id", "start", "k", F.lit(step).alias("step"), F.col("subject").alias("src"), "predicate", F.col("object").alias("dst"), *[F.col(f"next_{c}").alias(c) for c in here])
         hop = written(hop, f"hops-{step}")
-        hops.append(hop)
-        front = hop.where("deg IS NOT NULL").select("walk_id", "start", "k", F.col("dst").alias("cur"), "deg", *(["tot"] if weighted else []))
-    out = reduce(DataFrame.unionByName, hops).select(*HOP)
+        hops.append(hop.select(*HOP))
+        front = hop.where("deg IS NOT NULL").select("walk_id", "start", "k", *here)
+    out = reduce(DataFrame.unionByName, hops)
     return fanned_out(out.drop("predicate"), edges) if multi_edge == "fanout" else out
 
 
+def walk_number_of(walk_number: int) -> Column:
+    return F.col("start").cast("bigint") * walk_number + F.col("k")
+
+
+def _drawn(front: DataFrame, seed: int, step: int, weighted: bool, hashing: str) -> DataFrame:
+    """Adds the position `at` that the step draws, weighted also the place `target` in the running sum of weights."""
+    f = front.withColumn("h", draw32(F.lit(seed), F.col("start"), F.col("k"), F.lit(step), method=hashing))
+    if not weighted:
+        return f.withColumn("at", F.col("first") + F.pmod("h", F.col("deg")))
+    f = f.withColumn("__t", F.expr("CAST(h AS DECIMAL(19,0)) * CAST(tot AS DECIMAL(19,0)) DIV CAST(4294967296 AS DECIMAL(10,0))"))
+    slot = F.expr("CAST(__t AS DECIMAL(19,0)) * CAST(deg AS DECIMAL(19,0)) DIV CAST(tot AS DECIMAL(19,0))")
+    return f.withColumn("at", F.col("first") + slot).withColumn("target", F.col("base") + F.col("__t"))
+
+
 def fanned_out(hops: DataFrame, edges: DataFrame) -> DataFrame:
     """Hops (walk_id, step, src, dst) with a row for each edge between src and dst. Heavy pairs of vertices are split over the tasks."""
     key = lambda a, b: F.xxhash64(a, b)

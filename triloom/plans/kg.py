@@ -112,7 +112,7 @@ def start_replication(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _walk(spark: SparkSession, d: str, **more: object) -> DataFrame:
-    return walks.random_walks(_encoded(spark, d), depth=DEPTH, walk_number=WALKS, seed=SEED, **more)
+    return walks.random_walks(_encoded(spark, d), depth=DEPTH, walk_number=WALKS, seed=SEED, hashing="md5", **more)
 
 
 def walk_uniform(spark: SparkSession, d: str) -> DataFrame:

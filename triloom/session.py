@@ -1,12 +1,18 @@
-"""Session helpers: the shared work folder and tables written to cut lineage."""
+"""Session helpers: the shared work folder, tables written to cut lineage, and small tables of known size."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -58,7 +64,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """`df`, written as a table in the shared folder and read again.
 
     The table cuts the lineage and outlives a lost executor. It is removed when
-    the process ends.
+    the `scope` it was written in ends, else when the process ends.
     """
     path = fresh_path(df.sparkSession, name)
     w = df.write.option("compression", "zstd")
@@ -68,6 +74,56 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(tables: Sequence[str]) -> None:
+    """Removes tables that nothing reads any more, by path."""
+    gone = set(tables)
+    for spark, path in [w for w in _written if w[1] in gone]:
+        remove(spark, path)
+    _written[:] = [w for w in _written if w[1] not in gone]
+
+
+def mark() -> int:
+    """A point in the list of written tables; `release_since` takes it."""
+    return len(_written)
+
+
+def release_since(point: int) -> None:
+    release([path for _, path in _written[point:]])
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are removed at the end: what is wanted of them has to be written elsewhere or collected before."""
+    point = mark()
+    try:
+        yield
+    finally:
+        release_since(point)
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 48.0) -> int:
+    """Removes tables that processes now dead left in the work folder; how many. Choose an age that no running process has."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/triloom")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    limit = (time.time() - older_than_hours * 3600) * 1000
+    own = {path.rpartition("/")[2] for _, path in _written}
+    old = [x.getPath() for x in fs.listStatus(root) if x.getModificationTime() < limit and x.getPath().getName() not in own]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A small table of driver-side rows. Catalyst knows its size, so whether it is broadcast follows from that."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names), schema)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
