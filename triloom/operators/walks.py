@@ -45,21 +45,18 @@ def random_walks(edges: DataFrame, starts: DataFrame | None = None, depth: int =
     here = v.columns[1:]
     s = v if starts is None else starts.toDF("__start").where("__start IS NOT NULL").distinct().join(v, F.col("__start") == F.col("v"))
     front = s.withColumnRenamed("v", "start").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(walk_number - 1))))
-    front = front.select(walk_number_of(walk_number).alias("walk_id"), "start", "k", *here)
+    keep = ["walk_id", "start", "k", "at", *(["target"] if weighted else [])]
+    front = _drawn(front.withColumn("walk_id", walk_number_of(walk_number)), seed, 0, weighted, hashing).select(*keep)
     hops = []
     for step in range(depth):
-        f = _drawn(front, seed, step, weighted, hashing).select("walk_id", "start", "k", *(["at", "target"] if weighted else ["at"]))
-        if step:  # before the first step each start has the same number of walks
-            f = written(f, f"front-{step}")
-            hop = skew.join_by_key(f, table, F.col("at"), F.col("pos"), spread=[F.col("walk_id")])
-        else:
-            hop = f.join(table, F.col("at") == F.col("pos"))
+        # before the first step each start has the same number of walks; later many may have drawn the same position
+        hop = skew.join_by_key(front, table, F.col("at"), F.col("pos"), spread=[F.col("walk_id")]) if step else front.join(table, F.col("at") == F.col("pos"))
         if weighted:
             hop = hop.where((F.col("run") - F.col("w") <= F.col("target")) & (F.col("target") < F.col("run")))
         hop = hop.select("walk_id", "start", "k", F.lit(step).alias("step"), F.col("subject").alias("src"), "predicate", F.col("object").alias("dst"), *[F.col(f"next_{c}").alias(c) for c in here])
-        hop = written(hop, f"hops-{step}")
+        hop = written(_drawn(hop, seed, step + 1, weighted, hashing).select(*HOP, *keep[1:]), f"hops-{step}")
         hops.append(hop.select(*HOP))
-        front = hop.where("deg IS NOT NULL").select("walk_id", "start", "k", *here)
+        front = hop.where("at IS NOT NULL").select(*keep)
     out = reduce(DataFrame.unionByName, hops)
     return fanned_out(out.drop("predicate"), edges) if multi_edge == "fanout" else out
 
