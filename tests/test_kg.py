@@ -94,17 +94,18 @@ def test_weights_steer_the_walk(spark):
 def test_bfs_diamond(spark):
     e = edges(spark, [(0, 9, 1), (0, 9, 2), (1, 9, 3), (2, 8, 3), (3, 9, 0)])
     starts = spark.createDataFrame([(0,), (0,), (None,)], "v int")
-    assert rows(walks.bfs_paths(e, starts, 4)) == [(0, 2, [0, 2]), (0, 3, [0, 1, 3])]
+    assert rows(walks.bfs_leaves(e, starts, 4)) == [(0, 2, 1), (0, 3, 2)]
     w = 3
     assert rows(walks.bfs_walks(e, starts, 4).where(F.col("walk_id") == w)) == [(w, 0, 0, 9, 1), (w, 1, 1, 9, 3)]
-    assert rows(walks.bfs_paths(e, starts, 1)) == [(0, 1, [0, 1]), (0, 2, [0, 2])]
+    assert rows(walks.bfs_leaves(e, starts, 1)) == [(0, 1, 1), (0, 2, 1)]
+    assert rows(walks.bfs_walks(e, None, 4, starts_a_block=1)) == rows(walks.bfs_walks(e, None, 4))
     back = walks.bfs_walks(edges(spark, [(5, 9, 1), (1, 9, 7)]), spark.createDataFrame([(5,)], "v int"), 4, "subject")
     assert rows(back, "step", "src", "dst") == [(0, 1, 7), (1, 5, 1)]
 
 
 def test_sink_start_has_no_bfs_rows(spark):
     e = edges(spark, [(0, 9, 1)])
-    assert rows(walks.bfs_paths(e, spark.createDataFrame([(1,)], "v int"), 2)) == [(1, 1, [1])]
+    assert rows(walks.bfs_leaves(e, spark.createDataFrame([(1,)], "v int"), 2)) == [(1, 1, 0)]
     assert walks.bfs_walks(e, spark.createDataFrame([(1,)], "v int"), 2).count() == 0
 
 
@@ -140,6 +141,12 @@ def test_equal_centers_share_a_row(spark):
 def test_betweenness_of_a_path(spark):
     e = edges(spark, [(0, 9, 1), (1, 9, 2), (2, 9, 3), (1, 8, 2), (3, 9, 3)])
     assert rows(graph.betweenness(e)) == [(0, 0.0), (1, 2.0), (2, 2.0), (3, 0.0)]
+    assert rows(graph.betweenness(e, sources_a_block=2)) == rows(graph.betweenness(e))
+    m = graph.graph_statistics(e).first().asDict()
+    assert (m["mean_betweenness"], m["betweenness_error"], m["number_nodes"]) == (1.0, 0.0, 4)
+    part = graph.graph_statistics(e, sources=2, sources_a_block=1).first()
+    assert part["betweenness_error"] >= 0
+    assert graph.graph_statistics(e.limit(0)).first()["mean_betweenness"] is None
     two = edges(spark, [(0, 9, 1), (0, 9, 2), (1, 9, 3), (2, 9, 3)])
     assert rows(graph.betweenness(two)) == [(0, 0.0), (1, 0.5), (2, 0.5), (3, 0.0)]
 

@@ -11,24 +11,23 @@ from triloom.operators import search
 from triloom.track import build_tracker
 from triloom.train import models, trainer
 
-RNG = np.random.default_rng(1)
-NEG = RNG.integers(0, 6, (4, 3))
-FAR = RNG.integers(-2, 3, (4, 3))
 CONTEXT = np.array([[0, 1, -1], [2, -1, -1], [3, 3, 4], [5, 0, 1]])
 DIST = np.array([[-2, -1, 9], [1, 9, 9], [-1, 1, 2], [-2, 1, 2]])
 CENTER = np.array([1, 1, 3, 5])
 CASES = [
-    (models.SkipGram(6, 3, 3), (CENTER, np.array([2, 0, 3, 1])), {"negative": NEG}),
-    (models.Cbow(6, 3), (CONTEXT, CENTER), {}),
-    (models.OrderAwareSkipGram(6, 3, 3, 2), (CENTER, np.array([2, 0, 3, 1]), np.array([1, -2, 2, 0])), {"negative": NEG, "neg_distance": FAR}),
-    (models.OrderAwareCbow(6, 3, 3, 2), (CONTEXT, DIST, CENTER), {"negative": NEG}),
+    (models.SkipGram(6, 3, 3), (CENTER, np.array([2, 0, 3, 1])), None),
+    (models.Cbow(6, 3), (CONTEXT, CENTER), None),
+    (models.Cbow(6, 3), (CONTEXT, CENTER), np.array([0, 3, 4])),
+    (models.OrderAwareSkipGram(6, 3, 3, 2), (CENTER, np.array([2, 0, 3, 1]), np.array([1, -2, 2, 0])), None),
+    (models.OrderAwareCbow(6, 3, 3, 2), (CONTEXT, DIST, CENTER), np.array([2, 5])),
 ]
 
 
-@pytest.mark.parametrize(("model", "batch", "fixed"), CASES, ids=lambda x: type(x).__name__)
-def test_gradients_are_those_of_the_loss(model, batch, fixed):
-    p = {k: v.astype(np.float64) * 3 for k, v in model.params(np.random.default_rng(2)).items()}
-    _, grads = model.grads(p, batch, RNG, **fixed)
+@pytest.mark.parametrize(("model", "batch", "pool"), CASES, ids=lambda x: type(x).__name__)
+def test_gradients_are_those_of_the_loss(model, batch, pool):
+    p = {k: v.astype(np.float64) * 3 for k, v in model.params(2).items()}
+    at = {role: ids for role, (_, ids) in model.rows(batch, np.random.default_rng(1), pool).items()}
+    _, grads = model.grads(p, at)
     for name, table in p.items():
         dense = np.zeros_like(table)
         ids, g = grads[name]
@@ -37,40 +36,82 @@ def test_gradients_are_those_of_the_loss(model, batch, fixed):
         for i in np.ndindex(*table.shape):
             was = table[i]
             table[i] = was + 1e-5
-            up = model.grads(p, batch, RNG, **fixed)[0]
+            up = model.grads(p, at)[0]
             table[i] = was - 1e-5
-            down = model.grads(p, batch, RNG, **fixed)[0]
+            down = model.grads(p, at)[0]
             table[i] = was
             assert abs((up - down) / 2e-5 - dense[i]) < 1e-3
 
 
+def test_cbow_with_the_whole_vocabulary_is_the_full_softmax():
+    m = models.Cbow(6, 3)
+    p = m.params(2)
+    loss = m.grads(p, {r: i for r, (_, i) in m.rows((CONTEXT, CENTER), np.random.default_rng(1)).items()})[0]
+    h = np.array([np.mean([p["in"][t] for t in c if t >= 0], 0) for c in CONTEXT])
+    z = h @ p["weight"][:, :-1].T + p["weight"][:, -1]
+    assert abs(loss + np.log(np.exp(z)[np.arange(4), CENTER] / np.exp(z).sum(1)).mean()) < 1e-5
+
+
 def test_predict_center():
     m = models.OrderAwareCbow(6, 3, 3, 2)
-    p = m.params(np.random.default_rng(2))
+    p = m.params(2)
     top = m.predict_center(p, CONTEXT, DIST, 6)
     h = p["in"][(DIST[1, 0] + 2) * 6 + CONTEXT[1, 0]] + p["position"][DIST[1, 0] + 2]
     assert top[1].tolist() == np.argsort(-(p["out"] @ h), kind="stable").tolist()
     assert m.context_embeddings(p, -2).shape == (6, 3)
 
 
-def test_training_lowers_the_loss(spark):
-    data = spark.createDataFrame([(i % 10, (i % 10) ^ 1) for i in range(4000)], "center int, context int")
-    f = trainer.fit(data, models.SkipGram(10, 8, 3), epochs=4, rate=0.02, partitions=2)
+def vectors(f):
+    return {(r.t, r.row): np.frombuffer(r.vec, np.float32) for r in f.params.collect()}
+
+
+def test_one_shard_is_one_process(spark):
+    m = models.SkipGram(10, 8, 3)
+    data = spark.createDataFrame([(i % 10, (i % 10) ^ 1) for i in range(400)], "center int, context int").repartition(3)
+    f = trainer.fit(data, m, epochs=1, rate=0.02, batch_size=64)
+    c = np.sort(np.arange(400) % 10)
+    p = m.params(42)
+    ids = {k: np.arange(10) for k in p}
+    loss, _ = trainer.local_epoch(m, ids, p, np.arange(10), (c, c ^ 1), 0.02, 64, np.random.default_rng([42, 0, 0]))
+    assert abs(f.losses[0] - loss / 400) < 1e-9
+    got = vectors(f)
+    assert all(np.allclose(got[i, r], p[n][r], atol=1e-6) for i, n in enumerate(p) for r in range(10))
+
+
+def test_training_lowers_the_loss_and_repeats_itself(spark):
+    data = spark.createDataFrame([(i % 10, (i % 10) ^ 1) for i in range(4000)] + [(3, 2)] * 3000, "center int, context int")
+    f = trainer.fit(data, models.SkipGram(10, 8, 3), epochs=4, rate=0.02, rows_a_task=1000)
     assert len(f.losses) == 4
     assert f.losses[-1] < f.losses[0]
-    again = trainer.fit(data, models.SkipGram(10, 8, 3), epochs=1, rate=0.02, partitions=1)
-    assert again.losses == trainer.fit(data, models.SkipGram(10, 8, 3), epochs=1, rate=0.02, partitions=1).losses
+    again = trainer.fit(data.repartition(7), models.SkipGram(10, 8, 3), epochs=4, rate=0.02, rows_a_task=1000)
+    assert again.losses == f.losses
+    a, b = vectors(f), vectors(again)
+    assert all(np.array_equal(a[k], b[k]) for k in a)
     none = trainer.fit(data.limit(0), models.SkipGram(10, 8, 3))
     assert none.losses == []
-    with pytest.raises(ValueError, match="mllib"):
-        trainer.fit(data, models.SkipGram(10, 8, 3), max_parameters=5)
+    assert none.params.count() == 20
+
+
+def test_pool_smaller_than_the_vocabulary(spark):
+    data = spark.createDataFrame([(i % 300, (i + 1) % 300) for i in range(3000)], "center int, context int")
+    f = trainer.fit(data, models.SkipGram(9000, 4, 3, pool=50), epochs=2, rate=0.05, rows_a_task=1000)
+    assert f.losses[-1] < f.losses[0]
+    got, first = vectors(f), models.SkipGram(9000, 4).params(42)
+    assert len(got) == 18000
+    assert np.array_equal(got[0, 8999], first["in"][8999])  # no shard touched it
+    changed = sum(not np.array_equal(got[1, r], first["out"][r]) for r in range(300, 9000))
+    assert 0 < changed <= 2 * 3 * 50
 
 
 def test_other_models_train(spark):
-    cb = spark.createDataFrame([([i % 5, (i + 1) % 5], [-1, 1], (i + 2) % 5) for i in range(500)], "context array<int>, distance array<int>, center int")
-    for m in (models.Cbow(5, 4), models.OrderAwareCbow(5, 4, 2, 2)):
-        f = trainer.fit(cb, m, epochs=3, rate=0.05, batch_size=50)
+    cb = spark.createDataFrame([([i % 5, (i + 1) % 5], [-1, 1], (i + 2) % 5, i % 5) for i in range(500)], "context array<int>, distance array<int>, center int, one int")
+    for m in (models.Cbow(5, 4), models.Cbow(5, 4, pool=2), models.OrderAwareCbow(5, 4, 2, 2)):
+        f = trainer.fit(cb, m, epochs=3, rate=0.05, batch_size=50, rows_a_task=200)
         assert f.losses[-1] < f.losses[0]
+    sg = cb.selectExpr("one AS center", "center AS context", "2 AS distance")
+    f = trainer.fit(sg, models.OrderAwareSkipGram(5, 4, 2, 2), epochs=3, rate=0.05, batch_size=50)
+    assert f.losses[-1] < f.losses[0]
+    assert {(r.t, r.row) for r in f.params.collect()} == {(0, i) for i in range(5)} | {(1, i) for i in range(25)} | {(2, i) for i in range(5)}
 
 
 def test_pipeline(spark, tmp_path):

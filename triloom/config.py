@@ -11,11 +11,15 @@ class WalkConfig(BaseModel):
     """All settings, with their defaults.
 
     `multi_gpu`, `num_nodes`, `cpu_count` and `tune_batch_size` are accepted and
-    have no effect: Spark decides on parallelism.
+    have no effect: Spark decides on parallelism. `reproducible` holds in any
+    case: equal seeds give equal vectors. The backends `pytorch`, `gensim` and
+    `numpy` are one, in numpy.
     """
 
     model_config = ConfigDict(extra="forbid")
 
+    # The public names of the settings with their options, bounds and defaults.
+
     walk_strategy: Literal["random", "bfs"] = "random"
     walk_depth: int = Field(4, gt=0)
     walk_number: int = Field(100, gt=0)
@@ -47,5 +51,8 @@ class WalkConfig(BaseModel):
     literal_n_bins: int = Field(5, gt=1)
     literal_bin_strategy: Literal["quantile", "uniform"] = "quantile"
 
+    # Settings of this library's own.
+    order_aware: bool = False
+    starts_a_block: int | None = Field(None, gt=0)
     multi_edge: Literal["fanout", "sample"] = "fanout"
     bfs_order: Literal["path", "subject"] = "path"

@@ -5,28 +5,26 @@ from __future__ import annotations
 from types import TracebackType
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triloom import session
 from triloom.config import WalkConfig
 from triloom.operators import corpus, graph, literals, vocab, walks
-from triloom.session import exists, written
+from triloom.session import exists, mark, release_since, written
 from triloom.sources import sinks
 from triloom.sources.readers import read_triples
 from triloom.track import build_tracker
 from triloom.train import models, trainer
 
-_BLOCK = 50_000
-
-
 class KGEmbedder:
     """Embeddings of the terms of a knowledge graph.
 
     `load_data` (or `fit` with triples as strings) builds vocabulary and graph,
     `fit` walks and trains, `transform` returns (token, word, embedding) of the
     whole vocabulary; words that no walk reached keep their initial vectors.
+    Tables written on the way are removed when `fit` ends; those that results
+    read (edges, vocabulary, parameters) by `release`, or with the process.
     """
 
     def __init__(self, spark: SparkSession, config: WalkConfig | None = None, **settings: Any) -> None:
@@ -37,7 +35,7 @@ class KGEmbedder:
         self.tracker = build_tracker(self.config.tracker, self.config.tracker_kwargs)
         self.word2idx: DataFrame | None = None
         self.edges: DataFrame | None = None
-        self.params: dict[str, np.ndarray] | None = None
+        self.params: DataFrame | None = None
         self.vectors: DataFrame | None = None
         self.losses: list[float] = []
         self._started = False
@@ -48,7 +46,8 @@ class KGEmbedder:
         self._start()
         with self.tracker.stage("data_loading"):
             df = read_triples(self.spark, path, col_map, read_kwargs, self.config.walk_weighted)
-            self.tracker.log_params({"path": path, "columns": df.columns})
+            if self.tracker.enabled():
+                self.tracker.log_params({"data_path": path, "number_rows": df.count(), "number_columns": len(df.columns)})
         return df
 
     def handle_literals(self, triples: DataFrame) -> DataFrame:
@@ -81,8 +80,11 @@ class KGEmbedder:
         return self._prepare(self.read_data(path, col_map, read_kwargs))
 
     def _prepare(self, triples: DataFrame) -> DataFrame:
+        point = mark()
         edges, _ = self.generate_vocab(written(self.handle_literals(triples), "triples"))  # read several times from here on
-        return self.construct_graph(edges)
+        self.construct_graph(edges)
+        release_since(point, self.edges, self.word2idx)
+        return edges
 
     # --- walking and training ---
 
@@ -90,20 +92,26 @@ class KGEmbedder:
         c = self.config
         with self.tracker.stage("Walk_Generation"):
             if c.walk_strategy == "bfs":
-                hops = walks.bfs_walks(edges, starts, c.walk_depth, c.bfs_order)
+                hops = walks.bfs_walks(edges, starts, c.walk_depth, c.bfs_order, c.starts_a_block)
             else:
                 hops = walks.random_walks(edges, starts, c.walk_depth, c.walk_number, c.random_state, c.walk_weighted, c.multi_edge)
             return written(corpus.frequent(written(corpus.tokens(hops), "tokens"), c.min_count), "frequent")
 
     def walk_generation(self, edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-        """Training pairs: (center, context), or for cbow (context array, center)."""
+        """Training pairs: (center, context[, distance]), or for cbow (context array[, distance array], center); distances if the model is aware of order."""
         return self._pairs(self.walk_tokens(edges, starts))
 
     def _pairs(self, tokens: DataFrame) -> DataFrame:
         c = self.config
-        if c.embedding_model == "cbow":
-            return corpus.cbow_contexts(tokens, c.window_size).select("context", "center")
-        return corpus.skipgram_pairs(tokens, c.window_size).select("center", "context")
+        pairs = corpus.cbow_contexts if c.embedding_model == "cbow" else corpus.skipgram_pairs_with_distance if c.order_aware else corpus.skipgram_pairs
+        return pairs(tokens, c.window_size).select(*self._model(0).columns)
+
+    def _model(self, vocabulary: int) -> models.Model:
+        c = self.config
+        if c.order_aware:
+            kind = models.OrderAwareCbow if c.embedding_model == "cbow" else models.OrderAwareSkipGram
+            return kind(vocabulary, c.vector_size, c.negative_samples, c.window_size)
+        return models.Cbow(vocabulary, c.vector_size) if c.embedding_model == "cbow" else models.SkipGram(vocabulary, c.vector_size, c.negative_samples)
 
     def fit(self, edges: DataFrame, starts: DataFrame | None = None) -> KGEmbedder:
         """Walks and trains on encoded edges, or on triples as strings, which are loaded first."""
@@ -112,16 +120,16 @@ class KGEmbedder:
             edges = self._prepare(edges)
         if self.word2idx is None:
             raise ValueError("encoded edges need the vocabulary that load_data builds")
-        c = self.config
+        c, point = self.config, mark()
         tokens = self.walk_tokens(edges, starts)
         with self.tracker.stage("Word2Vec_Training"):
             if c.backend == "mllib":
                 self.vectors = written(trainer.fit_mllib(tokens, c.vector_size, c.window_size, c.min_count, c.epochs, c.learning_rate, c.random_state), "vectors")
+                release_since(point, self.vectors)
                 return self
-            n = self.word2idx.count()
-            m = models.Cbow(n, c.vector_size) if c.embedding_model == "cbow" else models.SkipGram(n, c.vector_size, c.negative_samples)
-            f = trainer.fit(self._pairs(tokens), m, c.epochs, c.learning_rate, c.batch_size, c.random_state)
+            f = trainer.fit(self._pairs(tokens), self._model(self.word2idx.count()), c.epochs, c.learning_rate, c.batch_size, c.random_state)
             self.params, self.losses = f.params, f.losses
+            release_since(point, self.params)
             for i, loss in enumerate(f.losses):
                 self.tracker.log_metrics({"train_loss": loss}, step=i)
         return self
@@ -131,7 +139,7 @@ class KGEmbedder:
         if self.word2idx is None or (self.params is None and self.vectors is None):
             raise ValueError("nothing is fitted yet")
         with self.tracker.stage("Embedding_Extraction"):
-            v = self.vectors if self.vectors is not None else self._as_table(self.params["in"], "embedding")
+            v = self.vectors if self.vectors is not None else self.context_table(self._model(0).output)
             out = self.word2idx.join(v, "token", "left" if self.vectors is not None else "inner").select("token", "word", "embedding")
             if entities_only:
                 if self.edges is None:
@@ -144,16 +152,11 @@ class KGEmbedder:
     def fit_transform(self, edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         return self.fit(edges, starts).transform()
 
-    def _as_table(self, matrix: np.ndarray, name: str) -> DataFrame:
-        """Rows of a matrix as (token, name), handed over in blocks."""
-        out = None
-        for i in range(0, max(1, len(matrix)), _BLOCK):
-            block = matrix[i : i + _BLOCK].astype(np.float32)
-            ends = np.arange(len(block) + 1, dtype=np.int32) * matrix.shape[1]
-            rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(block.ravel()))
-            df = self.spark.createDataFrame(pa.table({"token": pa.array(np.arange(i, i + len(block), dtype=np.int32)), name: rows}))
-            out = df if out is None else out.unionByName(df)
-        return out
+    def context_table(self, name: str) -> DataFrame:
+        """(token, embedding) of one of the model's tables; of an order-aware context table the row is (distance + window) * words + token."""
+        if self.params is None:
+            raise ValueError("nothing is fitted yet")
+        return trainer.table(self.params, self._model(self.word2idx.count()), name)
 
     # --- keeping ---
 
@@ -162,8 +165,8 @@ class KGEmbedder:
         sinks.write_json(self.spark, f"{path}/config", self.config.model_dump())
         if self.word2idx is not None:
             self.word2idx.write.mode("overwrite").parquet(f"{path}/word2idx")
-        for name, m in (self.params or {}).items():
-            self._as_table(m, "row").write.mode("overwrite").parquet(f"{path}/model/{name}")
+        if self.params is not None:
+            self.params.write.mode("overwrite").parquet(f"{path}/model")
         if self.vectors is not None:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
@@ -173,9 +176,8 @@ class KGEmbedder:
         m = cls(spark, WalkConfig(**sinks.read_json(spark, f"{path}/config")))
         if exists(spark, f"{path}/word2idx"):
             m.word2idx = spark.read.parquet(f"{path}/word2idx")
-        names = [n for n in ("in", "out", "weight", "bias") if exists(spark, f"{path}/model/{n}")]
-        if names:
-            m.params = {n: np.array([r["row"] for r in spark.read.parquet(f"{path}/model/{n}").orderBy("token").collect()], dtype=np.float32) for n in names}
+        if exists(spark, f"{path}/model"):
+            m.params = spark.read.parquet(f"{path}/model")
         if exists(spark, f"{path}/vectors"):
             m.vectors = spark.read.parquet(f"{path}/vectors")
         return m
@@ -185,15 +187,21 @@ class KGEmbedder:
             self.tracker.start_pipeline(self.config.tracker_run_name, {"backend": self.config.backend, "model": self.config.embedding_model})
             self._started = True
 
-    def close(self) -> None:
+    def close(self, failed: bool = False) -> None:
         if self._started:
+            self.tracker.set_tags({"status": "failed" if failed else "success"})
             self.tracker.close()
 
+    def release(self) -> None:
+        """Removes the tables of edges, vocabulary and parameters from the work folder; nothing can be read from this model afterwards."""
+        session.drop(*[t for t in (self.edges, self.word2idx, self.params, self.vectors) if t is not None])
+        self.edges = self.word2idx = self.params = self.vectors = None
+
     def __enter__(self) -> KGEmbedder:
         return self
 
     def __exit__(self, kind: type[BaseException] | None, value: BaseException | None, trace: TracebackType | None) -> None:
-        self.close()
+        self.close(failed=kind is not None)
 
 
 def wide(embeddings: DataFrame, size: int) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triloom.functions.hashing import draw32
 from triloom.operators import skew
 from triloom.operators.ranking import globally_indexed, indexed_within
-from triloom.session import written
+from triloom.session import drop, mark, release_since, written
 
 WEIGHT_SCALE = 1000  # weights become whole numbers, so that running sums are the same everywhere
 
@@ -97,44 +102,134 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
     return degrees(edges).groupBy("degree").agg(F.count("*").alias("vertices"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+@dataclass
+class SimpleGraph:
+    """Edges (subject, object) without parallel ones, as a written table, and how their hubs are split in joins on the subject."""
+
+    edges: DataFrame
+    plan: skew.ShardPlan
+
+    @classmethod
+    def of(cls, edges: DataFrame, loops: bool = True) -> SimpleGraph:
+        e = edges.select("subject", "object").where("subject IS NOT NULL AND object IS NOT NULL")
+        e = written((e if loops else e.where("subject <> object")).distinct(), "simple-edges")
+        return cls(e, skew.plan_shards(e, F.col("subject")))
+
+    def step(self, level: DataFrame) -> DataFrame:
+        """`level` (start, v, ...) with every edge that leaves v, as `object`."""
+        return skew.join_by_key(self.edges, level, F.col("subject"), F.col("v"), plan=self.plan, spread=[F.col("object")]).drop("subject")
+
+
+def bfs_levels(g: SimpleGraph, starts: DataFrame, depth: int | None = None) -> list[DataFrame]:
+    """Breadth-first trees of all `starts` (start): for each depth a written table (start, v, parent).
+
+    All starts advance together, one level a round. Of several parents at equal
+    depth a vertex keeps the smallest. The state has a row of three numbers for
+    each start and vertex it reaches: hand over starts in blocks.
+    """
+    first = starts.select("start", F.col("start").alias("v"), F.lit(None).cast(starts.schema["start"].dataType).alias("parent"))
+    levels = [written(first, "bfs-0")]
+    seen = levels[0].select("start", "v")
+    while depth is None or len(levels) <= depth:
+        near = g.step(levels[-1].select("start", "v")).groupBy("start", F.col("object").alias("new")).agg(F.min("v").alias("parent"))
+        near = near.join(seen.select(F.col("start").alias("__s"), F.col("v").alias("__v")), (F.col("start") == F.col("__s")) & (F.col("new") == F.col("__v")), "left_anti")
+        near = written(near.select("start", F.col("new").alias("v"), "parent"), f"bfs-{len(levels)}")
+        if not near.head(1):
+            drop(near)
+            break
+        levels.append(near)
+        seen = seen.unionByName(near.select("start", "v"))
+    return levels
+
+
+def start_blocks(starts: DataFrame, size: int) -> Iterator[DataFrame]:
+    """The distinct starts that aren't null, in blocks of at most `size`."""
+    s = starts.toDF("start").where("start IS NOT NULL").distinct()
+    placed = globally_indexed(s, [F.col("start")], "__i")
+    for block in range(-(-placed.count() // size)):
+        yield placed.where((F.col("__i") >= block * size) & (F.col("__i") < (block + 1) * size)).select("start")
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, sources_a_block: int = 1000) -> DataFrame:
     """(vertex, betweenness), unnormalised, over the simple graph without parallel edges and loops.
 
-    All sources advance together, one level a round: path counts forward, then
-    dependencies backward. The state has a row for each source and vertex it
-    reaches, so it is for small graphs or few `sources`. A graph deeper than
-    `max_depth` is an error.
+    The sum over `sources`, by default over all vertices, in blocks: those of a
+    block advance together, one level a round, path counts forward and then
+    dependencies backward. A block's state has a row for each of its sources
+    and vertex it reaches, and is removed when its sums are written.
     """
-    e = written(edges.where("subject <> object").select("subject", "object").distinct(), "simple-edges")
+    g = SimpleGraph.of(edges, loops=False)
     v = vertices(edges)
-    start = v if sources is None else sources.toDF("vertex").distinct()
-    level = written(start.select(F.col("vertex").alias("s"), F.col("vertex").alias("v"), F.lit(1.0).alias("sigma")), "level")
-    levels, seen = [level], level.select("s", "v")
+    sums = None
+    for block in start_blocks(v if sources is None else sources, sources_a_block):
+        point = mark()
+        part = written(_dependencies(g, block).groupBy("vertex").agg(F.sum("b").alias("b")), "betweenness")
+        release_since(point, part)
+        sums = part if sums is None else sums.unionByName(part)
+    if sums is None:
+        return v.withColumn("betweenness", F.lit(0.0))
+    total = sums.groupBy("vertex").agg(F.sum("b").alias("b"))
+    return v.join(total, "vertex", "left").select("vertex", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+
+
+def _dependencies(g: SimpleGraph, starts: DataFrame) -> DataFrame:
+    """(vertex, b): for each start what its shortest paths give the vertices inside them."""
+    levels = [written(starts.select("start", F.col("start").alias("v"), F.lit(1.0).alias("sigma")), "level")]
+    seen = levels[0].select("start", "v")
     while True:
-        if len(levels) > max_depth:
-            raise ValueError(f"deeper than {max_depth}")
-        near = levels[-1].join(e, F.col("v") == F.col("subject")).groupBy("s", F.col("object").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        near = written(near.join(seen, ["s", "v"], "left_anti"), "level")
+        near = g.step(levels[-1]).groupBy("start", F.col("object").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        near = written(near.join(seen, ["start", "v"], "left_anti"), "level")
         if not near.head(1):
             break
         levels.append(near)
-        seen = seen.unionByName(near.select("s", "v"))
-    below = None  # (s, v, sigma, delta) of the level beneath
-    out = None
+        seen = seen.unionByName(near.select("start", "v"))
+    below = None  # (start, v, sigma, delta) of the level beneath
+    out = starts.select(F.col("start").alias("vertex"), F.lit(0.0).alias("b"))
     for k in range(len(levels) - 1, 0, -1):
         here = levels[k]
         if below is None:
             here = here.withColumn("delta", F.lit(0.0))
         else:
-            b = below.select(F.col("s").alias("bs"), F.col("v").alias("bv"), ((1 + F.col("delta")) / F.col("sigma")).alias("part"))
-            got = here.join(e, F.col("v") == F.col("subject")).join(b, (F.col("s") == F.col("bs")) & (F.col("object") == F.col("bv"))).groupBy("s", "v").agg(F.sum("part").alias("p"))
-            here = here.join(got, ["s", "v"], "left").select("s", "v", "sigma", (F.col("sigma") * F.coalesce("p", F.lit(0.0))).alias("delta"))
+            b = below.select(F.col("start").alias("bs"), F.col("v").alias("bv"), ((1 + F.col("delta")) / F.col("sigma")).alias("part"))
+            got = g.step(here.select("start", "v")).join(b, (F.col("start") == F.col("bs")) & (F.col("object") == F.col("bv"))).groupBy("start", "v").agg(F.sum("part").alias("p"))
+            here = here.join(got, ["start", "v"], "left").select("start", "v", "sigma", (F.col("sigma") * F.coalesce("p", F.lit(0.0))).alias("delta"))
         below = written(here, "delta")
-        out = below if out is None else out.unionByName(below)
-    if out is None:
-        return v.withColumn("betweenness", F.lit(0.0))
-    total = out.groupBy(F.col("v").alias("vertex")).agg(F.sum("delta").alias("b"))
-    return v.join(total, "vertex", "left").select("vertex", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+        out = out.unionByName(below.select(F.col("v").alias("vertex"), F.col("delta").alias("b")))
+    return out
+
+
+def sampled_vertices(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(start): n vertices, or all if there are fewer: those of the smallest draws."""
+    v = vertices(edges).where("vertex IS NOT NULL")
+    return v.orderBy(draw32(F.lit(seed), F.col("vertex")), "vertex").limit(n).select(F.col("vertex").alias("start"))
+
+
+def graph_statistics(edges: DataFrame, sources: int | None = None, seed: int = 42, sources_a_block: int = 1000) -> DataFrame:
+    """One row: mean_degree_centrality, number_nodes, number_edges, density, mean_betweenness, betweenness_error; centralities unnormalised.
+
+    The mean betweenness needs no path counts: over all vertices betweenness
+    adds up to the distances less one of all pairs that reach each other. With
+    `sources` only so many random sources are searched and stand for all;
+    `betweenness_error` then is the standard error of the mean over sources,
+    else 0. Without edges the means are null.
+    """
+    g = SimpleGraph.of(edges, loops=False)
+    chosen = vertices(edges) if sources is None else sampled_vertices(edges, sources, seed)
+    parts = None
+    for block in start_blocks(chosen, sources_a_block):
+        point = mark()
+        levels = bfs_levels(g, block)
+        each = [lv.select("start", F.lit(max(0, d - 1)).alias("d")) for d, lv in enumerate(levels)]
+        part = written(reduce(DataFrame.unionByName, each).groupBy("start").agg(F.sum("d").cast("double").alias("d")), "distances")
+        release_since(point, part)
+        parts = part if parts is None else parts.unionByName(part)
+    m = metrics(edges).select(F.col("avg_degree").alias("mean_degree_centrality"), "number_nodes", "number_edges", "density")
+    if parts is None:
+        return m.select("*", F.lit(None).cast("double").alias("mean_betweenness"), F.lit(None).cast("double").alias("betweenness_error"))
+    # each source stands for V / k others; the mean divides by V again
+    error = F.lit(0.0) if sources is None else F.coalesce(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.0))
+    b = parts.agg(F.avg("d").alias("mean_betweenness"), error.alias("betweenness_error"))
+    return m.join(b)  # one row each
 
 
 def top_k_by_degree(edges: DataFrame, k: int) -> DataFrame:

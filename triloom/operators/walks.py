@@ -9,6 +9,7 @@ round starts from it, and no lineage grows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from triloom.functions.hashing import draw32
 from triloom.operators import graph, skew
-from triloom.session import written
+from triloom.session import mark, release_since, written
 
 HOP = ["walk_id", "step", "src", "predicate", "dst"]
 
@@ -83,46 +84,71 @@ def fanned_out(hops: DataFrame, edges: DataFrame) -> DataFrame:
     return j.where("src = __s AND dst = __o").select(*HOP)
 
 
-def bfs_paths(edges: DataFrame, starts: DataFrame | None = None, depth: int = 4) -> DataFrame:
-    """(start, leaf, path): for each leaf of each start's breadth-first tree the vertices from start to leaf.
+START_BLOCK = 1000
 
-    All starts advance together, one level a round. Of several parents at equal
-    depth a vertex keeps the smallest. The state has a row for each start and
-    vertex it reaches: bound the starts or the depth. A start without edges is
-    its own leaf.
+
+def _leaves(levels: list[DataFrame]) -> DataFrame:
+    """(start, leaf, parent, depth): the vertices of breadth-first trees that are no other's parent."""
+    tree = reduce(DataFrame.unionByName, [lv.withColumn("depth", F.lit(d)) for d, lv in enumerate(levels)])
+    inner = tree.where("parent IS NOT NULL").select(F.col("start").alias("__s"), F.col("parent").alias("__p")).distinct()
+    return tree.join(inner, (F.col("start") == F.col("__s")) & (F.col("v") == F.col("__p")), "left_anti").select("start", F.col("v").alias("leaf"), "parent", "depth")
+
+
+def _blocks(edges: DataFrame, starts: DataFrame | None, depth: int, starts_a_block: int | None, make: Callable[[list[DataFrame]], DataFrame], schema: str) -> DataFrame:
+    """What `make` gives of the breadth-first trees of each block of starts, together; a block's trees are removed when it is written."""
+    g = graph.SimpleGraph.of(edges)
+    out = None
+    for block in graph.start_blocks(graph.vertices(edges) if starts is None else starts, starts_a_block or START_BLOCK):
+        point = mark()
+        part = written(make(graph.bfs_levels(g, block, depth)), "bfs-block")
+        release_since(point, part)
+        out = part if out is None else out.unionByName(part)
+    return edges.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def bfs_leaves(edges: DataFrame, starts: DataFrame | None = None, depth: int = 4, starts_a_block: int | None = None) -> DataFrame:
+    """(start, leaf, depth): the leaves of each start's breadth-first tree. A start without edges is its own leaf."""
+    v = edges.schema["subject"].dataType.simpleString()
+    return _blocks(edges, starts, depth, starts_a_block, lambda levels: _leaves(levels).select("start", "leaf", "depth"), f"start {v}, leaf {v}, depth int")
+
+
+def _tree_hops(levels: list[DataFrame]) -> DataFrame:
+    """(start, leaf, step, src, dst): the hops from start to each leaf, collected from the leaves up.
+
+    Near the start many leaves share a vertex; such keys are split by estimated
+    load.
     """
-    e = written(edges.select("subject", "object").distinct(), "bfs-edges")
-    s = (graph.vertices(edges) if starts is None else starts).toDF("start").where("start IS NOT NULL").distinct()
-    level = written(s.select("start", F.col("start").alias("v"), F.array("start").alias("path")), "bfs-0")
-    levels, seen = [level], level.select("start", "v")
-    for d in range(1, depth + 1):
-        near = levels[-1].join(e, F.col("v") == F.col("subject")).groupBy("start", F.col("object").alias("new")).agg(F.min(F.struct(F.col("v").alias("parent"), F.col("path").alias("path"))).alias("best"))
-        near = near.join(seen.select(F.col("start").alias("__s"), F.col("v").alias("__v")), (F.col("start") == F.col("__s")) & (F.col("new") == F.col("__v")), "left_anti")
-        near = written(near.select("start", F.col("new").alias("v"), F.concat("best.path", F.array("new")).alias("path")), f"bfs-{d}")
-        if not near.head(1):
-            break
-        levels.append(near)
-        seen = seen.unionByName(near.select("start", "v"))
-    tree = reduce(DataFrame.unionByName, levels)
-    inner = tree.where(F.size("path") > 1).select(F.col("start").alias("__s"), F.element_at("path", -2).alias("__p")).distinct()
-    leaves = tree.join(inner, (F.col("start") == F.col("__s")) & (F.col("v") == F.col("__p")), "left_anti")
-    return leaves.select("start", F.col("v").alias("leaf"), "path")
-
-
-def bfs_walks(edges: DataFrame, starts: DataFrame | None = None, depth: int = 4, order: str = "path") -> DataFrame:
+    leaves = written(_leaves(levels), "leaves")
+    up, hops = None, []
+    for d in range(len(levels) - 1, 0, -1):
+        here = leaves.where(F.col("depth") == d).select("start", "leaf", F.col("leaf").alias("v"), "parent")
+        if up is not None:
+            lv = levels[d].select(F.col("start").alias("__s"), F.col("v").alias("__v"), "parent")
+            met = skew.join_by_key(up, lv, F.xxhash64("start", "v"), F.xxhash64("__s", "__v"), spread=[F.col("leaf")])
+            here = here.unionByName(met.where("start = __s AND v = __v").select("start", "leaf", "v", "parent"))
+        here = written(here, f"up-{d}")
+        hops.append(here.select("start", "leaf", F.lit(d - 1).alias("step"), F.col("parent").alias("src"), F.col("v").alias("dst")))
+        up = here.select("start", "leaf", F.col("parent").alias("v"))
+    if not hops:
+        return leaves.limit(0).select("start", "leaf", F.lit(0).alias("step"), F.col("parent").alias("src"), F.col("leaf").alias("dst"))
+    return reduce(DataFrame.unionByName, hops)
+
+
+def bfs_walks(edges: DataFrame, starts: DataFrame | None = None, depth: int = 4, order: str = "path", starts_a_block: int | None = None) -> DataFrame:
     """(walk_id, step, src, predicate, dst): one walk for each leaf of each start's breadth-first tree, with a row for each parallel edge.
 
     walk_id is start * 2^31 + leaf. Hops are numbered from the start, or with
-    `order="subject"` by the token of their source.
+    `order="subject"` by the token of their source. Starts are taken in blocks
+    of `starts_a_block` (by default 1000), which bounds the state to a block's
+    trees. A start without edges has no walk.
     """
     if order not in ("path", "subject"):
         raise ValueError("order must be path or subject")
-    p = bfs_paths(edges, starts, depth).where(F.size("path") > 1)
-    hop = F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.element_at("path", i + 1).alias("src"), F.element_at("path", i + 2).alias("dst")))
-    if order == "subject":
-        hop = F.array_sort(hop)
-    walk = (F.col("start").cast("bigint") * (1 << 31) + F.col("leaf")).alias("walk_id")
-    hops = p.select(walk, F.posexplode(hop).alias("step", "hop")).select("walk_id", "step", "hop.src", "hop.dst")
+    v = edges.schema["subject"].dataType.simpleString()
+    h = _blocks(edges, starts, depth, starts_a_block, _tree_hops, f"start {v}, leaf {v}, step int, src {v}, dst {v}")
+    hops = h.select((F.col("start").cast("bigint") * (1 << 31) + F.col("leaf")).alias("walk_id"), "step", "src", "dst")
+    if order == "subject":  # a walk has at most `depth` hops
+        hops = hops.withColumn("step", F.row_number().over(Window.partitionBy("walk_id").orderBy("src", "dst")) - 1)
     return fanned_out(hops, edges)
 
 

@@ -154,7 +154,7 @@ def walk_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 def bfs_leaves(spark: SparkSession, d: str) -> DataFrame:
     e, starts = _relational(spark, d)
-    return walks.bfs_paths(e, starts, depth=3).select("start", "leaf", (F.size("path") - 1).alias("depth"))
+    return walks.bfs_leaves(e, starts, depth=3)
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:

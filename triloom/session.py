@@ -71,7 +71,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    t = df.sparkSession.read.schema(df.schema).parquet(path)
+    t._triloom_path = path
+    return t
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that `written` gave and that nothing reads any more."""
+    release([t._triloom_path for t in tables if hasattr(t, "_triloom_path")])
 
 
 def release(tables: Sequence[str]) -> None:
@@ -87,8 +94,9 @@ def mark() -> int:
     return len(_written)
 
 
-def release_since(point: int) -> None:
-    release([path for _, path in _written[point:]])
+def release_since(point: int, *keep: DataFrame) -> None:
+    kept = {getattr(t, "_triloom_path", None) for t in keep}
+    release([path for _, path in _written[point:] if path not in kept])
 
 
 @contextmanager

@@ -1,7 +1,14 @@
-"""Embedding models in numpy: parameters, loss, and gradients of the rows that a batch touches.
+"""Embedding models in numpy: tables, which of their rows a batch needs, its loss, and the gradients of those rows.
 
-Each model names its parameter tables; a gradient is a pair (row ids, rows) for
-each table, ids distinct. Tables start uniform in (-1/d, 1/d).
+A model names its tables and their shapes. `rows` gives the row numbers that a
+batch and its negative draws need, by role; `grads` takes the places of these
+rows in whatever part of the tables is at hand, so a task holds only rows that
+its data touch. A gradient is a pair (places, rows) for each table, places
+distinct. Tables start uniform in (-1/d, 1/d).
+
+Negative draws are uniform over the rows of one table (`pooled`). A task draws
+them from a pool, a uniform sample of at most `pool` of these rows that changes
+every epoch; where the table has no more rows the pool is the whole table.
 """
 
 from __future__ import annotations
@@ -9,9 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 Params = dict[str, np.ndarray]
 Grads = dict[str, tuple[np.ndarray, np.ndarray]]
+Rows = dict[str, tuple[str, np.ndarray]]  # role -> table, row numbers (-1: none)
+INIT_BLOCK = 4096
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -26,100 +37,171 @@ def by_row(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own[begin], np.add.reduceat(rows[order], begin) if len(begin) else rows[:0]
 
 
+class Model:
+    """What all models share. Subclasses are frozen dataclasses with `vocab` and `size`."""
+
+    columns: tuple[str, ...]
+    output: str
+    pooled: str
+
+    def shapes(self) -> dict[str, tuple[int, int]]:
+        raise NotImplementedError
+
+    def touched(self) -> list[tuple[str, Column]]:
+        """Row numbers that the data name, as columns (or arrays) over the data's columns."""
+        raise NotImplementedError
+
+    def rows(self, batch: tuple[np.ndarray, ...], rng: np.random.Generator, pool: np.ndarray | None = None) -> Rows:
+        raise NotImplementedError
+
+    def grads(self, p: Params, at: dict[str, np.ndarray]) -> tuple[float, Grads]:
+        raise NotImplementedError
+
+    def initial(self, table: str, block: int, seed: int) -> np.ndarray:
+        """The first values of the block's rows; they depend on seed, table and block alone."""
+        n, width = self.shapes()[table]
+        rng = np.random.default_rng([seed, list(self.shapes()).index(table), block])
+        size = max(0, min(INIT_BLOCK, n - block * INIT_BLOCK))
+        return rng.uniform(-1 / self.size, 1 / self.size, (size, width)).astype(np.float32)
+
+    def params(self, seed: int) -> Params:
+        """All tables at once: for small models."""
+        return {t: np.concatenate([self.initial(t, b, seed) for b in range(max(1, -(-n // INIT_BLOCK)))]) for t, (n, _) in self.shapes().items()}
+
+    def draw(self, shape: tuple[int, ...], rng: np.random.Generator, pool: np.ndarray | None) -> np.ndarray:
+        return rng.integers(0, self.shapes()[self.pooled][0], shape) if pool is None else pool[rng.integers(0, len(pool), shape)]
+
+
 @dataclass(frozen=True)
-class SkipGram:
+class SkipGram(Model):
     """Center and context tables; `negatives` uniform draws from the vocabulary for each pair, which may hit the true context."""
 
     vocab: int
     size: int
     negatives: int = 5
+    pool: int = 65_536
     columns = ("center", "context")
     output = "in"
+    pooled = "out"
+
+    def shapes(self) -> dict[str, tuple[int, int]]:
+        return {"in": (self.vocab, self.size), "out": (self.vocab, self.size)}
 
-    def params(self, rng: np.random.Generator) -> Params:
-        u = lambda *shape: rng.uniform(-1 / self.size, 1 / self.size, shape).astype(np.float32)
-        return {"in": u(self.vocab, self.size), "out": u(self.vocab, self.size)}
+    def touched(self) -> list[tuple[str, Column]]:
+        return [("in", F.col("center")), ("out", F.col("context"))]
 
-    def grads(self, p: Params, batch: tuple[np.ndarray, ...], rng: np.random.Generator, negative: np.ndarray | None = None) -> tuple[float, Grads]:
+    def rows(self, batch: tuple[np.ndarray, ...], rng: np.random.Generator, pool: np.ndarray | None = None) -> Rows:
         center, context = batch
-        n = len(center)
-        neg = rng.integers(0, self.vocab, (n, self.negatives)) if negative is None else negative
-        target = np.concatenate([context[:, None], neg], 1)
-        e, o = p["in"][center], p["out"][target]
-        z = np.einsum("nd,nkd->nk", e, o)
-        label = np.zeros_like(z)
-        label[:, 0] = 1
-        loss = (np.logaddexp(0, z) - label * z).sum() / n
-        d = ((_sigmoid(z) - label) / n).astype(np.float32)
-        return float(loss), {"in": by_row(center, np.einsum("nk,nkd->nd", d, o)), "out": by_row(target.ravel(), (d[:, :, None] * e[:, None, :]).reshape(-1, self.size))}
+        return {"center": ("in", center), "target": ("out", np.concatenate([context[:, None], self.draw((len(center), self.negatives), rng, pool)], 1))}
+
+    def grads(self, p: Params, at: dict[str, np.ndarray]) -> tuple[float, Grads]:
+        center, target = at["center"], at["target"]
+        e = p["in"][center]
+        loss, d, back = _scored(e, p["out"][target])
+        return loss, {"in": by_row(center, np.einsum("nk,nkd->nd", d, p["out"][target])), "out": by_row(target.ravel(), back.reshape(-1, self.size))}
+
+
+def _scored(e: np.ndarray, o: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss of vectors e against targets o, of which the first is the true one; gradients of the scores and of the targets."""
+    n = len(e)
+    z = np.einsum("nd,nkd->nk", e, o)
+    label = np.zeros_like(z)
+    label[:, 0] = 1
+    loss = (np.logaddexp(0, z) - label * z).sum() / n
+    d = ((_sigmoid(z) - label) / n).astype(o.dtype)
+    return float(loss), d, d[:, :, None] * e[:, None, :]
 
 
 @dataclass(frozen=True)
-class Cbow:
-    """Mean of the context's embeddings (padding -1 left out), a linear layer with bias onto the vocabulary, cross entropy."""
+class Cbow(Model):
+    """Mean of the context's embeddings (padding -1 left out), a linear layer with bias onto the vocabulary, cross entropy.
+
+    The cross entropy runs over the true word and the pool, whose scores are
+    raised so that its sum stands for that over all other words; with a
+    vocabulary of at most `pool` words that is the full softmax. The bias is
+    the last column of `weight`.
+    """
 
     vocab: int
     size: int
+    pool: int = 8192
     columns = ("context", "center")
     output = "in"
+    pooled = "weight"
 
-    def params(self, rng: np.random.Generator) -> Params:
-        u = lambda *shape: rng.uniform(-1 / self.size, 1 / self.size, shape).astype(np.float32)
-        return {"in": u(self.vocab, self.size), "weight": u(self.vocab, self.size), "bias": np.zeros((self.vocab, 1), np.float32)}
+    def shapes(self) -> dict[str, tuple[int, int]]:
+        return {"in": (self.vocab, self.size), "weight": (self.vocab, self.size + 1)}
 
-    def grads(self, p: Params, batch: tuple[np.ndarray, ...], rng: np.random.Generator) -> tuple[float, Grads]:
+    def touched(self) -> list[tuple[str, Column]]:
+        return [("in", F.col("context")), ("weight", F.col("center"))]
+
+    def initial(self, table: str, block: int, seed: int) -> np.ndarray:
+        m = super().initial(table, block, seed)
+        if table == "weight":
+            m[:, -1] = 0
+        return m
+
+    def rows(self, batch: tuple[np.ndarray, ...], rng: np.random.Generator, pool: np.ndarray | None = None) -> Rows:
         context, center = batch
-        n = len(center)
-        there = context >= 0
+        return {"context": ("in", context), "true": ("weight", center), "pool": ("weight", np.arange(self.vocab) if pool is None else pool)}
+
+    def grads(self, p: Params, at: dict[str, np.ndarray]) -> tuple[float, Grads]:
+        context, true, pool = at["context"], at["true"], at["pool"]
+        n, there = len(true), context >= 0
         count = np.maximum(there.sum(1), 1)[:, None]
         h = (p["in"][np.where(there, context, 0)] * there[:, :, None]).sum(1) / count
-        z = h @ p["weight"].T + p["bias"][:, 0]
+        h1 = np.concatenate([h, np.ones((n, 1), h.dtype)], 1)
+        w, o = p["weight"][true], p["weight"][pool]
+        hit = true[:, None] == pool[None, :]
+        others = len(pool) - hit.sum(1)
+        stands_for = np.log(np.maximum(self.vocab - 1, 1) / np.maximum(others, 1))[:, None]
+        z = np.concatenate([(h1 * w).sum(1)[:, None], np.where(hit, -np.inf, h1 @ o.T + stands_for)], 1)
         z -= z.max(1, keepdims=True)
         soft = np.exp(z)
         soft /= soft.sum(1, keepdims=True)
-        loss = -np.log(soft[np.arange(n), center] + 1e-30).mean()
-        soft[np.arange(n), center] -= 1
-        d = (soft / n).astype(np.float32)
-        every = np.arange(self.vocab)
-        back = (d @ p["weight"]) / count
-        flat = np.repeat(back, there.sum(1), axis=0)
-        return float(loss), {"in": by_row(context[there], flat), "weight": (every, d.T @ h.astype(np.float32)), "bias": (every, d.sum(0)[:, None])}
+        loss = -np.log(soft[:, 0] + 1e-30).mean()
+        soft[:, 0] -= 1
+        d = (soft / n).astype(o.dtype)
+        back = (d[:, :1] * w[:, :-1] + d[:, 1:] @ o[:, :-1]) / count
+        rows = np.concatenate([d[:, :1] * h1, d[:, 1:].T @ h1])
+        return float(loss), {"in": by_row(context[there], np.repeat(back, there.sum(1), axis=0)), "weight": by_row(np.concatenate([true, pool]), rows)}
 
 
 @dataclass(frozen=True)
-class OrderAwareSkipGram:
+class OrderAwareSkipGram(Model):
     """A context table for each distance from -D to D, plus an embedding of the distance itself."""
 
     vocab: int
     size: int
     negatives: int = 5
     max_distance: int = 5
+    pool: int = 65_536
     columns = ("center", "context", "distance")
     output = "in"
+    pooled = "out"
 
-    def params(self, rng: np.random.Generator) -> Params:
-        u = lambda *shape: rng.uniform(-1 / self.size, 1 / self.size, shape).astype(np.float32)
+    def shapes(self) -> dict[str, tuple[int, int]]:
         places = 2 * self.max_distance + 1
-        return {"in": u(self.vocab, self.size), "out": u(places * self.vocab, self.size), "position": u(places, self.size)}
+        return {"in": (self.vocab, self.size), "out": (places * self.vocab, self.size), "position": (places, self.size)}
 
-    def row(self, distance: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def row(self, distance: np.ndarray | Column, token: np.ndarray | Column) -> np.ndarray | Column:
         return (distance + self.max_distance) * self.vocab + token
 
-    def grads(self, p: Params, batch: tuple[np.ndarray, ...], rng: np.random.Generator, negative: np.ndarray | None = None, neg_distance: np.ndarray | None = None) -> tuple[float, Grads]:
+    def touched(self) -> list[tuple[str, Column]]:
+        every = F.sequence(F.lit(0), F.lit(2 * self.max_distance))
+        return [("in", F.col("center")), ("out", self.row(F.col("distance").cast("long"), F.col("context"))), ("position", every)]
+
+    def rows(self, batch: tuple[np.ndarray, ...], rng: np.random.Generator, pool: np.ndarray | None = None) -> Rows:
         center, context, distance = batch
-        n = len(center)
-        neg = rng.integers(0, self.vocab, (n, self.negatives)) if negative is None else negative
-        far = rng.integers(-self.max_distance, self.max_distance + 1, neg.shape) if neg_distance is None else neg_distance
-        target, place = np.concatenate([context[:, None], neg], 1), np.concatenate([distance[:, None], far], 1)
-        row, at = self.row(place, target), place + self.max_distance
-        e, o = p["in"][center], p["out"][row] + p["position"][at]
-        z = np.einsum("nd,nkd->nk", e, o)
-        label = np.zeros_like(z)
-        label[:, 0] = 1
-        loss = (np.logaddexp(0, z) - label * z).sum() / n
-        d = ((_sigmoid(z) - label) / n).astype(np.float32)
-        back = (d[:, :, None] * e[:, None, :]).reshape(-1, self.size)
-        return float(loss), {"in": by_row(center, np.einsum("nk,nkd->nd", d, o)), "out": by_row(row.ravel(), back), "position": by_row(at.ravel(), back)}
+        out = np.concatenate([self.row(distance, context)[:, None], self.draw((len(center), self.negatives), rng, pool)], 1)
+        return {"center": ("in", center), "target": ("out", out), "place": ("position", out // self.vocab)}
+
+    def grads(self, p: Params, at: dict[str, np.ndarray]) -> tuple[float, Grads]:
+        center, target, place = at["center"], at["target"], at["place"]
+        o = p["out"][target] + p["position"][place]
+        loss, d, back = _scored(p["in"][center], o)
+        flat = back.reshape(-1, self.size)
+        return loss, {"in": by_row(center, np.einsum("nk,nkd->nd", d, o)), "out": by_row(target.ravel(), flat), "position": by_row(place.ravel(), flat)}
 
     def context_embeddings(self, p: Params, distance: int = 0) -> np.ndarray:
         at = distance + self.max_distance
@@ -127,42 +209,46 @@ class OrderAwareSkipGram:
 
 
 @dataclass(frozen=True)
-class OrderAwareCbow:
+class OrderAwareCbow(Model):
     """A context table for each distance, plus an embedding of the distance; their mean is scored against centers with negative draws."""
 
     vocab: int
     size: int
     negatives: int = 5
     max_distance: int = 5
+    pool: int = 65_536
     columns = ("context", "distance", "center")
     output = "out"
+    pooled = "out"
 
-    def params(self, rng: np.random.Generator) -> Params:
-        u = lambda *shape: rng.uniform(-1 / self.size, 1 / self.size, shape).astype(np.float32)
+    def shapes(self) -> dict[str, tuple[int, int]]:
         places = 2 * self.max_distance + 1
-        return {"in": u(places * self.vocab, self.size), "out": u(self.vocab, self.size), "position": u(places, self.size)}
+        return {"in": (places * self.vocab, self.size), "out": (self.vocab, self.size), "position": (places, self.size)}
 
-    def _mean(self, p: Params, context: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        there = context >= 0
-        at = np.where(there, distance + self.max_distance, 0)
-        row = np.where(there, at * self.vocab + context, 0)
-        count = np.maximum(there.sum(1), 1)[:, None]
-        return ((p["in"][row] + p["position"][at]) * there[:, :, None]).sum(1) / count, there, row, at, count
+    def touched(self) -> list[tuple[str, Column]]:
+        pairs = F.arrays_zip(F.col("context").alias("t"), F.col("distance").alias("d"))
+        row = F.transform(F.filter(pairs, lambda x: x["t"] >= 0), lambda x: (x["d"].cast("long") + self.max_distance) * self.vocab + x["t"])
+        return [("in", row), ("out", F.col("center")), ("position", F.sequence(F.lit(0), F.lit(2 * self.max_distance)))]
 
-    def grads(self, p: Params, batch: tuple[np.ndarray, ...], rng: np.random.Generator, negative: np.ndarray | None = None) -> tuple[float, Grads]:
+    def rows(self, batch: tuple[np.ndarray, ...], rng: np.random.Generator, pool: np.ndarray | None = None) -> Rows:
         context, distance, center = batch
-        n = len(center)
-        h, there, row, at, count = self._mean(p, context, distance)
-        neg = rng.integers(0, self.vocab, (n, self.negatives)) if negative is None else negative
-        target = np.concatenate([center[:, None], neg], 1)
+        place = np.where(context >= 0, distance + self.max_distance, -1)
+        row = np.where(context >= 0, place * self.vocab + context, -1)
+        target = np.concatenate([center[:, None], self.draw((len(center), self.negatives), rng, pool)], 1)
+        return {"context": ("in", row), "place": ("position", place), "target": ("out", target)}
+
+    def _mean(self, p: Params, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        there = row >= 0
+        count = np.maximum(there.sum(1), 1)[:, None]
+        return ((p["in"][np.where(there, row, 0)] + p["position"][np.where(there, place, 0)]) * there[:, :, None]).sum(1) / count, there, count
+
+    def grads(self, p: Params, at: dict[str, np.ndarray]) -> tuple[float, Grads]:
+        row, place, target = at["context"], at["place"], at["target"]
+        h, there, count = self._mean(p, row, place)
         o = p["out"][target]
-        z = np.einsum("nd,nkd->nk", h, o)
-        label = np.zeros_like(z)
-        label[:, 0] = 1
-        loss = (np.logaddexp(0, z) - label * z).sum() / n
-        d = ((_sigmoid(z) - label) / n).astype(np.float32)
-        back = np.repeat(np.einsum("nk,nkd->nd", d, o) / count, there.sum(1), axis=0).astype(np.float32)
-        return float(loss), {"out": by_row(target.ravel(), (d[:, :, None] * h[:, None, :]).reshape(-1, self.size).astype(np.float32)), "in": by_row(row[there], back), "position": by_row(at[there], back)}
+        loss, d, to_target = _scored(h, o)
+        back = np.repeat(np.einsum("nk,nkd->nd", d, o) / count, there.sum(1), axis=0).astype(o.dtype)
+        return loss, {"out": by_row(target.ravel(), to_target.reshape(-1, self.size).astype(o.dtype)), "in": by_row(row[there], back), "position": by_row(place[there], back)}
 
     def context_embeddings(self, p: Params, distance: int = 0) -> np.ndarray:
         at = distance + self.max_distance
@@ -170,5 +256,6 @@ class OrderAwareCbow:
 
     def predict_center(self, p: Params, context: np.ndarray, distance: np.ndarray, top_k: int = 5) -> np.ndarray:
         """For each row of contexts the `top_k` most likely centers, best first."""
-        scores = self._mean(p, context, distance)[0] @ p["out"].T
+        at = self.rows((context, distance, np.zeros(len(context), np.int64)), np.random.default_rng(0))
+        scores = self._mean(p, at["context"][1], at["place"][1])[0] @ p["out"].T
         return np.lexsort((np.broadcast_to(np.arange(self.vocab), scores.shape), -scores))[:, :top_k]

@@ -1,30 +1,51 @@
-"""Data-parallel training: each epoch every partition trains on its rows from the same parameters, and what they changed is averaged.
+"""Data-parallel training with parameters that are a table.
 
-The parameters are held by the driver and sent to every task, so their number
-is checked against a bound; a vocabulary beyond it is for the `mllib` backend.
-Deviations from one process: averages instead of synchronous steps, and Adam's
-moments start anew in every partition and epoch. With one partition the steps
-are those of one process.
+The rows of data are sorted and cut into shards of equal size: the data of one
+center lie in one shard, a center with more in shards of its own. Each epoch
+
+1. every shard is joined with the parameter rows it needs, those that its data
+   name and a pool for negative draws (`models`), so that no task and never the
+   driver holds the parameters as a whole;
+2. all shards train at the same time, one task each, from these rows;
+3. what they changed is merged by row: the mean over the shards that changed
+   it, weighted by the steps that did. With sorted data a center's vector comes
+   from one shard; only context rows are means.
+
+Shards, their order, pools and draws depend on data and seed alone, so equal
+seeds give equal vectors on any number of machines. Deviations from one
+process: means instead of synchronous steps, and Adam's moments start anew in
+every shard and epoch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from triloom.session import written
+from triloom.operators.ranking import globally_indexed
+from triloom.operators.skew import tasks_of
+from triloom.session import drop, written
+from triloom.train.models import INIT_BLOCK, Model
 
-MAX_PARAMETERS = 64_000_000
+ROWS_A_TASK = 100_000
+FLOATS_A_TASK = 16_000_000  # parameters that a shard's data may name, at most; Adam triples them
+ROW = "t int, row bigint, vec binary"
 
 
 @dataclass
 class Fit:
-    params: dict[str, np.ndarray]
+    """`params` has the rows (t, row, vec) of all tables: number of the table, row, and its values as 32-bit floats."""
+
+    params: DataFrame
+    model: Model
     losses: list[float] = field(default_factory=list)
 
 
@@ -50,7 +71,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     """Whole numbers, or lists padded with -1 to the longest."""
     if not pa.types.is_list(column.type):
         return column.to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths = np.array([len(x) for x in column.to_pylist()])
+    lengths = np.diff(column.offsets.to_numpy(zero_copy_only=False))
     out = np.full((len(column), max(1, lengths.max(initial=0))), -1, np.int64)
     out[np.arange(out.shape[1]) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
@@ -63,79 +84,215 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1])), constant_values=-1) for p in parts])
 
 
-def local_epoch(model: object, params: dict[str, np.ndarray], data: tuple[np.ndarray, ...], rate: float, batch_size: int, rng: np.random.Generator) -> tuple[float, dict[str, np.ndarray]]:
-    """Steps over all rows in random order; the summed loss, and which rows of each table were touched. Changes `params`."""
+def _floats(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column as one run of 32-bit floats."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32) if len(column) and offsets[-1] > offsets[0] else np.zeros(0, np.float32)
+
+
+def _binary(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    m = np.ascontiguousarray(m, np.float32)
+    ends = np.arange(len(m) + 1, dtype=np.int64) * m.shape[1] * 4
+    if ends[-1] >= 1 << 31:
+        raise ValueError("too many values for one batch")
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(m)])
+
+
+def local_epoch(model: Model, ids: dict[str, np.ndarray], params: dict[str, np.ndarray], pool: np.ndarray | None, data: tuple[np.ndarray, ...], rate: float, batch_size: int, rng: np.random.Generator) -> tuple[float, dict[str, np.ndarray]]:
+    """Steps over all rows in random order; the summed loss, and how many steps changed each row. Changes `params`, whose rows are those numbered `ids`, in order."""
     adam, n, total = Adam(params, rate), len(data[0]), 0.0
-    touched = {k: np.zeros(len(v), bool) for k, v in params.items()}
+    steps = {k: np.zeros(len(v), np.float32) for k, v in params.items()}
     order = rng.permutation(n)
     for i in range(0, n, batch_size):
         pick = order[i : i + batch_size]
-        loss, grads = model.grads(params, tuple(x[pick] for x in data), rng)
+        wanted = model.rows(tuple(x[pick] for x in data), rng, pool)
+        at = {role: np.where(r >= 0, np.searchsorted(ids[t], r), -1) for role, (t, r) in wanted.items()}
+        loss, grads = model.grads(params, at)
         adam.step(params, grads)
-        for k, (ids, _) in grads.items():
-            touched[k][ids] = True
+        for k, (rows, _) in grads.items():
+            steps[k][rows] += 1
         total += loss * len(pick)
-    return total, touched
+    return total, steps
 
 
-def fit(data: DataFrame, model: object, epochs: int = 5, rate: float = 0.0001, batch_size: int | None = None, seed: int = 42, partitions: int | None = None, max_parameters: int = MAX_PARAMETERS, rows_a_task: int = 200_000) -> Fit:
-    """Trains `model` on the columns it names. `batch_size` defaults to a hundredth of a partition's rows.
+def initial(spark: SparkSession, model: Model, seed: int) -> DataFrame:
+    """All tables' first values, made where they are kept."""
+    names = list(model.shapes())
+    ends = np.cumsum([-(-n // INIT_BLOCK) for n, _ in model.shapes().values()])
 
-    A partition's rows are held as numpy arrays by its task; the number of
-    partitions follows from the rows unless given. No rows leave the initial
-    parameters.
-    """
-    start = model.params(np.random.default_rng(seed))
-    held = sum(v.size for v in start.values())
-    if held > max_parameters:
-        raise ValueError(f"{held} parameters are more than {max_parameters}: use the mllib backend or a smaller vector size")
-    spark, result = data.sparkSession, Fit(start)
-    rows = data.select(*model.columns)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                k = int(np.searchsorted(ends, i, "right"))
+                table, block = names[k], i - (int(ends[k - 1]) if k else 0)
+                m = model.initial(table, block, seed)
+                rows = np.arange(len(m), dtype=np.int64) + block * INIT_BLOCK
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), names.index(table), np.int32)), pa.array(rows), _binary(m)], names=["t", "row", "vec"])
+
+    return written(spark.range(int(ends[-1])).mapInArrow(make, ROW), "params")
+
+
+def table(params: DataFrame, model: Model, name: str, into: str = "embedding", row: str = "token") -> DataFrame:
+    """(row, vector as array<float>) of one table."""
+    width = model.shapes()[name][1]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * width
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(_floats(b.column(1))))], names=[row, into])
+
+    own = params.where(F.col("t") == list(model.shapes()).index(name))
+    return own.select(F.col("row").cast("int").alias(row), "vec").mapInArrow(read, f"{row} int, {into} array<float>")
+
+
+def _sharded(data: DataFrame, model: Model, rows_a_task: int | None) -> tuple[DataFrame, int, int]:
+    """(shard, columns), written, with the numbers of rows and shards."""
+    rows = written(data.select(*model.columns), "training")
+    order = ["center", *[c for c in model.columns if c != "center"]]
     count = rows.count()
+    if not count:
+        return rows, 0, 0
+    sizes = [F.size(c) if isinstance(rows.schema[c].dataType, ArrayType) else F.lit(1) for c in model.columns if c != "distance"]
+    named = max(1.0, rows.select(F.avg(reduce(add, sizes))).first()[0])  # parameter rows that a row of data names
+    size = rows_a_task or max(1, min(ROWS_A_TASK, int(FLOATS_A_TASK / (named * model.size))))
+    shards = -(-count // size)
+    # rows equal in all columns may be dealt to shards in any way: the last key only lets many of them be cut
+    placed = globally_indexed(rows, [*[F.col(c) for c in order], F.monotonically_increasing_id()], "__i")
+    return placed.select(F.expr(f"CAST(__i * {shards} DIV {count} AS INT)").alias("shard"), *model.columns), count, shards
+
+
+def fit(data: DataFrame, model: Model, epochs: int = 5, rate: float = 0.0001, batch_size: int | None = None, seed: int = 42, rows_a_task: int | None = None) -> Fit:
+    """Trains `model` on the columns it names. `batch_size` defaults to a hundredth of a shard's rows.
+
+    A shard has at most `rows_a_task` rows (by default 100,000, fewer if its
+    data could name more than `FLOATS_A_TASK` parameters). No rows leave the
+    initial parameters.
+    """
+    spark = data.sparkSession
+    result = Fit(initial(spark, model, seed), model)
+    sharded, count, shards = _sharded(data, model, rows_a_task)
     if not count:
         return result
-    partitions = partitions or max(1, -(-count // rows_a_task))
-    stored = written(rows.repartition(partitions, F.xxhash64(*model.columns)) if partitions > 1 else rows.coalesce(1), "training")
-    spark_parts = stored.repartition(partitions) if partitions > 1 else stored.coalesce(1)
+    names = list(model.shapes())
+    need = None
+    for t, c in model.touched():
+        is_list = isinstance(sharded.select(c.alias("x")).schema["x"].dataType, ArrayType)
+        one = sharded.select("shard", (F.explode(c) if is_list else c).alias("row")).where("row >= 0").select("shard", F.lit(names.index(t)).alias("t"), F.col("row").cast("long").alias("row")).distinct()
+        need = one if need is None else need.unionByName(one)
+    need = written(need.withColumn("pool", F.lit(False)), "touched")
+    parts = max(tasks_of(spark), -(-sum(n * w for n, w in model.shapes().values()) // 16_000_000))
     for epoch in range(epochs):
-        sent = spark.sparkContext.broadcast(result.params)
-
-        def run(batches: Iterator[pa.RecordBatch], epoch: int = epoch, sent: object = sent) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            cols = [[_matrix(c) for c in b.columns] for b in batches if b.num_rows]
-            if not cols:
-                return
-            full = tuple(_joined([c[i] for c in cols]) for i in range(len(cols[0])))
-            part = TaskContext.get().partitionId()
-            own = {k: v.copy() for k, v in sent.value.items()}
-            rng = np.random.default_rng([seed, epoch, part])
-            loss, touched = local_epoch(model, own, full, rate, batch_size or max(1, len(full[0]) // 100), rng)
-            for k, hit in touched.items():
-                ids = np.flatnonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([ids.astype(np.int64).tobytes()]), pa.array([own[k][ids].astype(np.float32).tobytes()]), pa.array([loss if k == model.output else 0.0])], names=["name", "ids", "rows", "loss"])
-
-        back = spark_parts.mapInArrow(run, "name string, ids binary, rows binary, loss double").toLocalIterator()
-        total = 0.0
-        sums = {k: np.zeros(v.shape, np.float64) for k, v in result.params.items()}
-        hits = {k: np.zeros(len(v)) for k, v in result.params.items()}
-        for r in back:
-            ids = np.frombuffer(r["ids"], np.int64)
-            sums[r["name"]][ids] += np.frombuffer(r["rows"], np.float32).reshape(len(ids), -1)
-            hits[r["name"]][ids] += 1
-            total += r["loss"]
-        sent.destroy()
-        result.params = {k: np.where(hits[k][:, None] > 0, sums[k] / np.maximum(hits[k], 1)[:, None], v).astype(np.float32) for k, v in result.params.items()}
-        result.losses.append(total / count)
+        changed = written(_trained(sharded, need, result.params, model, shards, epoch, rate, batch_size, seed), "changed")
+        result.losses.append(changed.where("t < 0").agg(F.sum("loss")).first()[0] / count)
+        before = result.params
+        result.params = written(_merged(before, changed, model, parts), "params")
+        drop(before, changed)
     return result
 
 
+def _trained(sharded: DataFrame, need: DataFrame, params: DataFrame, model: Model, shards: int, epoch: int, rate: float, batch_size: int | None, seed: int) -> DataFrame:
+    """(t, row, vec, steps, shard, loss): the rows that shards changed; each shard's loss in a row with t = -1."""
+    spark, names = sharded.sparkSession, list(model.shapes())
+    of, (most, _) = names.index(model.pooled), model.shapes()[model.pooled]
+    whole = most <= model.pool
+    drawn = F.sequence(F.lit(0).cast("long"), F.lit(min(most, model.pool) - 1).cast("long"))
+    if not whole:
+        drawn = F.array_distinct(F.transform(drawn, lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col("id"), i), F.lit(most))))
+    pools = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(of).alias("t"), F.explode(drawn).alias("row"), F.lit(True).alias("pool"))
+    wanted = need.unionByName(pools).groupBy("shard", "t", "row").agg(F.max("pool").alias("pool")).join(params, ["t", "row"])
+    kinds = {c: sharded.schema[c].dataType.simpleString() for c in model.columns}
+    rows = wanted.select("shard", F.lit(0).alias("kind"), "t", "row", "pool", "vec", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+    own = sharded.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("t"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("boolean").alias("pool"), F.lit(None).cast("binary").alias("vec"), *model.columns)
+    each = rows.unionByName(own).repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "t", "row", *model.columns)
+    widths = [w for _, w in model.shapes().values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {i: [] for i in range(len(names))}
+        data, shard = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            shard = b.column(0)[0].as_py()
+            kind = b.column(1).to_numpy()
+            cut = int(np.searchsorted(kind, 1))
+            p, d = b.slice(0, cut), b.slice(cut)
+            if cut:
+                t = p.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                for i in np.unique(t):
+                    lo, hi = np.searchsorted(t, [i, i + 1])
+                    part = p.slice(lo, hi - lo)
+                    held[i].append((part.column(3).to_numpy(zero_copy_only=False).astype(np.int64), part.column(4).to_numpy(zero_copy_only=False).astype(bool), _floats(part.column(5)).reshape(-1, widths[i]).copy()))
+            if d.num_rows:
+                data.append([_matrix(d.column(6 + j)) for j in range(len(model.columns))])
+        if shard is None or not data:
+            return
+        full = tuple(_joined([x[j] for x in data]) for j in range(len(model.columns)))
+        ids = {n: np.concatenate([x[0] for x in held[i]]) if held[i] else np.zeros(0, np.int64) for i, n in enumerate(names)}
+        own = {n: np.concatenate([x[2] for x in held[i]]) if held[i] else np.zeros((0, widths[i]), np.float32) for i, n in enumerate(names)}
+        in_pool = np.concatenate([x[1] for x in held[of]])
+        held.clear()
+        rng = np.random.default_rng([seed, epoch, shard])
+        loss, steps = local_epoch(model, ids, own, ids[model.pooled][in_pool], full, rate, batch_size or max(1, len(full[0]) // 100), rng)
+        columns = ["t", "row", "vec", "steps", "shard", "loss"]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([b""]), pa.array([0.0], pa.float32()), pa.array([shard], pa.int32()), pa.array([loss])], names=columns)
+        for i, n in enumerate(names):
+            hit = np.flatnonzero(steps[n])
+            for k in range(0, len(hit), 10_000):
+                h = hit[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), i, np.int32)), pa.array(ids[n][h]), _binary(own[n][h]), pa.array(steps[n][h]), pa.array(np.full(len(h), shard, np.int32)), pa.nulls(len(h), pa.float64())],
+                    names=columns,
+                )
+
+    return each.mapInArrow(run, f"{ROW}, steps float, shard int, loss double")
+
+
+def _merged(before: DataFrame, changed: DataFrame, model: Model, parts: int) -> DataFrame:
+    """The parameters after an epoch: rows no shard changed stay, the others are means weighted by steps."""
+    widths = [w for _, w in model.shapes().values()]
+    old = before.select("t", "row", "vec", F.lit(0.0).cast("float").alias("steps"), F.lit(-1).alias("shard"))
+    new = changed.where("t >= 0").select("t", "row", "vec", "steps", "shard")
+    sorted_ = old.unionByName(new).repartition(parts, "t", "row").sortWithinPartitions("t", "row", "shard")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: tuple | None = None  # t, row, old vector, weighted sum, weight
+
+        def out(t: int, rows: np.ndarray, old: np.ndarray, sums: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+            m = np.where(weights[:, None] > 0, sums / np.maximum(weights, 1)[:, None], old)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(rows), _binary(m)], names=["t", "row", "vec"])
+
+        for b in batches:
+            ts, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for t in np.unique(ts):
+                lo, hi = (int(x) for x in np.searchsorted(ts, [t, t + 1]))
+                v = _floats(b.column(2).slice(lo, hi - lo)).reshape(-1, widths[t]).astype(np.float64)
+                r, w = rows[lo:hi], b.column(3).to_numpy()[lo:hi].astype(np.float64)
+                begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                own, first = r[begin], v[begin]  # the old row comes first
+                sums, weights = np.add.reduceat(v * w[:, None], begin), np.add.reduceat(w, begin)
+                if carry is not None:
+                    ct, cr, cold, csum, cw = carry
+                    if ct == t and cr == own[0]:
+                        first[0], sums[0], weights[0] = cold, sums[0] + csum, weights[0] + cw
+                    else:
+                        yield out(ct, np.array([cr]), cold[None], csum[None], np.array([cw]))
+                carry = (int(t), own[-1], first[-1], sums[-1], weights[-1])
+                if len(own) > 1:
+                    yield out(int(t), own[:-1], first[:-1], sums[:-1], weights[:-1])
+        if carry is not None:
+            ct, cr, cold, csum, cw = carry
+            yield out(ct, np.array([cr]), cold[None], csum[None], np.array([cw]))
+
+    return sorted_.mapInArrow(merge, ROW)
+
+
 def fit_mllib(tokens: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, epochs: int = 1, rate: float = 0.025, seed: int = 42, partitions: int = 8) -> DataFrame:
     """(token, embedding): Spark ML's Word2Vec over the walks as sentences.
 
     It differs from the other models: hierarchical softmax, a window that
-    shrinks at random, and rare words leave without a gap. Its parameters too
-    are held by the driver.
+    shrinks at random, and rare words leave without a gap. Its parameters are
+    held by the driver.
     """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
