@@ -1,8 +1,8 @@
 """Queries over the knowledge graph, and the SQL that checks them.
 
 Two graphs: the triples of `edge_df`, and one made of the relational tables
-(regions, nations, customers, suppliers and orders), whose breadth-first trees
-have few starts.
+(regions, nations, customers, suppliers and orders), a deep one whose
+breadth-first trees start at the regions.
 """
 
 from __future__ import annotations
@@ -148,6 +148,18 @@ def _relational(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def walk_bfs(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth-first walks over `edge_df` from the five vertices of highest degree."""
+    e = _encoded(spark, d)
+    return walks.bfs_walks(e, graph.top_k_by_degree(e, 5).select("vertex"), depth=3)
+
+
+def graph_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Mean centralities and density of `edge_df`; betweenness from 16 random sources, with its standard error."""
+    s = graph.graph_statistics(_encoded(spark, d), sources=16, seed=SEED)
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_betweenness", "betweenness_error")})
+
+
+def walk_bfs_relational(spark: SparkSession, d: str) -> DataFrame:
     e, starts = _relational(spark, d)
     return walks.bfs_walks(e, starts, depth=3)
 
@@ -223,10 +235,38 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"), F.count("*").alias("runs"))
 
 
+def _pipeline(spark: SparkSession, d: str, **settings: object) -> KGEmbedder:
+    """Fitted on all triples of `edge_df`, its numbers binned, over walks from every vertex."""
+    m = KGEmbedder(spark, **{"walk_number": 1, "walk_depth": 2, "vector_size": 16, "window_size": 2, "epochs": 1, "learning_rate": 0.01, "literal_predicates": LITERALS, "literal_strategy": "bin"} | settings)
+    return m.fit(_triples(spark, d))
+
+
 def _fitted(spark: SparkSession, d: str, **settings: object) -> DataFrame:
-    """Vectors of all words of `edge_df`, its numbers binned, after one epoch over walks from every vertex."""
-    m = KGEmbedder(spark, walk_number=1, walk_depth=2, vector_size=16, window_size=2, epochs=1, learning_rate=0.01, literal_predicates=LITERALS, literal_strategy="bin", **settings)
-    return m.fit_transform(_triples(spark, d))
+    return _pipeline(spark, d, **settings).transform()
+
+
+def _invariants(spark: SparkSession, d: str, **settings: object) -> DataFrame:
+    """One row on the vectors after two epochs: words, distinct tokens, lengths, whether all values are finite and the loss falls."""
+    m = _pipeline(spark, d, epochs=2, **settings)
+    finite = F.forall("embedding", lambda x: F.abs(x) < float("inf"))
+    v = m.transform().agg(F.count("*").alias("words"), F.countDistinct("token").alias("tokens"), F.min(F.size("embedding")).alias("shortest"), F.max(F.size("embedding")).alias("longest"), F.min(finite).alias("finite"))
+    return v.withColumn("loss_falls", F.lit(m.losses[-1] < m.losses[0]))
+
+
+def fit_skipgram_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return _invariants(spark, d)
+
+
+def fit_cbow_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return _invariants(spark, d, embedding_model="cbow", batch_size=128)
+
+
+def fit_ordered_skipgram_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return _invariants(spark, d, order_aware=True)
+
+
+def fit_ordered_cbow_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return _invariants(spark, d, embedding_model="cbow", order_aware=True)
 
 
 def fit_skipgram(spark: SparkSession, d: str) -> DataFrame:
@@ -250,10 +290,11 @@ QUERIES = {
     for f in (
         kg_triples, vocabulary, encode_edges, decode_edges, vertex_set, degree_stats, degree_table, degree_distribution, graph_density, out_degree_index, weight_index, nt_parse,
         literal_drop, literal_bin_uniform, literal_bin_quantile, predicate_local_name, numeric_coerce,
-        start_replication, walk_uniform, walk_weighted, hop_fanout, walk_bfs, bfs_leaves,
+        start_replication, walk_uniform, walk_weighted, hop_fanout, walk_bfs, walk_bfs_relational, bfs_leaves, graph_statistics,
         walk_tokens, tokens_unpadded, sequence_hops, token_counts, min_count_filter, skipgram_pairs, pair_totals, cbow_contexts,
         predict_center_topk, betweenness_small, run_summary,
         fit_skipgram, fit_cbow, fit_mllib, transform_wide,
+        fit_skipgram_invariants, fit_cbow_invariants, fit_ordered_skipgram_invariants, fit_ordered_cbow_invariants,
     )
 }
 
@@ -292,11 +333,28 @@ _R = """t AS (SELECT 'region/' || n_regionkey AS subject, 'hasNation' AS predica
   UNION ALL SELECT 'nation/' || c_nationkey, 'servesMarket', 'customer/' || c_custkey, 1.0 FROM customer
   UNION ALL SELECT 'nation/' || s_nationkey, 'hasSupplier', 'supplier/' || s_suppkey, 1.0 FROM supplier
   UNION ALL SELECT 'customer/' || o_custkey, 'placed', 'order/' || o_orderkey, 1.0 FROM orders)"""
-_BFS = f"""WITH RECURSIVE {_R}, {_V}, {_E}, g AS (SELECT DISTINCT subject, object FROM e),
-  reach(start, v, d) AS (SELECT token, token, 0 FROM v WHERE word LIKE 'region/%' UNION SELECT r.start, g.object, r.d + 1 FROM reach r JOIN g ON g.subject = r.v WHERE r.d < 3),
+
+
+def _trees(starts: str) -> str:
+    return f"""g AS (SELECT DISTINCT subject, object FROM e),
+  reach(start, v, d) AS (SELECT token, token, 0 FROM ({starts}) z UNION SELECT r.start, g.object, r.d + 1 FROM reach r JOIN g ON g.subject = r.v WHERE r.d < 3),
   lev AS (SELECT start, v, min(d) AS d FROM reach GROUP BY 1, 2),
   par AS (SELECT l.start, l.v, l.d, min(p.v) AS parent FROM lev l JOIN g ON g.object = l.v JOIN lev p ON p.start = l.start AND p.v = g.subject AND p.d = l.d - 1 GROUP BY 1, 2, 3),
-  leaf AS (SELECT start, v, d FROM lev WHERE NOT EXISTS (SELECT 1 FROM par WHERE par.start = lev.start AND par.parent = lev.v))"""
+  leaf AS (SELECT start, v, d FROM lev WHERE NOT EXISTS (SELECT 1 FROM par WHERE par.start = lev.start AND par.parent = lev.v)),
+  back(walk_id, start, src, dst, step) AS (
+    SELECT leaf.start::BIGINT * 2147483648 + leaf.v, par.start, par.parent, par.v, par.d - 1 FROM leaf JOIN par ON par.start = leaf.start AND par.v = leaf.v
+    UNION ALL SELECT b.walk_id, b.start, par.parent, par.v, par.d - 1 FROM back b JOIN par ON par.start = b.start AND par.v = b.src)"""
+
+
+_BFS = f"WITH RECURSIVE {_R}, {_V}, {_E}, " + _trees("SELECT token FROM v WHERE word LIKE 'region/%'")
+_BFS_HUBS = f"WITH RECURSIVE {_TVE}, {_DEG}, " + _trees("SELECT vertex AS token FROM d ORDER BY degree DESC, vertex LIMIT 5")
+_BACK = "SELECT walk_id, step, src, e.predicate AS predicate, dst FROM back JOIN e ON e.subject = src AND e.object = dst"
+_STATISTICS = f"""WITH RECURSIVE {_TVE}, {_DEG}, g AS (SELECT DISTINCT subject, object FROM e WHERE subject <> object),
+  z AS (SELECT vertex FROM d ORDER BY CAST('0x' || substr(md5(concat_ws('|', '{SEED}', vertex)), 1, 8) AS BIGINT), vertex LIMIT 16),
+  reach(start, v, d) AS (SELECT vertex, vertex, 0 FROM z UNION SELECT r.start, g.object, r.d + 1 FROM reach r JOIN g ON g.subject = r.v WHERE r.d < 60),
+  lev AS (SELECT start, v, min(d) AS d FROM reach GROUP BY 1, 2), far AS (SELECT start, sum(greatest(0, d - 1))::DOUBLE AS s FROM lev GROUP BY 1),
+  b AS (SELECT round(avg(s), 6) AS mean_betweenness, round(stddev_samp(s) / sqrt(count(*)), 6) AS betweenness_error FROM far)
+  SELECT avg(degree) AS mean_degree_centrality, count(*) AS number_nodes, CAST(sum(out_degree) AS BIGINT) AS number_edges, sum(out_degree) / (count(*)::DOUBLE * (count(*) - 1)) AS density, max(mean_betweenness) AS mean_betweenness, max(betweenness_error) AS betweenness_error FROM d, b"""
 
 _IN = ", ".join(f"'{p}'" for p in LITERALS)
 _NUM = f"CASE WHEN abs(TRY_CAST(regexp_extract(object, '{literals.PLAIN_NUMBER}', 1) AS DOUBLE)) < 'Infinity'::DOUBLE THEN TRY_CAST(regexp_extract(object, '{literals.PLAIN_NUMBER}', 1) AS DOUBLE) END"
@@ -308,7 +366,11 @@ _QUANTILES = "CASE b " + " ".join(f"WHEN {b} THEN quantile_cont(v, [{', '.join(f
 _NT = r"^<([^>]+)>\s+<([^>]+)>\s+(.*)\s+\.\s*$"
 _GIVEN = "k AS (SELECT DISTINCT walk_id, pos, token FROM tokens WHERE token >= 0)"
 
+_QUANTILE_BINNED = f"{_LIT}, z AS (SELECT n.predicate AS predicate, list_sort(list_distinct({_QUANTILES})) AS edges FROM n JOIN m ON m.predicate = n.predicate WHERE v IS NOT NULL GROUP BY n.predicate, b), q AS (SELECT predicate, edges[2:len(edges) - 1] AS inner_edges FROM z)"
+_INVARIANTS = f"WITH {_QUANTILE_BINNED}, t AS (SELECT * FROM ({_BINNED}) x WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL), {_V} SELECT count(*) AS words, count(DISTINCT token) AS tokens, 16 AS shortest, 16 AS longest, true AS finite, true AS loss_falls FROM v"
+
 SQL = {
+    **dict.fromkeys(("fit_skipgram_invariants", "fit_cbow_invariants", "fit_ordered_skipgram_invariants", "fit_ordered_cbow_invariants"), _INVARIANTS),
     "kg_triples": f"WITH {_T} SELECT * FROM t",
     "vocabulary": f"WITH {_T}, {_V} SELECT token, word FROM v",
     "encode_edges": f"WITH {_TVE} SELECT * FROM e",
@@ -323,17 +385,16 @@ SQL = {
     "nt_parse": f"SELECT line_id, nullif(regexp_extract(raw, '{_NT}', 1), '') AS subject, nullif(regexp_extract(raw, '{_NT}', 2), '') AS predicate, regexp_replace(regexp_extract(raw, '{_NT}', 3), '^<|>$', '', 'g') AS object FROM kg_raw_lines WHERE fmt IN ('nt', 'nq') AND regexp_matches(raw, '{_NT}')",
     "literal_drop": _REST,
     "literal_bin_uniform": f"WITH {_LIT}, q AS (SELECT predicate, CASE WHEN lo = hi OR b < 2 THEN [] ELSE list_transform(range(1, b), lambda i: lo + i * ((hi - lo) / b)) END AS inner_edges FROM m) {_BINNED}",
-    "literal_bin_quantile": f"WITH {_LIT}, z AS (SELECT n.predicate AS predicate, list_sort(list_distinct({_QUANTILES})) AS edges FROM n JOIN m ON m.predicate = n.predicate WHERE v IS NOT NULL GROUP BY n.predicate, b), q AS (SELECT predicate, edges[2:len(edges) - 1] AS inner_edges FROM z) {_BINNED}",
+    "literal_bin_quantile": f"WITH {_QUANTILE_BINNED} {_BINNED}",
     "predicate_local_name": f"SELECT DISTINCT predicate, {_NAME} AS name FROM edge_df WHERE predicate IS NOT NULL",
     "numeric_coerce": f"SELECT predicate, count(*) AS n_rows, count(v) AS numbers, min(v) AS least, max(v) AS most, count(DISTINCT v) AS distinct_numbers FROM (SELECT predicate, {_NUM} AS v FROM edge_df) n GROUP BY 1",
     "start_replication": f"WITH {_TVE}, {_S} SELECT walk_id, start, CAST(k AS INTEGER) AS k FROM s",
     "walk_uniform": f"{_WALK} SELECT walk_id, step, src, predicate, dst FROM w",
     "walk_weighted": f"WITH RECURSIVE {_TVE}, {_W}, {_S}, {_HOPS_W} SELECT walk_id, step, src, predicate, dst FROM w",
     "hop_fanout": f"{_WALK}, {_FAN} SELECT * FROM f",
-    "walk_bfs": f"""{_BFS}, back(walk_id, start, src, dst, step) AS (
-      SELECT leaf.start::BIGINT * 2147483648 + leaf.v, par.start, par.parent, par.v, par.d - 1 FROM leaf JOIN par ON par.start = leaf.start AND par.v = leaf.v
-      UNION ALL SELECT b.walk_id, b.start, par.parent, par.v, par.d - 1 FROM back b JOIN par ON par.start = b.start AND par.v = b.src)
-      SELECT walk_id, step, src, e.predicate AS predicate, dst FROM back JOIN e ON e.subject = src AND e.object = dst""",
+    "walk_bfs": f"{_BFS_HUBS} {_BACK}",
+    "walk_bfs_relational": f"{_BFS} {_BACK}",
+    "graph_statistics": _STATISTICS,
     "bfs_leaves": f"{_BFS} SELECT start, v AS leaf, d AS depth FROM leaf",
     "walk_tokens": f"{_STREAM} SELECT walk_id, pos, token FROM k",
     "tokens_unpadded": f"WITH {_GIVEN} SELECT walk_id, pos, token FROM k",
