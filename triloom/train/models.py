@@ -79,7 +79,7 @@ class SkipGram(Model):
     vocab: int
     size: int
     negatives: int = 5
-    pool: int = 65_536
+    pool: int = 16_384
     columns = ("center", "context")
     output = "in"
     pooled = "out"
@@ -175,7 +175,7 @@ class OrderAwareSkipGram(Model):
     size: int
     negatives: int = 5
     max_distance: int = 5
-    pool: int = 65_536
+    pool: int = 16_384
     columns = ("center", "context", "distance")
     output = "in"
     pooled = "out"
@@ -216,7 +216,7 @@ class OrderAwareCbow(Model):
     size: int
     negatives: int = 5
     max_distance: int = 5
-    pool: int = 65_536
+    pool: int = 16_384
     columns = ("context", "distance", "center")
     output = "out"
     pooled = "out"

@@ -35,7 +35,7 @@ from triloom.operators.skew import tasks_of
 from triloom.session import drop, written
 from triloom.train.models import INIT_BLOCK, Model
 
-ROWS_A_TASK = 100_000
+ROWS_A_TASK = 250_000
 FLOATS_A_TASK = 16_000_000  # parameters that a shard's data may name, at most; Adam triples them
 ROW = "t int, row bigint, vec binary"
 
@@ -165,7 +165,7 @@ def _sharded(data: DataFrame, model: Model, rows_a_task: int | None) -> tuple[Da
 def fit(data: DataFrame, model: Model, epochs: int = 5, rate: float = 0.0001, batch_size: int | None = None, seed: int = 42, rows_a_task: int | None = None) -> Fit:
     """Trains `model` on the columns it names. `batch_size` defaults to a hundredth of a shard's rows.
 
-    A shard has at most `rows_a_task` rows (by default 100,000, fewer if its
+    A shard has at most `rows_a_task` rows (by default 250,000, fewer if its
     data could name more than `FLOATS_A_TASK` parameters). No rows leave the
     initial parameters.
     """
