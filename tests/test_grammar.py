@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from triloom.sources.grammar import parse_line, parse_text
+from triloom.sources.grammar import Reader, is_record_start, parse_line, parse_rows, parse_text
 
 I = "http://x.example/"  # noqa: E741
 S, P, O = f"{I}s", f"{I}p", f"{I}o"
@@ -127,6 +127,48 @@ def test_text_goes_on_at_a_validated_record_start():
     assert got == [("record", 1, None, "two\nlines"), ("error", 3, "quoting", None), ("record", 5, None, "good"), ("error", 7, "value", None), ("record", 8, None, "last")]
 
 
+def test_a_broken_quote_swallows_no_record():
+    text = 'urn:a,urn:b,"broken\nurn:c,urn:d,x\nurn:e,urn:f,"\nurn:g,urn:h,i'
+    got = [(o.kind, o.line_no, o.n_lines, o.column, o.triple and o.triple.object) for o in parse_text(text, "csv")]
+    assert got == [("error", 1, 1, 13, None), ("record", 2, 1, None, "x"), ("error", 3, 1, 13, None), ("record", 4, 1, None, "i")]
+
+
+def test_prose_is_no_record_start():
+    text = f'{S},{P},"see\nhttp://x.example/a, and more\nend",0.5\n{S},{P},"open\n{S},{P},"two\nlines"'
+    got = [(o.kind, o.line_no, o.n_lines, o.triple and (o.triple.object, o.triple.weights)) for o in parse_text(text, "csv")]
+    assert got == [("record", 1, 3, ("see\nhttp://x.example/a, and more\nend", 0.5)), ("error", 4, 1, None), ("record", 5, 2, ("two\nlines", None))]
+    assert is_record_start(f'{S},{P},"open ""', "csv", None)
+    assert not is_record_start(f'{S},{P},"closed" x', "csv", None)
+    assert not is_record_start(f'{S},not an IRI,"open', "csv", None)
+    assert not is_record_start('http://x.example/a, and "more', "csv", None)
+
+
+def test_errors_of_several_lines_are_located():
+    text = f'{S},{P},"two\nlines" x\nrest\n\n{S},{P},"three\nlines\n",abc\n{S},{P},z'
+    got = [(o.kind, o.line_no, o.n_lines, o.err_line, o.column, o.reason) for o in parse_text(text, "csv")]
+    assert got == [("error", 1, 4, 2, 7, "quoting"), ("error", 5, 3, 7, 3, "value"), ("record", 8, 1, None, None, None)]
+
+
+def test_columns_without_a_number_asked_for():
+    assert reason(f"{S},{P},a,0.5", "csv") == "record"
+    assert reason(f"{S},{P},a,0.5,x,y", "csv") == "column_count"
+    assert reason(f"{S},{P}", "csv") == "column_count"
+
+
+def test_rows_of_a_table_are_each_a_start():
+    got = parse_rows([f'{S},{P},"open', 'close"', None, f"{S},{P},x\n"], "csv", 3)
+    assert [(o.kind, o.reason) for o in got] == [("error", "quoting"), ("error", "quoting"), ("none", None), ("record", None)]
+    assert reason(f'{S},{P},"a\nb"', "csv", 3) == "quoting"
+    assert reason(f"{S},{P},a\nb", "csv", 3) == "column_count"
+
+
+def test_a_quote_open_for_too_long_is_broken():
+    r = Reader("csv", 3, max_record=100)
+    got = [o for i, line in enumerate([f'{S},{P},"open', *["x" * 30] * 5, f"{S},{P},good"]) for o in r.feed(line, i + 1)]
+    assert [(o.kind, o.line_no) for o in got if o.kind != "none"][0] == ("error", 1)
+    assert got[-1].kind == "record"
+
+
 def test_text_of_lines():
     text = f"# c\n<{S}> <{P}> <{O}> .\r\n<{S}> <{P} <{O}> .\n<{S}> <{P}> <{O}> ."
     assert [(o.kind, o.line_no) for o in parse_text(text, "nt")] == [("record", 2), ("error", 3), ("record", 4)]

@@ -1,10 +1,15 @@
 """Error-recovering recursive-descent grammar for delimited and N-Triples/N-Quads lines.
 
-`parse_line` reads one line; `parse_text` reads a whole buffer and, after a
-broken quote, goes on at the next line start that is validated as the start of
-a record. Every error has a reason, a column (from 1) and what was expected.
-
-Reasons, in the order in which they are tested:
+`Reader` takes lines one after another and gives typed records and located
+errors. A quoted csv or tsv field may hold line breaks. Lines that follow an
+open quote are held until it closes or a validated record start comes: a line
+that parses whole as a record, or whose fields up to an opening quote are those
+of one. A quote that such a line interrupts is broken at its opening, and
+reading resumes there, so a broken quote swallows no record. What is a record
+start follows from the line alone, so a text may be read from any place on.
+
+Every error has a reason, a place and what was expected. Reasons, in the order
+in which they are tested:
   quoting       a quote or angle bracket that isn't closed, or closed wrongly
   column_count  not the number of fields or terms asked for, or no closing dot
   value         a term that the position or its datatype doesn't allow
@@ -15,7 +20,7 @@ from __future__ import annotations
 import datetime
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}
@@ -44,12 +49,8 @@ _NT_WORD = re.compile(r'[^ \t"<\n]++')
 _NT_TAG = re.compile(r'@[^ \t"<.\n]*+')
 _NT_TRAIL = re.compile(r"[ \t]*+(?:#[^\n]*+)?")
 _NT_COMMENT = re.compile(r"\s*#")
-_ANCHOR = {
-    "csv": re.compile(r'"?(?:https?://|urn:|_:)[^\s",]+"?,'),
-    "tsv": re.compile(r'"?(?:https?://|urn:|_:)[^\s"]+"?\t'),
-    "nt": re.compile(r"[ \t]*(?:<(?:https?://|urn:)[^\s<>]+>|_:[A-Za-z0-9]+)[ \t]"),
-}
-_ANCHOR["nq"] = _ANCHOR["nt"]
+_OPEN = re.compile(r'"(?:[^"]|"")*+')
+MAX_RECORD = 64 << 20  # characters: a quote still open after so many is broken
 
 
 class Broken(Exception):
@@ -58,6 +59,8 @@ class Broken(Exception):
     def __init__(self, reason: str, at: int, expected: str) -> None:
         super().__init__(reason, at, expected)
         self.reason, self.at, self.expected = reason, at, expected
+        self.fields: list[str] = []
+        self.places: list[int] = []
 
 
 class Triple(NamedTuple):
@@ -69,7 +72,7 @@ class Triple(NamedTuple):
 
 
 class Outcome(NamedTuple):
-    """What a line or a record of a buffer gave: kind is record, error or none."""
+    """What a record gave: kind is record, error or none. It begins at line_no and has n_lines; an error lies in err_line at column."""
 
     kind: str
     line_no: int
@@ -77,13 +80,8 @@ class Outcome(NamedTuple):
     reason: str | None
     expected: str | None
     triple: Triple | None
-
-
-def _line_end(s: str, start: int, end: int) -> tuple[int, int]:
-    """Where the text of the line ends (without its carriage return), and where the next begins."""
-    nl = s.find("\n", start, end)
-    stop, after = (end, end) if nl < 0 else (nl, nl + 1)
-    return (stop - 1 if stop > start and s[stop - 1] == "\r" else stop), after
+    n_lines: int = 1
+    err_line: int | None = None
 
 
 # --- delimited records -------------------------------------------------------
@@ -105,30 +103,44 @@ def _field(s: str, pos: int, end: int, sep: str, multiline: bool) -> tuple[str,
     return s[pos:stop], stop
 
 
-def _delimited(s: str, pos: int, end: int, sep: str, n_cols: int, multiline: bool) -> tuple[Triple, int]:
-    fields, at = [], []
+def _fields(s: str, pos: int, end: int, sep: str, multiline: bool) -> tuple[list[str], list[int]]:
+    """The fields up to `end`, and where they begin. A broken one carries those before it."""
+    fields: list[str] = []
+    at: list[int] = []
     while True:
         at.append(pos)
-        text, pos = _field(s, pos, end, sep, multiline)
+        try:
+            text, pos = _field(s, pos, end, sep, multiline)
+        except Broken as e:
+            e.fields, e.places = fields, at
+            raise
         fields.append(text)
         if pos < end and s[pos] == sep:
             pos += 1
         else:
             break
-    if fields[-1].endswith("\r") and s[pos - 1] == "\r":
-        fields[-1] = fields[-1][:-1]
-    if n_cols is not None and len(fields) != n_cols:
-        raise Broken("column_count", at[min(len(at), n_cols) - 1], f"{n_cols} fields instead of {len(fields)}")
-    if len(fields) < 3:
-        raise Broken("column_count", at[-1], "subject, predicate and object")
-    subject, predicate, obj = fields[:3]
-    if not (_IRI.fullmatch(subject) or _BLANK_NODE.fullmatch(subject)):
+    if pos != end:
+        raise Broken("column_count", pos, "the line's end")
+    return fields, at
+
+
+def _subject_and_predicate(fields: list[str], at: list[int]) -> None:
+    if not (_IRI.fullmatch(fields[0]) or _BLANK_NODE.fullmatch(fields[0])):
         raise Broken("value", at[0], "an IRI or a blank node as subject")
-    if not _IRI.fullmatch(predicate):
+    if not _IRI.fullmatch(fields[1]):
         raise Broken("value", at[1], "an IRI as predicate")
+
+
+def _typed(fields: list[str], at: list[int], n_cols: int | None, multiline: bool) -> Triple:
+    if n_cols is not None and len(fields) != n_cols:
+        raise Broken("column_count", at[min(len(at), max(1, n_cols)) - 1], f"{n_cols} fields instead of {len(fields)}")
+    if not 3 <= len(fields) <= 4:
+        raise Broken("column_count", at[min(len(at), 4) - 1], f"subject, predicate, object and perhaps weights instead of {len(fields)} fields")
+    _subject_and_predicate(fields, at)
+    obj = fields[2]
     if not (_IRI.fullmatch(obj) or (obj.strip() and not _IRI_START.match(obj) and not _BAD_IN_LITERAL.search(_BREAKS.sub("", obj) if multiline else obj))):
         raise Broken("value", at[2], "an IRI, a blank node or a literal as object")
-    return Triple(subject, predicate, obj, _weight(fields[3], at[3]) if len(fields) > 3 else None, None), pos
+    return Triple(fields[0], fields[1], obj, _weight(fields[3], at[3]) if len(fields) > 3 else None, None)
 
 
 def _weight(text: str, at: int) -> float:
@@ -241,17 +253,7 @@ def _literal(term: tuple, at: int) -> str:
     return whole
 
 
-# --- records, lines and buffers ----------------------------------------------
-
-
-def _record(s: str, pos: int, end: int, fmt: str, n_cols: int | None, multiline: bool) -> tuple[Triple, int]:
-    if fmt in SEPARATORS:
-        return _delimited(s, pos, end, SEPARATORS[fmt], n_cols, multiline)
-    if fmt == "nt":
-        return _terms(s, pos, end, 3, 3)
-    if fmt == "nq":
-        return _terms(s, pos, end, 4, 3)
-    raise ValueError(f"unknown format {fmt!r}: csv, tsv, nt or nq")
+# --- records, lines and texts ------------------------------------------------
 
 
 def is_no_record(text: str, fmt: str) -> bool:
@@ -259,60 +261,129 @@ def is_no_record(text: str, fmt: str) -> bool:
     return not text.strip() or (fmt in ("nt", "nq") and _NT_COMMENT.match(text) is not None)
 
 
-def parse_line(raw: str | None, fmt: str | None, n_cols: int | None) -> Outcome:
-    """One line that must be one record. Null and blank lines are no records; an unknown or null format is an error of its own."""
-    if raw is None:
-        return Outcome("none", 1, None, None, None, None)
-    if fmt not in ("csv", "tsv", "nt", "nq"):
-        return Outcome("error", 1, 1, "format", "csv, tsv, nt or nq", None)
-    end = len(raw)
-    if raw.endswith("\n"):
-        end -= 1
-    if end and raw[end - 1] == "\r":
-        end -= 1
-    text = raw[:end]
-    if is_no_record(text, fmt):
-        return Outcome("none", 1, None, None, None, None)
+def _record(s: str, fmt: str, n_cols: int | None, multiline: bool = False) -> Triple:
+    """The record that the text is."""
+    if fmt in SEPARATORS:
+        return _typed(*_fields(s, 0, len(s), SEPARATORS[fmt], multiline), n_cols, multiline)
+    triple, stop = _terms(s, 0, len(s), 4 if fmt == "nq" else 3, 3)
+    if stop != len(s):
+        raise Broken("column_count", stop, "the line's end")
+    return triple
+
+
+def _opened(e: Broken, s: str) -> bool:
+    """Whether what broke is a field whose quote is open up to the line's end."""
+    return e.reason == "quoting" and bool(e.places) and e.at == e.places[-1] and s.startswith('"', e.at) and _OPEN.match(s, e.at).end() == len(s)
+
+
+def is_record_start(line: str, fmt: str, n_cols: int | None) -> bool:
+    """Whether the line is a record, or begins one: subject, predicate and an object whose quote stays open."""
     try:
-        triple, stop = _record(text, 0, end, fmt, n_cols, False)
-        if stop != end:
-            raise Broken("column_count", stop, "the line's end")
-        return Outcome("record", 1, None, None, None, triple)
+        _record(line, fmt, n_cols)
+        return True
     except Broken as e:
-        return Outcome("error", 1, e.at + 1, e.reason, e.expected, None)
+        if not (_opened(e, line) and len(e.fields) == 2):
+            return False
+        try:
+            _subject_and_predicate(e.fields, e.places)
+        except Broken:
+            return False
+        return True
+
+
+class Reader:
+    """Reads lines of one format in order; see the module. Without `multiline` a record ends with its line."""
+
+    def __init__(self, fmt: str, n_cols: int | None = None, multiline: bool = True, max_record: int = MAX_RECORD) -> None:
+        if fmt not in ("csv", "tsv", "nt", "nq"):
+            raise ValueError(f"unknown format {fmt!r}: csv, tsv, nt or nq")
+        self.fmt, self.n_cols, self.max_record = fmt, n_cols, max_record
+        self.multiline = multiline and fmt in SEPARATORS
+        self.held: list[str] = []  # lines since an open quote
+        self.size = 0
+        self.first = 0
+        self.error: Outcome | None = None  # what is wrong with the held lines, once they can't become a record
+
+    def feed(self, line: str, line_no: int, start: bool = False) -> Iterator[Outcome]:
+        """What the line completes. `start`: the line is known to begin a record (a row of a table does)."""
+        line = line.removesuffix("\r")
+        if self.held:
+            if not start and not is_record_start(line, self.fmt, self.n_cols):
+                yield from self._hold(line)
+                return
+            yield from self.finish()
+        if is_no_record(line, self.fmt):
+            yield Outcome("none", line_no, None, None, None, None)
+            return
+        try:
+            yield Outcome("record", line_no, None, None, None, _record(line, self.fmt, self.n_cols))
+        except Broken as e:
+            error = Outcome("error", line_no, e.at + 1, e.reason, e.expected, None, 1, line_no)
+            if self.multiline and e.reason == "quoting":
+                self.held, self.size, self.first, self.error = [line], len(line), line_no, None if _opened(e, line) else error
+            else:
+                yield error
+
+    def _hold(self, line: str) -> Iterator[Outcome]:
+        """One more line after a quote: it may close it, or belongs to the error."""
+        self.held.append(line)
+        self.size += len(line) + 1
+        if self.error is not None or line.count('"') % 2 == 0:
+            if self.size > self.max_record:
+                yield from self.finish()
+            return
+        text = "\n".join(self.held)
+        try:
+            triple = _record(text, self.fmt, self.n_cols, True)
+            outcome = Outcome("record", self.first, None, None, None, triple, len(self.held))
+        except Broken as e:
+            outcome = self._located(e, text)
+            if e.reason == "quoting":
+                self.error = outcome
+                return
+        self.held = []
+        yield outcome
+
+    def _located(self, e: Broken, text: str) -> Outcome:
+        return Outcome("error", self.first, e.at - text.rfind("\n", 0, e.at), e.reason, e.expected, None, len(self.held), self.first + text.count("\n", 0, e.at))
+
+    def finish(self) -> Iterator[Outcome]:
+        """The error of the held lines, at a record start or the text's end."""
+        if not self.held:
+            return
+        error = self.error
+        if error is None:
+            try:
+                _fields(self.held[0], 0, len(self.held[0]), SEPARATORS[self.fmt], False)
+            except Broken as e:
+                error = Outcome("error", self.first, e.at + 1, e.reason, e.expected, None, 1, self.first)
+        n, self.held, self.error = len(self.held), [], None
+        yield error._replace(n_lines=n)
 
 
-def next_anchor(s: str, pos: int, end: int, fmt: str) -> int:
-    """The next line start after pos that reads as a record's start, or the end."""
-    while True:
-        nl = s.find("\n", pos, end)
-        if nl < 0:
-            return end
-        pos = nl + 1
-        if _ANCHOR[fmt].match(s, pos, end):
-            return pos
+def parse_rows(rows: Sequence[str | None], fmt: str | None, n_cols: int | None) -> list[Outcome]:
+    """One outcome for each row of a table of lines. Each row begins a record, so a broken quote ends with its row.
 
+    A null row is no record; an unknown or null format gives the reason
+    `format`. A line break inside a row, other than its end, is no line's end.
+    """
+    if fmt not in ("csv", "tsv", "nt", "nq"):
+        return [Outcome("none", 1, None, None, None, None) if r is None else Outcome("error", 1, 1, "format", "csv, tsv, nt or nq", None, 1, 1) for r in rows]
+    reader, out = Reader(fmt, n_cols), []
+    for i, r in enumerate(rows):
+        out.extend(reader.feed((r or "").removesuffix("\n"), i, True))
+    out.extend(reader.finish())
+    return [o._replace(line_no=1, err_line=o.err_line and 1) for o in out]
 
-def parse_text(s: str, fmt: str, n_cols: int | None = None, multiline: bool = True) -> Iterator[Outcome]:
-    """All records of a buffer. A quoted field may hold line breaks if `multiline`.
 
-    After a broken quote the lines up to the next validated record start belong
-    to the error; any other error ends with its line.
-    """
-    pos, end, line_no, counted = 0, len(s), 1, 0
-    multiline = multiline and fmt in SEPARATORS
-    while pos < end:
-        line_no += s.count("\n", counted, pos)
-        counted = pos
-        stop, after = _line_end(s, pos, end)
-        if is_no_record(s[pos:stop], fmt):
-            pos = after
-            continue
-        try:
-            limit = end if multiline else stop
-            triple, at = _record(s, pos, limit, fmt, n_cols, multiline)
-            yield Outcome("record", line_no, None, None, None, triple)
-            pos = after if not multiline else _line_end(s, at, end)[1] if at < end else end
-        except Broken as e:
-            yield Outcome("error", line_no, e.at - s.rfind("\n", 0, e.at), e.reason, e.expected, None)
-            pos = next_anchor(s, pos, end, fmt) if e.reason == "quoting" and multiline else after
+def parse_line(raw: str | None, fmt: str | None, n_cols: int | None) -> Outcome:
+    """One line that must be one record."""
+    return parse_rows([raw], fmt, n_cols)[0]
+
+
+def parse_text(s: str, fmt: str, n_cols: int | None = None, multiline: bool = True, first_line: int = 1) -> Iterator[Outcome]:
+    """All records and errors of a text."""
+    reader = Reader(fmt, n_cols, multiline)
+    for i, line in enumerate(s.split("\n")):
+        yield from (o for o in reader.feed(line, first_line + i) if o.kind != "none")
+    yield from reader.finish()
