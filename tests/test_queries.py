@@ -12,7 +12,7 @@ def test_query_agrees_with_sql(spark, duck, name, module):
     same_as_sql(spark, duck, module.QUERIES[name], module.SQL[name])
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_triples", "p1_reject_rates"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_triples", "p1_reject_rates", "p1_multiline"])
 def test_lines_are_split_without_rest(spark, duck, name):
     from conftest import TESTDATA
 
