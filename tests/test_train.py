@@ -1,4 +1,6 @@
 import json
+import sys
+import types
 
 import numpy as np
 import pytest
@@ -8,7 +10,8 @@ from triloom import generators
 from triloom.config import WalkConfig
 from triloom.model import KGEmbedder, wide
 from triloom.operators import search
-from triloom.track import build_tracker
+from triloom.sources import sinks
+from triloom.track import build_tracker, read_runs
 from triloom.train import models, trainer
 
 CONTEXT = np.array([[0, 1, -1], [2, -1, -1], [3, 3, 4], [5, 0, 1]])
@@ -187,5 +190,96 @@ def test_top_k(spark):
     want = [(i, r + 1, int(t)) for i in range(0, 200, 20) for r, t in enumerate(np.lexsort((np.arange(200), -(v @ v[i])))[:3])]
     assert got == want
     assert search.top_k(df, q.limit(0), 3).count() == 0
-    with pytest.raises(ValueError, match="blocks"):
-        search.top_k(df, q, 3, most_queries=2)
+    assert rows(search.top_k(df, q, 3, block=3), "query_id", "rank", "token") == want
+    ties = spark.createDataFrame([(i, [1.0]) for i in range(9000)], "token int, embedding array<double>").coalesce(1)
+    assert rows(search.top_k(ties, spark.createDataFrame([("a", [2.0])], "query_id string, query array<double>"), 3), "token") == [(0,), (1,), (2,)]
+
+
+def test_order_aware_pipeline(spark):
+    g = generators.growing_random(spark, 15, 2, ["p"], seed=3)
+    for kind in ("skipgram", "cbow"):
+        m = KGEmbedder(spark, walk_depth=2, walk_number=1, vector_size=4, window_size=2, epochs=1, order_aware=True, embedding_model=kind).fit(g)
+        assert m.transform().count() == m.word2idx.count()
+        assert m.context_table("out" if kind == "skipgram" else "in").count() == 5 * m.word2idx.count()
+        m.release()
+
+
+class Stub(types.ModuleType):
+    """A module that remembers its calls."""
+
+    def __init__(self, name):
+        super().__init__(name)
+        self.calls, self.config, self.tags = [], self, ()
+
+    def __getattr__(self, name):
+        if name.startswith("__"):
+            raise AttributeError(name)
+
+        def call(*a, **kw):
+            self.calls.append((name, a, kw))
+            return self
+
+        return call
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *kind):
+        self.calls.append(("left", kind[:1], {}))
+
+    def names(self):
+        return [c[0] for c in self.calls]
+
+
+@pytest.mark.parametrize("name", ["mlflow", "wandb"])
+def test_tracker_services(monkeypatch, tmp_path, name):
+    stub = Stub(name)
+    monkeypatch.setitem(sys.modules, name, stub)
+    settings = {"mlflow": {"experiment": "x", "tracking_uri": "file:///tmp/x"}, "wandb": {"project": "p"}}
+    t = build_tracker(name, settings)
+    t.start_pipeline("run", {"a": "b"})
+    (tmp_path / "model").mkdir()
+    (tmp_path / "f.txt").write_text("x")
+    with pytest.raises(KeyError), t.stage("data_loading"):
+        t.log_params({"a": 1})
+        t.log_metrics({"m": 1.0}, step=0)
+        raise KeyError
+    t.log_data({"a": [1]}, "sample", "data", {"k": "v"})
+    t.log_artifact(str(tmp_path / "f.txt"))
+    t.log_dict({"a": 1}, "d.json", "data")
+    t.log_text("hello", "t.txt")
+    t.log_model(tmp_path / "model", "model")
+    t.set_tags({"status": "success"})
+    t.close()
+    called = stub.names()
+    if name == "mlflow":
+        assert called == ["set_tracking_uri", "set_experiment", "start_run", "start_run", "log_params", "log_metrics", "left", "log_table", "set_tags", "log_artifact", "log_dict", "log_text", "log_artifacts", "set_tags", "end_run"]
+        assert stub.calls[5][2] == {"step": 0}
+        assert stub.calls[10][1][1] == "data/d.json"
+    else:
+        assert ("log", ({"stage/end": "data_loading"},), {}) in stub.calls
+        assert called.count("Artifact") == 4
+        assert called.count("log_artifact") == 4
+        assert called[-1] == "finish"
+        assert "status=success" in stub.tags
+    assert build_tracker(name, settings[name]).enabled()
+    assert not build_tracker("none", settings).enabled()
+
+
+def test_runs_are_read_back(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    for status in ("success", "failed"):
+        t = build_tracker("local", {"local": {"path": str(path)}})
+        t.start_pipeline(f"run-{status}")
+        t.log_params({"package": "p", "n": 3})
+        t.log_metrics({"loss": 2.0}, step=0)
+        t.log_metrics({"loss": 1.0}, step=1)
+        t.set_tags({"status": status})
+        t.close()
+    build_tracker("local", {"path": str(path)}).start_pipeline("open")
+    runs = read_runs(spark, str(path))
+    assert rows(runs, "run_name", "status") == [("open", "running"), ("run-failed", "failed"), ("run-success", "success")]
+    good = runs.where("status = 'success'").select("params.package", "metrics.loss", "seconds")
+    assert rows(good, "package", "loss") == [("p", "1.0")]
+    s = sinks.write_summary(good, str(tmp_path / "summary"), ["package"], "seconds").collect()
+    assert (len(s), s[0].runs) == (1, 1)
