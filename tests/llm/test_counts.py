@@ -1,11 +1,14 @@
 """Pairs, percentiles and term counts."""
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import rows
+from conftest import ROOT, rows
 from pyspark.sql import functions as F
 
 from triloom.llm import digest, frequency, pairs
@@ -38,39 +41,83 @@ def state(t):
 
 def test_pair_table_is_the_brute_count(spark):
     data = some_pairs(1, range(60), 900)
-    t = pairs.PairTable(spark, buckets=4).apply(spark.createDataFrame(data, PAIR))
+    t = pairs.temporary(spark, bucket_rows=20).apply(spark.createDataFrame(data, PAIR))
+    assert t.buckets == 4
     assert state(t) == brute_pairs(data)
     s = {(r.a, r.b): r for r in t.scores().collect()}
     n, alone, w = brute_pairs(data)
     assert all(abs(s[k].lift - n[k] * w / (alone[k[0]] * alone[k[1]])) < 1e-9 for k in n)
 
 
-def test_changes_merge_to_the_same_as_counting_anew(spark):
+def test_changes_merge_to_the_same_as_counting_anew(spark, tmp_path):
     old = some_pairs(2, range(50), 600)
     df = lambda x: spark.createDataFrame(x, PAIR)
-    t = pairs.PairTable(spark, buckets=4).apply(df(old))
+    folder = str(tmp_path / "table")
+    pairs.PairTable(spark, folder, bucket_rows=50).apply(df(old), load="day 1")
     before = [r for r in old if r[0] in (3, 4, 5)]
     after = [(3, 1, 2, "x"), (4, 7, 8, "x"), (77, 9, 10, "x")]  # 3 and 4 changed, 5 removed, 77 new
-    t = pairs.PairTable.resume(spark, t.state())
+    t = pairs.PairTable(spark, folder, bucket_rows=50)
+    assert t.affected().count() > 0
     was = state(t)
-    t.apply(df(after), df(before))
+    assert was == brute_pairs(old)
+    t.apply(df(after), df(before), load="day 2")
     new = [r for r in old if r[0] not in (3, 4, 5)] + after
     assert state(t) == brute_pairs(new)
+    t.apply(df(after), df(before), load="day 2")  # merged before
+    assert state(pairs.PairTable(spark, folder)) == brute_pairs(new)
     moved = {k for k in {*was[0], *state(t)[0]} if was[0].get(k) != state(t)[0].get(k)}
     items = {k for k in {*was[1], *state(t)[1]} if was[1].get(k) != state(t)[1].get(k)}
     want = {k for k in state(t)[0] if k in moved or items & set(k)}
     assert {(r.a, r.b) for r in t.affected().collect()} == want
+    t.vacuum()
+    assert state(pairs.PairTable(spark, folder)) == brute_pairs(new)
+    assert sum(n.startswith("manifest") for n in os.listdir(folder)) == 1
+
+
+def test_everything_removed_and_buckets_that_grow(spark):
+    t = pairs.temporary(spark, bucket_rows=10)
+    df = lambda x: spark.createDataFrame(x, PAIR)
+    few, many = [(1, 1, 2, "x")], [(w, w, w + 1, "x") for w in range(2, 200)]
+    t.apply(df(few))
+    assert t.buckets == 1
+    t.apply(df(many))
+    assert t.buckets > 16
+    assert state(t) == brute_pairs(few + many)
+    t.apply(df([]), df(few + many))
+    assert state(t) == ({}, {}, 0)
+    t.apply(df(few))
+    assert state(t) == brute_pairs(few)
+
+
+_LATER = """
+import sys
+from pyspark.sql import SparkSession
+from triloom.llm import pairs
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+t = pairs.PairTable(spark, sys.argv[1])
+assert t.records == 2, t.records
+t.apply(spark.createDataFrame([(9, 1, 2)], "walk_id bigint, center int, context int"), spark.createDataFrame([(2, 1, 3)], "walk_id bigint, center int, context int"))
+"""
+
+
+def test_another_process_goes_on(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    first = [(1, 1, 2, ""), (2, 1, 3, "")]
+    pairs.PairTable(spark, folder).apply(spark.createDataFrame(first, PAIR))
+    code = subprocess.run([sys.executable, "-c", _LATER, folder], cwd=ROOT, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(ROOT)})
+    assert code.returncode == 0, code.stderr[-2000:]
+    assert state(pairs.PairTable(spark, folder)) == brute_pairs([(1, 1, 2, ""), (9, 1, 2, "")])
 
 
 def test_no_pairs(spark):
-    t = pairs.PairTable(spark).apply(spark.createDataFrame([], PAIR))
+    t = pairs.temporary(spark).apply(spark.createDataFrame([], PAIR))
     assert state(t) == ({}, {}, 0)
     assert pairs.far_above_chance(t, 1, 1).count() == 0
 
 
 def test_far_above_chance(spark):
     data = [(w, 1, 2, "") for w in range(15)] + [(w, 3, 4, "") for w in range(15, 2000)]
-    t = pairs.PairTable(spark).apply(spark.createDataFrame(data, PAIR))
+    t = pairs.temporary(spark).apply(spark.createDataFrame(data, PAIR))
     assert rows(pairs.far_above_chance(t, 12, 20), "a", "b") == [(1, 2)]
     assert pairs.far_above_chance(t, 16, 20).count() == 0
 

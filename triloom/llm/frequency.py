@@ -23,13 +23,13 @@ def term_counts(rows: DataFrame, term: str = "token", record: str = "walk_id", p
     rows = rows.select(F.col(term).alias("t"), F.col(record).alias("r"), F.col(position).alias("p")).where("t IS NOT NULL")
     plan = skew.plan_shards(rows, F.col("t"))
     placed = skew.with_shard(rows, F.col("t"), plan, [F.col("r")])
-    seen = Window.partitionBy(skew.SALT, skew.KEY).orderBy("r", "p")
+    seen = Window.partitionBy(skew.KEY, skew.SALT).orderBy("r", "p")
     first = F.row_number().over(seen) == 1
     other_record = first | ~F.lag("r").over(seen).eqNullSafe(F.col("r"))
     other_place = ~F.lag("p").over(seen).eqNullSafe(F.col("p"))
-    marked = placed.select(skew.SALT, skew.KEY, "r", other_record.alias("new_record"), other_place.alias("new_place"))
+    marked = placed.select(skew.KEY, skew.SALT, "r", other_record.alias("new_record"), other_place.alias("new_place"))
     return (
-        marked.groupBy(skew.SALT, skew.KEY)
+        marked.groupBy(skew.KEY, skew.SALT)
         .agg(F.count(F.when(F.col("new_record") | F.col("new_place"), 1)).alias("o"), F.count(F.when(F.col("new_record") & F.col("r").isNotNull(), 1)).alias("n"), F.max("r").alias("l"))
         .groupBy(F.col(skew.KEY).alias(term))
         .agg(F.sum("o").alias("occurrences"), F.sum("n").alias("records"), F.max("l").alias("last_record"))

@@ -1,150 +1,183 @@
 """Items that appear together: an incremental table of pair counts.
 
-`deltas` turns changed baskets into signed changes of pair and item counts.
-`PairTable` merges them into counts kept in hash buckets of a shared folder,
-rewriting only the buckets that a change reaches, and gives the association
-scores of all pairs or of those that the last change affected.
+`deltas` turns changed baskets into signed changes of pair counts, item counts
+and the number of baskets, in one pass. `PairTable` keeps the counts in hash
+buckets of a folder of the caller's and merges changes into the buckets they
+reach. Each change ends with a manifest, written whole: a later process opens
+the folder and goes on, and a process that dies before it leaves the counts as
+they were. Association scores are given for all pairs, or recomputed for those
+that the last change affects.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom.session import fresh_path
+from triloom.operators import skew
+from triloom.session import fresh_path, get_text, names, put_text, remove, written
 
-PAIRS, ITEMS = ["a", "b"], ["x"]
+BUCKET_ROWS = 2_000_000
+_STATE = "a int, b int, n bigint, bucket int, kind int"  # kind 0: a pair a < b; 1: an item a = b
+_CHANGE = "a int, b int, d bigint, kind int"  # kind 2: the number of baskets
 
 
-def _meetings(rows: DataFrame, record: str, left: str, right: str) -> DataFrame:
-    """(r, a, b) of rows that name a record and two items; an item is left out if null or negative."""
-    r = rows.select(F.col(record).alias("r"), F.col(left).alias("l"), F.col(right).alias("m"))
+def _meetings(rows: DataFrame, record: str, left: str, right: str, sign: int) -> DataFrame:
+    """(s, r, a, b) of rows that name a record and two items; an item is left out if null or negative."""
+    r = rows.select(F.lit(sign).alias("s"), F.col(record).alias("r"), F.col(left).alias("l"), F.col(right).alias("m"))
     r = r.where("r IS NOT NULL AND l >= 0 AND m >= 0")
-    return r.select("r", F.least("l", "m").alias("a"), F.greatest("l", "m").alias("b"))
+    return r.select("s", "r", F.least("l", "m").cast("int").alias("a"), F.greatest("l", "m").cast("int").alias("b"))
 
 
-def _once(meetings: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
-    pairs = meetings.where("a < b").distinct().withColumn("d", F.lit(sign))
-    items = meetings.select("r", F.explode(F.array("a", "b")).alias("x")).distinct().withColumn("d", F.lit(sign))
-    return pairs, items
-
-
-def deltas(after: DataFrame, before: DataFrame | None = None, record: str = "walk_id", left: str = "center", right: str = "context") -> tuple[DataFrame, DataFrame, int]:
-    """Changes of the pair counts (a, b, d), of the item counts (x, d), and of the number of records.
+def deltas(after: DataFrame, before: DataFrame | None = None, record: str = "walk_id", left: str = "center", right: str = "context") -> DataFrame:
+    """(a, b, d, kind): changes of the counts of pairs (kind 0, a < b), of items (1, a = b) and of records (2, a = b = -1), zeros left out.
 
     `after` holds all rows of new or changed records, `before` the rows that
     the changed or removed records had (none of them: null). A pair counts once
     for each record with a row that holds both items, in either order; an item
-    once for each record with it. Duplicates leave before the count, by record
-    and pair, so that neither a large record nor a frequent pair fills one
-    task; the counts combine before they are shuffled.
+    once for each record with it. Each row names its pair, its items and its
+    record; duplicates leave by all of them, so that neither a large record nor
+    a frequent pair fills one task, and the counts combine before they are
+    shuffled.
     """
-    now = _meetings(after, record, left, right)
-    pairs, items = _once(now, 1)
-    records = now.agg(F.countDistinct("r")).first()[0]
+    m = _meetings(after, record, left, right, 1)
     if before is not None:
-        was = _meetings(before, record, left, right)
-        old_pairs, old_items = _once(was, -1)
-        pairs, items = pairs.unionByName(old_pairs), items.unionByName(old_items)
-        records -= was.agg(F.countDistinct("r")).first()[0]
-    net = lambda df, by: df.groupBy(*by).agg(F.sum("d").alias("d")).where("d <> 0")
-    return net(pairs, PAIRS), net(items, ITEMS), records
+        m = m.unionByName(_meetings(before, record, left, right, -1))
+    name = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b")) if isinstance(a, str) else F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+    alone, both = F.array(name("a", "a"), name(None, None)), F.array(name("a", "b"), name("a", "a"), name("b", "b"), name(None, None))
+    once = m.distinct().select("s", "r", F.explode(F.when(F.col("a") == F.col("b"), alone).otherwise(both)).alias("x")).select("s", "r", "x.a", "x.b").distinct()
+    kind = F.when(F.col("a") < 0, 2).when(F.col("a") == F.col("b"), 1).otherwise(0)
+    return once.groupBy("a", "b").agg(F.sum("s").cast("bigint").alias("d")).where("d <> 0").select("a", "b", "d", kind.alias("kind"))
 
 
-@dataclass
 class PairTable:
-    """Counts of pairs and items in hash buckets, one table for each bucket and the change that last reached it."""
-
-    spark: SparkSession
-    buckets: int = 16
-    records: int = 0
-    pair_paths: dict[int, str] = field(default_factory=dict)
-    item_paths: dict[int, str] = field(default_factory=dict)
-    changed: tuple[str, str] | None = None
-
-    def apply(self, after: DataFrame, before: DataFrame | None = None, **columns: str) -> PairTable:
-        """Merges the changes of these baskets; see `deltas`."""
-        pairs, items, records = deltas(after, before, **columns)
-        self.changed = (self._merge(pairs, PAIRS, self.pair_paths, "a int, b int"), self._merge(items, ITEMS, self.item_paths, "x int"))
-        self.records += records
-        return self
+    """Counts of pairs and items in a folder that all executors share. Opening a folder goes on from its last manifest.
+
+    Buckets grow in number with the rows: one has about `bucket_rows`, and when
+    they hold four times that, all are written anew in four times as many. The
+    folder is the caller's; nothing in it is removed but by `vacuum`. Two
+    processes that change one folder at the same time: the later manifest is an
+    error and its change is as if it had not been.
+    """
 
-    def _merge(self, change: DataFrame, by: list[str], paths: dict[int, str], schema: str) -> str:
-        bucketed = change.select(*[F.col(c).cast("int").alias(c) for c in by], F.col("d").cast("bigint").alias("d")).withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(self.buckets)).cast("int"))
-        path = fresh_path(self.spark, "pair-change")
-        if not paths:  # nothing to merge with: the change is the new state
-            bucketed.withColumn("n", F.col("d")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    def __init__(self, spark: SparkSession, folder: str, bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.folder, self.bucket_rows = spark, folder.rstrip("/"), bucket_rows
+        manifests = [n for n in names(spark, self.folder) if n.startswith("manifest-") and n.endswith(".json")]
+        s = json.loads(get_text(spark, f"{self.folder}/{manifests[-1]}")) if manifests else {"version": 0, "buckets": 0, "records": 0, "places": {}, "rows": {}, "change": None, "loads": []}
+        self._take(s)
+
+    def _take(self, s: dict) -> None:
+        self.version, self.buckets, self.records, self.change, self.loads = s["version"], s["buckets"], s["records"], s["change"], s["loads"]
+        self.places = {int(k): v for k, v in s["places"].items()}  # bucket -> table that holds it
+        self.rows = {int(k): v for k, v in s["rows"].items()}
+
+    def _commit(self, **state: object) -> None:
+        put_text(self.spark, f"{self.folder}/manifest-{state['version']:09d}.json", json.dumps(state))
+        self._take(json.loads(json.dumps(state)))
+
+    def apply(self, after: DataFrame, before: DataFrame | None = None, load: str | None = None, **columns: str) -> PairTable:
+        """Merges the changes of these baskets; see `deltas`. A named `load` that was merged before changes nothing."""
+        if load is not None and load in self.loads:
+            return self
+        version = self.version + 1
+        change = f"change-{version:09d}-{uuid.uuid4().hex[:8]}"
+        deltas(after, before, **columns).write.partitionBy("kind").parquet(f"{self.folder}/{change}")
+        c = self.spark.read.schema(_CHANGE).parquet(f"{self.folder}/{change}")
+        sums = c.agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == 2, F.col("d"))).alias("records")).first()
+        c = c.where("kind < 2")
+        most = sum(self.rows.values()) + sums["n"]
+        buckets, places, rows = self.buckets, dict(self.places), dict(self.rows)
+        if not buckets or most > 4 * buckets * self.bucket_rows:  # new ones for all rows
+            while (buckets or 1) * self.bucket_rows < most:
+                buckets = 4 * (buckets or 1)
+            buckets = buckets or 1
+            old, reached, places, rows = self._counts(), buckets, {}, {}
         else:
-            delta = fresh_path(self.spark, "pair-delta")
-            bucketed.repartition("bucket").write.partitionBy("bucket").parquet(delta)
-            delta_df = self._read({b: f"{delta}/bucket={b}" for b in self._present(delta)}, f"{schema}, d bigint")
-            reached = self._present(delta)
-            old = self._read({b: paths[b] for b in reached if b in paths}, f"{schema}, n bigint").withColumn("d", F.lit(0).cast("bigint"))
-            merged = old.unionByName(delta_df.withColumn("n", F.col("d"))).groupBy("bucket", *by).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-            merged.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        for b in self._present(path):
-            paths[b] = f"{path}/bucket={b}"
-        return path
-
-    def _present(self, path: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-        names = [x.getPath().getName() for x in found]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))
-
-    def _read(self, paths: dict[int, str], schema: str) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], f"{schema}, bucket int")
-        by_root: dict[str, list[str]] = {}
-        for p in paths.values():
-            by_root.setdefault(p.rpartition("/")[0], []).append(p)
+            hit = [r[0] for r in c.select(self._bucket(buckets)).distinct().collect()]  # at most as many as buckets
+            old, reached = self._counts(only=hit), max(1, len(hit))
+        both = old.select("a", "b", "n", "kind").unionByName(c.select("a", "b", F.col("d").alias("n"), "kind")).withColumn("bucket", self._bucket(buckets))
+        # a bucket's rows go to one task and are added up there
+        merged = both.repartition(reached, "bucket").groupBy("bucket", "kind", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+        place = f"counts-{version:09d}-{uuid.uuid4().hex[:8]}"
+        merged.write.partitionBy("bucket", "kind").parquet(f"{self.folder}/{place}")
+        found = {r["bucket"]: r["n"] for r in self.spark.read.schema(_STATE).parquet(f"{self.folder}/{place}").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+        gone = [] if reached == buckets and not places else [b for b in hit if b not in found]
+        for b in gone:
+            places.pop(b, None)
+            rows.pop(b, None)
+        places |= dict.fromkeys(found, place)
+        self._commit(version=version, buckets=buckets, records=self.records + (sums["records"] or 0), places=places, rows=rows | found, change=change, loads=[*self.loads, *([load] if load else [])])
+        return self
+
+    def _bucket(self, buckets: int) -> F.Column:
+        return F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def _counts(self, only: list[int] | None = None) -> DataFrame:
+        by_place: dict[str, list[str]] = {}
+        for b, place in self.places.items():
+            if only is None or b in set(only):
+                by_place.setdefault(place, []).append(f"{self.folder}/{place}/bucket={b}")
         out = None
-        for root, ps in by_root.items():
-            df = self.spark.read.schema(f"{schema}, bucket int").option("basePath", root).parquet(*ps)
+        for place, paths in by_place.items():
+            df = self.spark.read.schema(_STATE).option("basePath", f"{self.folder}/{place}").parquet(*paths)
             out = df if out is None else out.unionByName(df)
-        return out
+        return self.spark.createDataFrame([], _STATE) if out is None else out
 
     def pairs(self) -> DataFrame:
         """(a, b, n): in how many records a and b meet."""
-        return self._read(self.pair_paths, "a int, b int, n bigint").where("n <> 0").drop("bucket")
+        return self._counts().where("kind = 0").select("a", "b", "n")
 
     def items(self) -> DataFrame:
         """(x, n): in how many records x occurs."""
-        return self._read(self.item_paths, "x int, n bigint").where("n <> 0").drop("bucket")
+        return self._counts().where("kind = 1").select(F.col("a").alias("x"), "n")
 
     def scores(self, pairs: DataFrame | None = None) -> DataFrame:
-        """(a, b, n, n_a, n_b, lift) of `pairs` (all, if none are given): lift is how many times n exceeds chance."""
-        items = self.items()
-        s = (pairs or self.pairs()).join(items.select(F.col("x").alias("a"), F.col("n").alias("n_a")), "a").join(items.select(F.col("x").alias("b"), F.col("n").alias("n_b")), "b")
+        """(a, b, n, n_a, n_b, lift) of `pairs` (all, if none are given): lift is how many times n exceeds chance.
+
+        An item may be in a tenth of the pairs: the joins with the items' counts
+        split such items by estimated load.
+        """
+        p = self.pairs() if pairs is None else pairs
+        items, plans = self.items(), skew.plan_each(p, {c: F.col(c) for c in "ab"})
+        for c in "ab":
+            side = items.select(F.col("x").alias("__x"), F.col("n").alias(f"n_{c}"))
+            p = skew.join_by_key(p, side, F.col(c), F.col("__x"), plan=plans[c], spread=[F.col("a"), F.col("b")]).drop("__x")
         lift = F.col("n").cast("double") * F.lit(float(self.records)) / (F.col("n_a").cast("double") * F.col("n_b").cast("double"))
-        return s.select("a", "b", "n", "n_a", "n_b", lift.alias("lift"))
+        return p.select("a", "b", "n", "n_a", "n_b", lift.alias("lift"))
 
     def affected(self) -> DataFrame:
         """Scores of the pairs whose count, or one of whose items' counts, the last change altered.
 
         The number of records is a factor of all lifts alike; a change of it
-        alone affects no pair.
+        alone affects no pair. Without any change there are none.
         """
-        pair_change, item_change = self.changed
-        moved = self.spark.read.schema("x int, d bigint").parquet(item_change).where("d <> 0").select("x")
-        touched = self.spark.read.schema("a int, b int, d bigint").parquet(pair_change).where("d <> 0").select("a", "b")
+        if self.change is None:
+            return self.scores(self.pairs().limit(0))
+        c = self.spark.read.schema(_CHANGE).parquet(f"{self.folder}/{self.change}")
         p = self.pairs()
-        by_item = p.join(moved.withColumnRenamed("x", "a"), "a", "left_semi").select("a", "b").union(p.join(moved.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"))
-        return self.scores(p.join(touched.union(by_item).distinct(), ["a", "b"], "left_semi"))
-
-    def state(self) -> str:
-        """What has to be kept to go on later, as JSON; `resume` reads it."""
-        return json.dumps({"buckets": self.buckets, "records": self.records, "pair_paths": self.pair_paths, "item_paths": self.item_paths})
-
-    @classmethod
-    def resume(cls, spark: SparkSession, state: str) -> PairTable:
-        s = json.loads(state)
-        as_int = lambda d: {int(k): v for k, v in d.items()}
-        return cls(spark, s["buckets"], s["records"], as_int(s["pair_paths"]), as_int(s["item_paths"]))
+        plans = skew.plan_each(p, {x: F.col(x) for x in "ab"})
+        for x in "ab":
+            side = c.where("kind = 1").select(F.col("a").alias(f"__{x}"))
+            p = skew.join_by_key(p, side, F.col(x), F.col(f"__{x}"), "left", plans[x], [F.col("a"), F.col("b")])
+        touched = c.where("kind = 0").select(F.col("a").alias("__ta"), F.col("b").alias("__tb"))
+        p = p.join(touched, (F.col("a") == F.col("__ta")) & (F.col("b") == F.col("__tb")), "left")
+        hit = p.where("__a IS NOT NULL OR __b IS NOT NULL OR __ta IS NOT NULL").select("a", "b", "n")
+        return self.scores(written(hit, "affected"))
+
+    def vacuum(self) -> None:
+        """Removes tables and manifests of earlier states. Nothing may still read them."""
+        kept = {*self.places.values(), self.change, f"manifest-{self.version:09d}.json"}
+        for n in names(self.spark, self.folder):
+            if n not in kept and n.startswith(("counts-", "change-", "manifest-")):
+                remove(self.spark, f"{self.folder}/{n}")
+
+
+def temporary(spark: SparkSession, bucket_rows: int = BUCKET_ROWS) -> PairTable:
+    """A table in the work folder, for one process."""
+    return PairTable(spark, fresh_path(spark, "pair-table"), bucket_rows)
 
 
 def far_above_chance(table: PairTable, least: int, times: int) -> DataFrame:

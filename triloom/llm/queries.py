@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triloom.functions.hashing import draw32
 from triloom.functions.numbers import literal_number
 from triloom.llm import areas, dedup, digest, frequency, mixing, packing, pairs, tokenizer
 from triloom.llm.sql import SQL  # noqa: F401
@@ -13,7 +14,21 @@ from triloom.session import written
 
 
 def _pair_table(spark: SparkSession, d: str) -> pairs.PairTable:
-    return pairs.PairTable(spark).apply(table(spark, d, "pairs"))
+    """The pair table of all walks, after three loads.
+
+    The first brings ten sixteenths of the walks (by a draw from their id), two
+    of them cut short and one by mistake. The second brings the rest, corrects
+    the walks that were cut and removes the mistaken ones; the third brings
+    these. In the end each walk counts once, with all its rows.
+    """
+    rows = table(spark, d, "pairs")
+    part = F.pmod(draw32(F.lit("load"), F.col("walk_id")), F.lit(16))
+    rows = rows.withColumn("part", part)
+    short = rows.where("part IN (1, 2) AND (center + context) % 2 = 0")
+    t = pairs.temporary(spark)
+    t.apply(rows.where("part < 10 AND part NOT IN (1, 2)").unionByName(short))
+    t.apply(rows.where("part IN (1, 2) OR part >= 10"), short.unionByName(rows.where("part = 3")))
+    return t.apply(rows.where("part = 3"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +42,11 @@ def p2_lift(spark: SparkSession, d: str) -> DataFrame:
     return _pair_table(spark, d).scores().select(F.col("a").alias("token_a"), F.col("b").alias("token_b"), F.col("n").alias("n_walks"), "n_a", "n_b", "lift")
 
 
+def p2_affected(spark: SparkSession, d: str) -> DataFrame:
+    """Walks, marginals and lift of the pairs that the last load affected."""
+    return _pair_table(spark, d).affected().select(F.col("a").alias("token_a"), F.col("b").alias("token_b"), F.col("n").alias("n_walks"), "n_a", "n_b", "lift")
+
+
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
     """(edge_id, predicate, value) of edges whose object is a number, each edge once, as a written table."""
     e = table(spark, d, "edge_df").where("predicate IS NOT NULL AND object IS NOT NULL")
@@ -134,5 +154,5 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_lift, p3_found, p3_percentiles, p3_certified, p4_found, p4_word_counts, p6_found, p6_records, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_composition)
+    for f in (p2_found, p2_lift, p2_affected, p3_found, p3_percentiles, p3_certified, p4_found, p4_word_counts, p6_found, p6_records, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_composition)
 }
