@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from triloom.operators import skew
 from triloom.operators.ranking import globally_indexed, indexed_within
+from triloom.session import written
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +119,18 @@ def test_index_within_groups(spark):
     assert [r[1] for r in a] == list(range(300))
     assert [r[5] for r in a] == sorted(x % 7 for x in range(300))
     assert [r for r in got if r[0] != "a"] == [("b", 0, 2, 2, 4, 5), ("b", 1, 2, 4, 4, 5), ("c", 0, 1, 9, 9, 1)]
+
+
+def test_measured_join_is_the_plain_join(spark, skewed):
+    df, _ = skewed
+    right = written(spark.createDataFrame([("hot", 1), ("k5", 3)], "rk string, v int"), "side")
+    want = rows(df.join(right, F.col("k") == F.col("rk")))
+    assert skew.fits_broadcast(right)
+    assert rows(skew.join_measured(df, right, F.col("k"), F.col("rk"))) == want
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not skew.fits_broadcast(right)
+        assert rows(skew.join_measured(df, right, F.col("k"), F.col("rk"))) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

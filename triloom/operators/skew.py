@@ -210,3 +210,17 @@ def join_by_key(left: DataFrame, right: DataFrame, left_key: Column, right_key:
         r = r.withColumn("__rsalt", F.lit(0))
     out = with_shard(left, left_key, plan, spread).join(r, (F.col(KEY) == F.col("__rkey")) & (F.col(SALT) == F.col("__rsalt")), how)
     return out.drop(SALT, KEY, "__rsalt", "__rkey")
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether a written table is small enough for Catalyst to broadcast it, by its size in bytes."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= size <= limit
+
+
+def join_measured(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, how: str = "inner", spread: Sequence[Column] | None = None) -> DataFrame:
+    """Equi-join of the skewed `left` with a written table: a small one is broadcast by Catalyst's own check, beyond it heavy keys are split."""
+    if fits_broadcast(right):
+        return left.join(right, left_key == right_key, how)
+    return join_by_key(left, right, left_key, right_key, how, spread=spread)
