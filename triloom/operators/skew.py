@@ -215,7 +215,8 @@ def join_by_key(left: DataFrame, right: DataFrame, left_key: Column, right_key:
 def fits_broadcast(table: DataFrame) -> bool:
     """Whether a written table is small enough for Catalyst to broadcast it, by its size in bytes."""
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    spark = table.sparkSession
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
     return 0 <= size <= limit
 
 
