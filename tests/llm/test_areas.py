@@ -6,6 +6,7 @@ from conftest import rows
 
 from triloom.llm import areas as a
 
+PARAGRAPHS = a.Settings(units=a.numbered_paragraphs, least_units=2)
 TERMS = {"sport": ["the league table", "a penalty kick", "the home stadium"], "tax": ["the customs duty", "an income levy", "the audit letter"]}
 FILLER = ["Costs follow the event", "Judgment was reserved", "The appeal was lodged within time"]
 
@@ -32,7 +33,7 @@ def corpus(spark):
 
 def test_areas_of_documents_never_seen(spark, corpus):
     docs, labels, truth = corpus
-    m = a.train(docs, labels, ["sport", "tax"])
+    m = a.train(docs, labels, ["sport", "tax"], PARAGRAPHS)
     got: dict = {i: [] for i in truth}
     for i, area in rows(a.scored(docs, m)):
         got[i].append(area)
@@ -44,7 +45,7 @@ def test_areas_of_documents_never_seen(spark, corpus):
 
 def test_scores_do_not_depend_on_partitions_or_caches(spark, corpus):
     docs, labels, _ = corpus
-    m = a.train(docs, labels, ["sport", "tax"])
+    m = a.train(docs, labels, ["sport", "tax"], PARAGRAPHS)
     assert rows(a.scored(docs.repartition(7), m)) == rows(a.scored(docs.coalesce(1), m))
     s = a.Scorer(m)
     text = [x.text for x in docs.orderBy("doc_id").collect()]
@@ -54,15 +55,27 @@ def test_scores_do_not_depend_on_partitions_or_caches(spark, corpus):
 
 def test_odd_texts(spark, corpus):
     docs, labels, _ = corpus
-    m = a.train(docs, labels, ["sport", "tax"])
+    m = a.train(docs, labels, ["sport", "tax"], PARAGRAPHS)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "no numbers, the league table"), (4, "[1] 12 345"), (5, "[1] the league table was raised\n" * 1), (6, "".join(f"[{i}] The witness recalled a penalty kick in some detail.\n" for i in range(20_000)))], "doc_id bigint, text string")
     assert rows(a.scored(odd, m)) == [(6, "sport")]
     assert a.scored(odd.limit(0), m).count() == 0
 
 
+def test_texts_as_a_whole(spark):
+    r = random.Random(5)
+    truth = {i: [["sport"], ["tax"], [], ["sport", "tax"]][i % 4] for i in range(480)}
+    text = lambda own: ". ".join([*r.sample(FILLER, 2), *[f"The witness recalled {r.choice(TERMS[x])} in some detail" for x in own]])
+    docs = spark.createDataFrame([(i, text(t)) for i, t in truth.items()], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x, "c") for i, t in truth.items() if i < 400 for x in (t or [None])], "doc_id bigint, area string, annotator string")
+    got: dict = {i: [] for i in truth}
+    for i, area in rows(a.scored(docs, a.train(docs, labels, ["sport", "tax"]))):
+        got[i].append(area)
+    assert sum(got[i] == truth[i] for i in truth if i >= 400) >= 76  # of 80
+
+
 def test_without_labels(spark, corpus):
     docs, labels, _ = corpus
-    assert a.train(docs, labels.limit(0), ["sport", "tax"]) is None
+    assert a.train(docs, labels.limit(0), ["sport", "tax"], PARAGRAPHS) is None
     assert a.scored(docs, None).count() == 0
 
 

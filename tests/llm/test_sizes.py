@@ -160,5 +160,5 @@ def test_nothing_to_mix(spark, corpus_sizes):
 def test_versions_share_a_weight(spark):
     d = spark.createDataFrame([(i, "x") for i in range(4)] + [(9, None), (8, "y")] + [(100 + i, "z") for i in range(20)], "doc_id int, docket string")
     got = dict(rows(mixing.version_weights(d, "doc_id", "docket"), "doc_id", "weight"))
-    assert (got[0], got[9], got[8], got[100]) == (0.25, 1.0, 1.0, 1 / 32)
+    assert (got[0], got[9], got[8], got[100]) == (0.25, 1.0, 1.0, 1 / 20)
     assert len(got) == 26

@@ -8,15 +8,16 @@ sentences are one row with their counts, which leaves the loss as it is. Each
 round every partition sends the gradient of its rows, the sums move the
 parameters, and the next round reads those.
 
-Scoring gives each document the areas that enough of its numbered paragraphs
-hold a sentence of.
+Scoring gives each document the areas that at least `least_units` of its units
+hold a sentence of. What the units of a text are is a setting: the text as a
+whole by default; `numbered_paragraphs` is another cut.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,18 +35,27 @@ GRAMS = (4, 5)
 MOST_KEPT = 200_000
 
 
+def whole(text: str) -> list[str]:
+    return [text]
+
+
 @dataclass(frozen=True)
 class Settings:
-    """`max_labelled` bounds the labelled documents trained on (those with the smallest hashes of their id), `max_words` the words with an embedding of their own."""
+    """`max_labelled` bounds the labelled documents trained on (those with the smallest hashes of their id).
+
+    Every word that occurs in them at least `min_count` times has an embedding
+    of its own; the driver holds these, so the sample bounds them too. `units`
+    cuts a text into the parts that `least_units` counts.
+    """
 
     max_labelled: int = 8000
-    max_words: int = 50_000
     min_count: int = 3
     size: int = 16
     rounds: int = 40
     rate: float = 0.1
     threshold: float = 0.5  # in logits
-    paragraphs: int = 2
+    units: Callable[[str], list[str]] = whole
+    least_units: int = 1
     seed: int = 42
 
 
@@ -59,7 +69,8 @@ class Model:
     gram_logits: np.ndarray
     bias: np.ndarray
     threshold: float
-    paragraphs: int
+    units: Callable[[str], list[str]]
+    least_units: int
 
 
 def numbered_paragraphs(text: str) -> list[str]:
@@ -109,7 +120,7 @@ def _labelled_sentences(docs: DataFrame, labels: DataFrame, areas: list[str], s:
             found: dict[str, np.ndarray] = {}
             for text, has in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 row = np.array([1, *[a in has for a in areas]], dtype=np.int64)
-                for p in numbered_paragraphs(text):
+                for p in s.units(text):
                     for sentence in sentences(p):
                         key = " ".join(w for w in map(words.__getitem__, sentence.split()) if w)
                         if key:
@@ -123,12 +134,12 @@ def _labelled_sentences(docs: DataFrame, labels: DataFrame, areas: list[str], s:
 
 
 def train(docs: DataFrame, labels: DataFrame, areas: list[str], s: Settings | None = None) -> Model | None:
-    """The model, or null if no labelled document has a numbered paragraph."""
+    """The model, or null if no labelled document has a unit with words."""
     s = s or Settings()
     spark = docs.sparkSession
     rows = written(_labelled_sentences(docs, labels, areas, s), "sentences")
     count = rows.select(F.explode(F.split("s", " ")).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= s.min_count)
-    vocabulary = sorted(r["w"] for r in count.orderBy(F.desc("n"), "w").limit(s.max_words).collect())
+    vocabulary = sorted(r["w"] for r in count.select("w").collect())  # words of at most max_labelled documents
     if not vocabulary:
         return None
     index = {w: i for i, w in enumerate(vocabulary)}
@@ -144,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, areas: list[str], s: Settings | No
             n = b.column(1).to_numpy()[keep].astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([i for i in ids if i], pa.list_(pa.int32())), pa.array(n), pa.array(list(y), pa.list_(pa.float32()))], names=["ids", "n", "y"])
 
-    parts = max(1, min(16, -(-rows.count() // 15_000)))
+    parts = max(1, -(-rows.count() // 15_000))
     encoded = written(rows.repartition(parts).mapInArrow(encode, "ids array<int>, n float, y array<float>"), "encoded")
     total = encoded.agg(F.sum("n")).first()[0]
     known.destroy()
@@ -216,7 +227,7 @@ def _rounds(spark: SparkSession, encoded: DataFrame, total: float, vocabulary: l
             v += 0.01 * (g * g - v)
             p -= (s.rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)).astype(f32)
     index = {w: i for i, w in enumerate(vocabulary)}
-    return Model(areas, index, vectors() @ out, gram @ out, bias, s.threshold, s.paragraphs)
+    return Model(areas, index, vectors() @ out, gram @ out, bias, s.threshold, s.units, s.least_units)
 
 
 class Scorer:
@@ -264,7 +275,7 @@ class Scorer:
 
     def areas_of(self, texts: list[str]) -> list[list[str]]:
         self.forget()
-        cut = [[sentences(p) for p in numbered_paragraphs(t)] for t in texts]
+        cut = [[sentences(p) for p in self.m.units(t)] for t in texts]
         known = self.known
         self.learn(list({s for d in cut for p in d for s in p if s not in known}))
         out = []
@@ -276,21 +287,21 @@ class Scorer:
                     bits |= known[s]
                 if bits:
                     counts[bits] = counts.get(bits, 0) + 1
-            out.append([a for j, a in enumerate(self.m.areas) if sum(n for bits, n in counts.items() if bits >> j & 1) >= self.m.paragraphs])
+            out.append([a for j, a in enumerate(self.m.areas) if sum(n for bits, n in counts.items() if bits >> j & 1) >= self.m.least_units])
         return out
 
 
 def scored(docs: DataFrame, m: Model | None, item: str = "doc_id") -> DataFrame:
     """(item, area): one row for each area of each document, scored whole where it lies.
 
-    A null or empty text, one without numbered paragraphs, and any text if
-    there is no model have no area. Other columns are ignored.
+    A null or empty text, one without units, and any text if there is no model
+    have no area. Other columns are ignored.
     """
     spark, kind = docs.sparkSession, docs.schema[item].dataType.simpleString()
     schema = f"{item} {kind}, area string"
     if m is None:
         return spark.createDataFrame([], schema)
-    sent = spark.sparkContext.broadcast(m)  # bounded by max_words and the buckets
+    sent = spark.sparkContext.broadcast(m)  # words of at most max_labelled documents, and the buckets
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from triloom.operators import skew
 from triloom.session import written
 
 DIGEST = "n bigint, low double, high double, means array<double>, weights array<double>"
@@ -146,14 +147,26 @@ def estimated(digest: DataFrame, key: str, quantiles: list[float]) -> DataFrame:
     return digest.mapInArrow(estimate, f"{key} {kind}, q double, estimate double")
 
 
+def _finite(values: DataFrame, key: str, value: str, into: str | None = None) -> DataFrame:
+    """(key, v, __row): the finite values, with a hash of the row that tells them apart."""
+    v = values.select(F.col(key).alias(into or key), F.col(value).cast("double").alias("v"), F.xxhash64(*[F.col(f"`{c}`") for c in values.columns]).alias("__row"))
+    return v.where(F.col(into or key).isNotNull() & (F.abs("v") < float("inf")))
+
+
+def _meet(v: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """The values with the rows of their group in the written table `side`. A group may have a third of all values: beyond a broadcast's size it is split."""
+    right = side.withColumnRenamed(key, "__side")
+    return skew.join_measured(v, right, F.col(key), F.col("__side"), spread=[F.col("__row")]).drop("__side", "__row")
+
+
 def certified(values: DataFrame, key: str, value: str, estimates: DataFrame) -> DataFrame:
     """(key, q, estimate, n, rank_error): how far the estimate's true rank is from q, as a share of the group's rows.
 
     Every value is counted against its group's estimates; counts combine before
     they are shuffled.
     """
-    v = values.select(F.col(key), F.col(value).cast("double").alias("v")).where(F.col(key).isNotNull() & (F.abs("v") < float("inf")))
-    counted = v.join(estimates, key).groupBy(key, "q", "estimate").agg(F.count("*").alias("n"), F.count(F.when(F.col("v") < F.col("estimate"), 1)).alias("below"), F.count(F.when(F.col("v") <= F.col("estimate"), 1)).alias("upto"))
+    v = _finite(values, key, value)
+    counted = _meet(v, written(estimates, "estimates"), key).groupBy(key, "q", "estimate").agg(F.count("*").alias("n"), F.count(F.when(F.col("v") < F.col("estimate"), 1)).alias("below"), F.count(F.when(F.col("v") <= F.col("estimate"), 1)).alias("upto"))
     off = F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("q"), F.col("q") - F.col("upto") / F.col("n"))
     return counted.select(key, "q", "estimate", "n", off.alias("rank_error"))
 
@@ -174,13 +187,13 @@ def exact_quantiles(values: DataFrame, key: str, value: str, quantiles: list[flo
     those with at least one finite value; null keys are left out.
     """
     named, key = key, "__key"
-    v = values.select(F.col(named).alias(key), F.col(value).cast("double").alias("v")).where(F.col(key).isNotNull() & (F.abs("v") < float("inf")))
+    v = _finite(values, named, value, key)
     whole = merged(digests(v, key, "v", delta), key, delta)
     state = written(_brackets(whole, key, quantiles, reach), "brackets")
     widen, left = reach, float("inf")
     while True:
         # (key, q, n, base, lo, hi): all rows of the group under lo are `below`
-        hit = v.join(state, key).groupBy(key, "q", "n", "lo", "hi").agg(F.count(F.when(F.col("v") < F.col("lo"), 1)).alias("below"), F.count(F.when((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")), 1)).alias("inside"))
+        hit = _meet(v, state, key).groupBy(key, "q", "n", "lo", "hi").agg(F.count(F.when(F.col("v") < F.col("lo"), 1)).alias("below"), F.count(F.when((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")), 1)).alias("inside"))
         place = F.col("q") * (F.col("n") - 1)
         hit = hit.withColumn("r0", F.floor(place)).withColumn("r1", F.ceil(place))
         counted = written(hit.withColumn("sure", (F.col("below") <= F.col("r0")) & (F.col("r1") < F.col("below") + F.col("inside"))), "counted")
@@ -189,7 +202,7 @@ def exact_quantiles(values: DataFrame, key: str, value: str, quantiles: list[flo
             inf = float("inf")
             lo = F.when(F.col("r0") < F.col("below"), -inf).otherwise(F.col("lo"))
             hi = F.when(F.col("r1") >= F.col("below") + F.col("inside"), inf).otherwise(F.col("hi"))
-            state = counted.select(key, "q", "n", lo.alias("lo"), hi.alias("hi"))
+            state = written(counted.select(key, "q", "n", lo.alias("lo"), hi.alias("hi")), "brackets")
         elif (worst["open"] or 0) > most and worst["all"] < left:  # without progress only repeated values are left
             left = worst["all"]
             state = written(_narrowed(v, counted, key, delta, widen), "brackets")
@@ -197,7 +210,7 @@ def exact_quantiles(values: DataFrame, key: str, value: str, quantiles: list[flo
         else:
             break
     b = counted.select(key, "q", "n", "lo", "hi", "below", "r0", "r1")
-    runs = v.join(b, key).where("v >= lo AND v <= hi").groupBy(key, "q", "n", "below", "r0", "r1", "v").count()
+    runs = _meet(v, b, key).where("v >= lo AND v <= hi").groupBy(key, "q", "n", "below", "r0", "r1", "v").count()
     upto = F.col("below") + F.sum("count").over(Window.partitionBy(key, "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = runs.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("count"))
     at = lambda r: F.max(F.when((F.col("begin") <= F.col(r)) & (F.col(r) < F.col("end")), F.col("v")))
@@ -220,7 +233,7 @@ def _brackets(digest: DataFrame, key: str, quantiles: list[float], reach: float)
 def _narrowed(v: DataFrame, counted: DataFrame, key: str, delta: float, reach: float) -> DataFrame:
     """Narrower brackets from digests of the rows inside the present ones."""
     name = F.to_json(F.struct(key, "q"))
-    inside = v.join(counted.select(key, "q", "lo", "hi"), key).where("v >= lo AND v <= hi").select(name.alias("__part"), "v")
+    inside = _meet(v, counted.select(key, "q", "lo", "hi"), key).where("v >= lo AND v <= hi").select(name.alias("__part"), "v")
     d = merged(digests(inside, "__part", "v", delta), "__part", delta)
     c = counted.withColumn("__part", name).join(d.select("__part", F.col("low"), F.col("high"), "means", "weights"), "__part")
     kind = counted.schema[key].dataType.simpleString()
@@ -244,5 +257,5 @@ def far_outliers(values: DataFrame, quartiles: DataFrame, key: str, value: str,
     pick = lambda q: F.max(F.when(F.col("q") == q, F.col("quantile")))
     f = quartiles.groupBy(key).agg(pick(0.25).alias("__q1"), pick(0.75).alias("__q3"))
     f = f.select(F.col(key).alias("__k"), (F.col("__q1") - times * (F.col("__q3") - F.col("__q1"))).alias("__least"), (F.col("__q3") + times * (F.col("__q3") - F.col("__q1"))).alias("__most"))
-    out = values.join(f, F.col(key) == F.col("__k"))
+    out = skew.join_measured(values, written(f, "fences"), F.col(key), F.col("__k"))
     return out.where((F.col(value) < F.col("__least")) | (F.col(value) > F.col("__most"))).drop("__k", "__least", "__most")

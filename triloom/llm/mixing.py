@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.operators import skew
+from triloom.session import local_table
 
 STEPS = 4096  # parts into which one pass cuts the order
 
@@ -42,16 +43,14 @@ class Source:
 def version_weights(docs: DataFrame, item: str, group: str, into: str = "weight") -> DataFrame:
     """Adds 1 / (documents that share `group`), so that a ruling in many versions counts about once.
 
-    Groups of more than 16 get the weight of the next power of two, which keeps
-    the classes few. A document without group has weight 1. A group with a
-    third of all rows is split over the tasks.
+    A document without group has weight 1. A group with a third of all rows is
+    split over the tasks.
     """
     n = docs.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n")).where("__n > 1")
     rows = docs.count()
     plan = skew.plan_from_counts(n, "__g", "__n", rows)
     joined = skew.join_by_key(docs, n, F.col(group), F.col("__g"), "left", plan, [F.col(item)])
-    rounded = F.when(F.col("__n") <= 16, F.col("__n").cast("double")).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2("__n"))))
-    return joined.withColumn(into, F.coalesce(1.0 / rounded, F.lit(1.0))).drop("__g", "__n")
+    return joined.withColumn(into, F.coalesce(1.0 / F.col("__n").cast("double"), F.lit(1.0))).drop("__g", "__n")
 
 
 def planned(docs: DataFrame, targets: DataFrame, total: float | None = None, source: str = "source", size: str = "tokens", weight: str = "weight") -> dict[str, Source]:
@@ -60,10 +59,13 @@ def planned(docs: DataFrame, targets: DataFrame, total: float | None = None, sou
     Shares of sources without documents are divided among the others. Without
     `total` it is the largest total size at which every share can be reached
     within `max_repeats`. With a larger one, sources that can't reach their
-    share give all they may.
+    share give all they may. The driver holds a number for each source and
+    weight; different weights 1 / n are at most as many as the square root of
+    twice the documents.
     """
     want = {r[source]: (r["target_share"], r["max_repeats"]) for r in targets.where("target_share > 0 AND max_repeats > 0").collect() if r[source] is not None}
-    sums = docs.join(F.broadcast(targets.select(source).distinct()), source, "left_semi").groupBy(source, weight).agg(F.sum(size).alias("n")).where("n > 0").collect()
+    kind = docs.schema[source].dataType.simpleString()
+    sums = docs.join(local_table(docs.sparkSession, [(k,) for k in want], f"{source} {kind}"), source, "left_semi").groupBy(source, weight).agg(F.sum(size).alias("n")).where("n > 0").collect()
     plan: dict[str, Source] = {}
     for r in sums:
         if r[source] in want:
@@ -103,8 +105,9 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, item:
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (item, source)}
     if not plan:
         return spark.createDataFrame([], f"{item} {kinds[item]}, {source} {kinds[source]}, {size} bigint, copies int")
-    rates = spark.createDataFrame([(k, float(w), s.copies(w)) for k, s in plan.items() for w in s.classes], f"{source} {kinds[source]}, {weight} double, __r double")
-    d = docs.where(F.col(size) > 0).join(F.broadcast(rates), [source, weight]).select(item, source, size, "__r")  # as many rows as sources and weight classes
+    rates = local_table(spark, [(k, s.factor, float(s.max_repeats)) for k, s in plan.items()], f"{source} {kinds[source]}, __f double, __m double")
+    expected = F.least(F.col("__m"), F.col("__f") * F.col(weight)).alias("__r")
+    d = docs.where((F.col(size) > 0) & F.col(weight).isNotNull()).join(rates, source).select(item, source, size, expected)
     p = F.col("__r") - F.floor("__r")
     u = _uniform(F.col(item), seed)
     odds = (u / (1 - u)) / (p / (1 - p))
@@ -113,9 +116,9 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, item:
     left = {k: s.wanted - certain.get(k, 0) for k, s in plan.items()}
     cut = {k: (0.0, 1.0, 0.0) for k in plan}  # source -> from, to, tokens before from
     for _ in range(2):
-        look = spark.createDataFrame([(k, *v[:2]) for k, v in cut.items()], f"{source} {kinds[source]}, __lo double, __hi double")
+        look = local_table(spark, [(k, *v[:2]) for k, v in cut.items()], f"{source} {kinds[source]}, __lo double, __hi double")
         part = F.least(F.lit(STEPS - 1), F.floor((F.col("__t") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * STEPS)).cast("int")
-        inside = ranked.join(F.broadcast(look), source).where("__t >= __lo AND __t < __hi")
+        inside = ranked.join(look, source).where("__t >= __lo AND __t < __hi")
         sums: dict = {}
         for r in inside.groupBy(source, part.alias("k")).agg(F.sum(size).alias("n")).collect():  # at most STEPS rows for each source
             sums.setdefault(r[source], {})[r["k"]] = r["n"]
@@ -131,8 +134,8 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, item:
             cut[name] = cut[name] if len(cut[name]) == 4 else (*cut[name], False)
         ends = {name: (v[1] if v[3] else v[0]) for name, v in cut.items()}
         cut = {name: v[:3] for name, v in cut.items()}
-    take = spark.createDataFrame([(k, float(v) if left[k] > 0 else -1.0) for k, v in ends.items()], f"{source} {kinds[source]}, __end double")
-    out = ranked.join(F.broadcast(take), source)
+    take = local_table(spark, [(k, float(v) if left[k] > 0 else -1.0) for k, v in ends.items()], f"{source} {kinds[source]}, __end double")
+    out = ranked.join(take, source)
     more = F.when(F.col("__t") < F.col("__end"), 1).otherwise(0)
     return out.select(item, source, F.col(size).cast("bigint").alias(size), (F.col("__whole") + more).cast("int").alias("copies")).where("copies > 0")
 

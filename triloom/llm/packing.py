@@ -111,4 +111,4 @@ def fill(packing: DataFrame, containers: DataFrame, container: str = "container"
     per_bin = packing.groupBy(container, "bin_id").agg(F.sum(size).alias("n"))
     total = per_bin.groupBy(container).agg(F.count("*").alias("bins"), F.sum("n").alias("used"))
     room = F.col("bins") * F.col(capacity)
-    return total.join(F.broadcast(containers), container).select(container, "bins", "used", (room - F.col("used")).alias("unused"), (F.col("used") / room).alias("filled"))
+    return total.join(containers, container).select(container, "bins", "used", (room - F.col("used")).alias("unused"), (F.col("used") / room).alias("filled"))

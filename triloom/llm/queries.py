@@ -139,7 +139,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 def _areas(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     names = sorted(r["area"] for r in table(spark, d, "subject_areas").where("area IS NOT NULL").select("area").distinct().collect())
-    return areas.scored(docs, areas.train(docs, table(spark, d, "area_labels"), names))
+    in_dispute = areas.Settings(units=areas.numbered_paragraphs, least_units=2)  # the problem's own rule
+    return areas.scored(docs, areas.train(docs, table(spark, d, "area_labels"), names, in_dispute))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
