@@ -216,8 +216,8 @@ def fits_broadcast(table: DataFrame) -> bool:
     """Whether a written table is small enough for Catalyst to broadcast it, by its size in bytes."""
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     spark = table.sparkSession
-    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    return 0 <= size <= limit
+    named = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return not named.startswith("-") and size <= spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(named)
 
 
 def join_measured(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, how: str = "inner", spread: Sequence[Column] | None = None) -> DataFrame:
