@@ -109,6 +109,15 @@ def test_another_process_goes_on(spark, tmp_path):
     assert state(pairs.PairTable(spark, folder)) == brute_pairs([(1, 1, 2, ""), (9, 1, 2, "")])
 
 
+def test_one_record_holds_most_rows(spark):
+    r = random.Random(7)
+    data = [(1 if i % 3 else i, r.randrange(60), r.randrange(60), "x") for i in range(6000)]
+    t = pairs.temporary(spark).apply(spark.createDataFrame(data, PAIR))
+    assert state(t) == brute_pairs(data)
+    t.apply(spark.createDataFrame(data[:10], PAIR), spark.createDataFrame(data, PAIR))
+    assert state(t) == brute_pairs(data[:10])
+
+
 def test_no_pairs(spark):
     t = pairs.temporary(spark).apply(spark.createDataFrame([], PAIR))
     assert state(t) == ({}, {}, 0)

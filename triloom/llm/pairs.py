@@ -38,19 +38,27 @@ def deltas(after: DataFrame, before: DataFrame | None = None, record: str = "wal
     `after` holds all rows of new or changed records, `before` the rows that
     the changed or removed records had (none of them: null). A pair counts once
     for each record with a row that holds both items, in either order; an item
-    once for each record with it. Each row names its pair, its items and its
-    record; duplicates leave by all of them, so that neither a large record nor
-    a frequent pair fills one task, and the counts combine before they are
-    shuffled.
+    once for each record with it. Rows are shuffled once, by record; each names
+    its pair, its items and its record, and duplicates leave where it then is.
+    A record with very many rows is split by pairs over several tasks, and what
+    its parts name in common leaves in a step of its own. The counts combine
+    before they are shuffled.
     """
     m = _meetings(after, record, left, right, 1)
     if before is not None:
         m = m.unionByName(_meetings(before, record, left, right, -1))
-    name = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b")) if isinstance(a, str) else F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))
-    alone, both = F.array(name("a", "a"), name(None, None)), F.array(name("a", "b"), name("a", "a"), name("b", "b"), name(None, None))
-    once = m.distinct().select("s", "r", F.explode(F.when(F.col("a") == F.col("b"), alone).otherwise(both)).alias("x")).select("s", "r", "x.a", "x.b").distinct()
-    kind = F.when(F.col("a") < 0, 2).when(F.col("a") == F.col("b"), 1).otherwise(0)
-    return once.groupBy("a", "b").agg(F.sum("s").cast("bigint").alias("d")).where("d <> 0").select("a", "b", "d", kind.alias("kind"))
+    name = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    a, b, none = F.col("a"), F.col("b"), F.lit(-1)
+    alone, both = F.array(name(a, a), name(none, none)), F.array(name(a, b), name(a, a), name(b, b), name(none, none))
+    plan = skew.plan_shards(m, F.col("r"))
+    m = skew.with_shard(m, F.col("r"), plan, [a, b]).select(skew.KEY, skew.SALT, "s", "a", "b")
+    placed = m.repartition(*([skew.KEY, skew.SALT] if plan.salts else [skew.KEY]))  # a constant salt would hide the partitioning
+    named = placed.distinct().select(skew.KEY, skew.SALT, "s", F.explode(F.when(a == b, alone).otherwise(both)).alias("x")).select(skew.KEY, skew.SALT, "s", "x.a", "x.b").distinct()
+    if plan.salts:
+        split = named.where(F.col(skew.SALT) != 0).select(skew.KEY, F.lit(0).alias(skew.SALT), "s", "a", "b").distinct()
+        named = named.where(F.col(skew.SALT) == 0).unionByName(split)
+    kind = F.when(a < 0, 2).when(a == b, 1).otherwise(0)
+    return named.groupBy("a", "b").agg(F.sum("s").cast("bigint").alias("d")).where("d <> 0").select("a", "b", "d", kind.alias("kind"))
 
 
 class PairTable:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom.functions.hashing import draw32
 from triloom.functions.numbers import literal_number
 from triloom.llm import areas, dedup, digest, frequency, mixing, packing, pairs, tokenizer
 from triloom.llm.sql import SQL  # noqa: F401
@@ -21,16 +20,19 @@ def _pair_table(spark: SparkSession, d: str) -> pairs.PairTable:
     the walks that were cut and removes the mistaken ones; the third brings
     these. In the end each walk counts once, with all its rows.
     """
-    rows = table(spark, d, "pairs")
-    part = F.pmod(draw32(F.lit("load"), F.col("walk_id")), F.lit(16))
-    rows = rows.withColumn("part", part)
-    short = rows.where("part IN (1, 2) AND (center + context) % 2 = 0")
+    rows = table(spark, d, "pairs").withColumn("part", load_part(F.col("walk_id")))
+    cut = "part IN (1, 2) AND (center + context) % 2 = 0"
     t = pairs.temporary(spark)
-    t.apply(rows.where("part < 10 AND part NOT IN (1, 2)").unionByName(short))
-    t.apply(rows.where("part IN (1, 2) OR part >= 10"), short.unionByName(rows.where("part = 3")))
+    t.apply(rows.where(f"part < 10 AND part NOT IN (1, 2) OR {cut}"))
+    t.apply(rows.where("part IN (1, 2) OR part >= 10"), rows.where(f"{cut} OR part = 3"))
     return t.apply(rows.where("part = 3"))
 
 
+def load_part(record: Column) -> Column:
+    """A number from 0 to 15 by which records are dealt to loads: the high bits of a multiplicative hash."""
+    return F.floor(F.pmod(F.pmod(record, F.lit(65536)) * 40503, F.lit(65536)) / 4096).cast("int")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of terms that meet in at least 12 walks and at least 20 times as often as by chance."""
     t = _pair_table(spark, d)

@@ -36,7 +36,7 @@ _KEYS = f"""f AS (SELECT row_id, nfc_normalize({_from("s", "subject")}) AS s, nf
 SQL = {
     "p2_found": f"WITH {_COUNTS} SELECT ab.a AS token_a, ab.b AS token_b FROM ab JOIN x xa ON xa.x = ab.a JOIN x xb ON xb.x = ab.b, w WHERE ab.n >= 12 AND ab.n::HUGEINT * w >= 20::HUGEINT * xa.n * xb.n",
     "p2_lift": f"WITH {_COUNTS} SELECT ab.a AS token_a, ab.b AS token_b, ab.n AS n_walks, xa.n AS n_a, xb.n AS n_b, ab.n::DOUBLE * w::DOUBLE / (xa.n::DOUBLE * xb.n::DOUBLE) AS lift FROM ab JOIN x xa ON xa.x = ab.a JOIN x xb ON xb.x = ab.b, w",
-    "p2_affected": f"WITH {_COUNTS}, moved AS (SELECT DISTINCT unnest([a, b]) AS x FROM m WHERE CAST('0x' || substr(md5(concat_ws('|', 'load', walk_id)), 1, 8) AS BIGINT) % 16 = 3) SELECT ab.a AS token_a, ab.b AS token_b, ab.n AS n_walks, xa.n AS n_a, xb.n AS n_b, ab.n::DOUBLE * w::DOUBLE / (xa.n::DOUBLE * xb.n::DOUBLE) AS lift FROM ab JOIN x xa ON xa.x = ab.a JOIN x xb ON xb.x = ab.b, w WHERE ab.a IN (SELECT x FROM moved) OR ab.b IN (SELECT x FROM moved)",
+    "p2_affected": f"WITH {_COUNTS}, moved AS (SELECT DISTINCT unnest([a, b]) AS x FROM m WHERE ((walk_id % 65536 + 65536) % 65536 * 40503 % 65536) // 4096 = 3) SELECT ab.a AS token_a, ab.b AS token_b, ab.n AS n_walks, xa.n AS n_a, xb.n AS n_b, ab.n::DOUBLE * w::DOUBLE / (xa.n::DOUBLE * xb.n::DOUBLE) AS lift FROM ab JOIN x xa ON xa.x = ab.a JOIN x xb ON xb.x = ab.b, w WHERE ab.a IN (SELECT x FROM moved) OR ab.b IN (SELECT x FROM moved)",
     "p3_found": f"WITH {_NUMBERS}, q AS (SELECT predicate, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM numbers GROUP BY 1) SELECT edge_id FROM numbers JOIN q USING (predicate) WHERE value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)",
     "p3_percentiles": f"WITH {_NUMBERS}, p AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS q, unnest([1, 2, 3, 4, 5]) AS i), e AS (SELECT predicate, count(*) AS n, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS v FROM numbers GROUP BY 1) SELECT predicate, q, n, v[i] AS quantile FROM e, p",
     "p3_certified_bounds": f"WITH {_NUMBERS}, p AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS q), e AS (SELECT predicate, count(*) AS n FROM numbers GROUP BY 1) SELECT predicate, q, n, true AS within FROM e, p",
