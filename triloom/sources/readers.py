@@ -1,4 +1,4 @@
-"""Triples from files: Parquet, ORC, CSV, N-Triples, N-Quads, and a subset of Turtle."""
+"""Triples from files: Parquet, ORC, CSV, N-Triples, N-Quads, Turtle, TriG, RDF/XML and JSON-LD."""
 
 from __future__ import annotations
 
@@ -71,7 +71,7 @@ def nt_triples(lines: DataFrame, raw: str = "raw", mode: str = "strict", fmt: st
 
 
 def _rdf(spark: SparkSession, paths: list[str], syntax: str) -> DataFrame:
-    """Whole files, one task each: such syntaxes can't be split. Turtle needs no other library for its common subset."""
+    """Whole files, one task each: a part of such a file can't be read without what stands before it."""
     files = spark.read.text(paths, wholetext=True)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def _rdf(spark: SparkSession, paths: list[str], syntax: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=CANONICAL)
 
-    if syntax != "turtle":
+    if syntax not in ("turtle", "n3", "trig", "xml", "json-ld"):
         try:
             import rdflib  # noqa: F401
         except ImportError:
