@@ -65,10 +65,18 @@ def skipgram_pairs_with_distance(toks: DataFrame, window: int = 5) -> DataFrame:
 def cbow_contexts(toks: DataFrame, window: int = 5) -> DataFrame:
     """(walk_id, pos, center, context array<int>, distance array<int>), contexts in order of distance, then token.
 
-    Equal centers at one position share a row; each brings its contexts.
+    Equal centers at one position share a row; each brings its contexts. All is
+    made within the walk's array: one shuffle, by walk.
     """
-    m = _met(toks, window).select("walk_id", F.col("c.pos").alias("pos"), F.col("c.token").alias("center"), F.struct((F.col("x.pos") - F.col("c.pos")).alias("d"), F.col("x.token").alias("t")).alias("x"))
-    g = m.groupBy("walk_id", "pos", "center").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    if window < 1:
+        raise ValueError("window must be at least 1")
+    walk = toks.groupBy("walk_id").agg(F.collect_list(F.struct("pos", "token")).alias("ts"))
+    c = walk.select("walk_id", "ts", F.explode(F.array_distinct("ts")).alias("c"))
+    gap = lambda x: x["pos"] - F.col("c.pos")
+    near = F.filter("ts", lambda x: (F.abs(gap(x)) >= 1) & (F.abs(gap(x)) <= window))
+    one = F.transform(near, lambda x: F.struct(gap(x).alias("d"), x["token"].alias("t")))
+    times = F.size(F.filter("ts", lambda x: x == F.col("c")))
+    g = c.select("walk_id", F.col("c.pos").alias("pos"), F.col("c.token").alias("center"), F.array_sort(F.flatten(F.array_repeat(one, times))).alias("xs")).where(F.size("xs") > 0)
     return g.select("walk_id", "pos", "center", F.transform("xs", lambda x: x["t"]).alias("context"), F.transform("xs", lambda x: x["d"]).alias("distance"))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triloom.functions.numbers import NUMBER
-from triloom.operators.ranking import indexed_within
+from triloom.operators import skew
+from triloom.operators.ranking import globally_indexed
+from triloom.session import written
 
 PLAIN_NUMBER = f"^\\s*({NUMBER})\\s*$"
 
@@ -34,20 +36,24 @@ def dropped(triples: DataFrame, predicates: Sequence[str]) -> DataFrame:
     return triples.where(~is_literal(predicates)) if predicates else triples
 
 
-def exact_quantiles(values: DataFrame, group: str, value: str, bins: str) -> DataFrame:
-    """(group, edges): the distinct values at i / bins, by linear interpolation, in order.
+def exact_quantiles(counts: DataFrame, group: str, value: str, n_bins: int) -> DataFrame:
+    """(group, edges): the distinct values at i / bins of each group's rows, by linear interpolation, in order.
 
-    `bins` is a column with the number of bins of the row's group. Every value
-    gets its rank by range partitioning; only the rows at the wanted ranks go
-    on, so no group is collected or sorted in one task.
+    `counts` (group, value, c) says how often each value occurs; a group has as
+    many bins as distinct values, at most `n_bins`. Values get their ranks from
+    running sums over a range-partitioned order, and only those at wanted ranks
+    go on, so no group is collected or sorted in one task.
     """
-    r = indexed_within(values.select(group, value, bins), group, [F.col(value)], "__i", "__n")
-    place = lambda i: i / F.col(bins).cast("double") * (F.col("__n") - 1)
-    steps = F.sequence(F.lit(0), F.col(bins).cast("int"))
-    r = r.withColumn("__hit", F.filter(steps, lambda i: (F.floor(place(i)) == F.col("__i")) | (F.ceil(place(i)) == F.col("__i"))))
-    at = r.where(F.size("__hit") > 0).select(group, value, "__i", "__n", bins, F.explode("__hit").alias("__k"))
+    g = globally_indexed(counts, [F.col(group), F.col(value)], "__g", ("c", "__run"))
+    own = g.groupBy(F.col(group).alias("__p")).agg(F.min(F.col("__run") - F.col("c")).alias("__base"), F.sum("c").alias("__n"), F.least(F.count("*"), F.lit(n_bins)).cast("int").alias("__bins"))
+    r = skew.join_measured(g, written(own, "group-stats"), F.col(group), F.col("__p"), spread=[F.col("__g")])
+    r = r.withColumn("__end", F.col("__run") - F.col("__base")).withColumn("__begin", F.col("__end") - F.col("c"))
+    place = lambda i: i / F.col("__bins").cast("double") * (F.col("__n") - 1)
+    here = lambda rank: (F.col("__begin") <= rank) & (rank < F.col("__end"))
+    hit = F.filter(F.sequence(F.lit(0), F.col("__bins")), lambda i: here(F.floor(place(i))) | here(F.ceil(place(i))))
+    at = r.withColumn("__hit", hit).where(F.size("__hit") > 0).withColumn("__k", F.explode("__hit"))
     low, high = F.floor(place(F.col("__k"))), F.ceil(place(F.col("__k")))
-    pick = lambda p: F.max(F.when(F.col("__i") == p, F.col(value)))
+    pick = lambda rank: F.max(F.when(here(rank), F.col(value)))
     q = at.withColumn("__f", place(F.col("__k")) - low).groupBy(group, "__k", "__f").agg(pick(low).alias("lo"), pick(high).alias("hi"))
     edge = F.when(F.col("__f") == 0, F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("__f"))
     return q.groupBy(group).agg(F.array_sort(F.array_distinct(F.collect_list(edge))).alias("edges"))  # bins + 1 values for each group
@@ -67,20 +73,16 @@ def binned(triples: DataFrame, predicates: Sequence[str], n_bins: int = 5, strat
         return triples
     lit = is_literal(predicates)
     rows = triples.where(lit).withColumn("__v", numeric(F.col("object"))).where("__v IS NOT NULL")
-    span = rows.groupBy("predicate", "__v").agg(F.count("*").alias("c")).groupBy("predicate").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.least(F.count("*"), F.lit(n_bins)).alias("__bins"))
-    span = span.withColumnRenamed("predicate", "__p")
+    counts = written(rows.groupBy("predicate", "__v").agg(F.count("*").alias("c")), "value-counts")
+    none = F.array().cast("array<double>")
     if strategy == "uniform":
-        inner = F.when(F.col("lo") == F.col("hi"), F.array().cast("array<double>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.col("__bins") - 1, F.lit(1)).cast("int")), lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / F.col("__bins")))
-        )
-        inner = F.when(F.col("__bins") < 2, F.array().cast("array<double>")).otherwise(inner)
-        edges = span.select("__p", inner.alias("__inner"))
+        span = counts.groupBy("predicate").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.least(F.count("*"), F.lit(n_bins)).alias("__bins"))
+        inner = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__bins") - 1, F.lit(1)).cast("int")), lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / F.col("__bins")))
+        edges = span.select(F.col("predicate").alias("__p"), F.when((F.col("lo") == F.col("hi")) | (F.col("__bins") < 2), none).otherwise(inner).alias("__inner"))
     else:
-        with_bins = rows.join(F.broadcast(span.select("__p", "__bins")), F.col("predicate") == F.col("__p")).select("predicate", "__v", "__bins")  # a row for each listed predicate
-        e = exact_quantiles(with_bins, "predicate", "__v", "__bins")
         n = F.size("edges")
-        edges = e.select(F.col("predicate").alias("__p"), F.when(n > 2, F.slice("edges", F.lit(2), F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<double>")).alias("__inner"))
+        edges = exact_quantiles(counts, "predicate", "__v", n_bins).select(F.col("predicate").alias("__p"), F.when(n > 2, F.slice("edges", F.lit(2), F.greatest(n - 2, F.lit(1)))).otherwise(none).alias("__inner"))
     k = F.size(F.filter("__inner", lambda e: e < F.col("__v")))
-    out = rows.join(F.broadcast(edges), F.col("predicate") == F.col("__p"))
+    out = skew.join_measured(rows, written(edges, "bin-edges"), F.col("predicate"), F.col("__p"))  # a row for each listed predicate
     out = out.withColumn("object", F.concat(local_name(F.col("predicate")), F.lit("_bin_"), k.cast("string"))).select(*triples.columns)
     return triples.where(~lit).unionByName(out)
