@@ -70,15 +70,15 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    """(entry, token, word): the vocabulary as the matching side of each field, one row for each value of it."""
+    """(entry, token): the vocabulary as the matching side of each field, one row for each value of it."""
     w = table(spark, d, "word2idx").where("token IS NOT NULL AND word IS NOT NULL")
     key = lambda name, c: F.struct(F.concat_ws(SEP, F.lit(name), F.col(c).cast("string")).alias("entry"))
-    each = w.select("token", "word", F.explode(F.array(key("edge_df.subject", "word"), key("edge_df.predicate", "word"), key("tokens.token", "token"))).alias("e"))
-    return each.groupBy("e.entry").agg(F.min("token").alias("token"), F.min("word").alias("word"))
+    each = w.select("token", F.explode(F.array(key("edge_df.subject", "word"), key("edge_df.predicate", "word"), key("tokens.token", "token"))).alias("e"))
+    return each.groupBy("e.entry").agg(F.min("token").alias("token"))
 
 
-def p5_key_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Each key's rows and its entry in the vocabulary (null if it has none), of the three skewed fields.
+def _counted_where_met(spark: SparkSession, d: str) -> DataFrame:
+    """(field_name, key_value, n_rows, token): each key's rows and the token of its entry in the vocabulary (null if it has none).
 
     Fragment and replicate: every row meets its key's entry. Heavy keys are
     split into shards, the entry is copied only to those, and the rows of a
@@ -87,10 +87,16 @@ def p5_key_entries(spark: SparkSession, d: str) -> DataFrame:
     rows = _fields(spark, d).withColumn("key", F.concat_ws(SEP, "field_name", "key_value"))
     plan = skew.plan_shards(rows, F.col("key"))
     met = skew.join_by_key(rows, _entries(spark, d), F.col("key"), F.col("entry"), "left", plan, [F.col("rid")])
-    counts = [F.count("*").alias("n"), F.min("token").alias("t"), F.min("word").alias("w")]
-    per_key = skew.aggregate_by_key(met, F.col("key"), counts, [F.sum("n").alias("n_rows"), F.min("t").alias("token"), F.min("w").alias("word")], plan, [F.col("rid")])
+    per_key = skew.aggregate_by_key(met, F.col("key"), [F.count("*").alias("n"), F.min("token").alias("t")], [F.sum("n").alias("n_rows"), F.min("t").alias("token")], plan, [F.col("rid")])
     parts = F.split(skew.KEY, SEP, 2)
-    return per_key.select(parts[0].alias("field_name"), parts[1].alias("key_value"), "n_rows", "token", "word")
+    return per_key.select(parts[0].alias("field_name"), parts[1].alias("key_value"), "n_rows", "token")
+
+
+def p5_key_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Each key's rows and its entry in the vocabulary, of the three skewed fields."""
+    w = table(spark, d, "word2idx").where("token IS NOT NULL").select(F.col("token").alias("__t"), "word")
+    k = _counted_where_met(spark, d)
+    return k.join(w, F.col("token") == F.col("__t"), "left").drop("__t")
 
 
 def p5_key_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +110,7 @@ def p5_key_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that hold at least one fiftieth of their field's rows."""
-    per_key = written(p5_key_entries(spark, d), "per-key")
+    per_key = written(_counted_where_met(spark, d), "per-key")
     totals = per_key.groupBy("field_name").agg(F.sum("n_rows").alias("total"))  # three rows
     return per_key.join(F.broadcast(totals), "field_name").where("n_rows * 50 >= total").select("field_name", "key_value")
 
