@@ -228,8 +228,8 @@ def graph_statistics(edges: DataFrame, sources: int | None = None, seed: int = 4
         return m.select("*", F.lit(None).cast("double").alias("mean_betweenness"), F.lit(None).cast("double").alias("betweenness_error"))
     # each source stands for V / k others; the mean divides by V again
     error = F.lit(0.0) if sources is None else F.coalesce(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.0))
-    b = parts.agg(F.avg("d").alias("mean_betweenness"), error.alias("betweenness_error"))
-    return m.join(b)  # one row each
+    b = parts.agg(F.avg("d").alias("mean"), error.alias("error")).first()
+    return m.select("*", F.lit(b["mean"]).alias("mean_betweenness"), F.lit(b["error"]).alias("betweenness_error"))
 
 
 def top_k_by_degree(edges: DataFrame, k: int) -> DataFrame:

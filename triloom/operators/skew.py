@@ -65,19 +65,6 @@ def hash_int(values: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
         return (h ^ (h >> np.uint32(16))).astype(np.int32)
 
 
-def spread_values(n: int) -> list[int]:
-    """n whole numbers (int) of which the i-th goes to the i-th of n partitions when Spark shuffles by it."""
-    out = np.full(n, -1, np.int64)
-    begin, step = 0, max(64, int(4 * n * (1 + math.log(n + 1))))
-    while (out < 0).any():
-        at = np.arange(begin, begin + step)
-        to, first = np.unique(np.mod(hash_int(at, 42).astype(np.int64), n), return_index=True)
-        open_ = out[to] < 0
-        out[to[open_]] = at[first[open_]]
-        begin += step
-    return out.tolist()
-
-
 def tasks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
