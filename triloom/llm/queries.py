@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,11 +208,14 @@ def p9_check(spark: SparkSession, d: str) -> DataFrame:
     length = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("len"))
     again = areas_.select("area").distinct().join(found.join(length, "doc_id"), "area", "left").groupBy("area").agg(F.count("doc_id").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("chars"))
     c = areas.composition(found, docs, areas_).withColumnRenamed("area", "__a")
-    differ = again.join(c, F.col("area") == F.col("__a"), "full").where("NOT (n <=> documents AND chars <=> characters)").agg(F.count("*").alias("differing"))
-    twice = found.groupBy("doc_id", "area").count().where("count > 1").agg(F.count("*").alias("named_twice"))
-    no_doc = found.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("unknown_documents"))
-    no_area = found.join(areas_, "area", "left_anti").agg(F.count("*").alias("unknown_areas"))
-    return twice.join(no_doc).join(no_area).join(differ)  # one row each
+    counts = {
+        "named_twice": found.groupBy("doc_id", "area").count().where("count > 1"),
+        "unknown_documents": found.join(docs, "doc_id", "left_anti"),
+        "unknown_areas": found.join(areas_, "area", "left_anti"),
+        "differing": again.join(c, F.col("area") == F.col("__a"), "full").where("NOT (n <=> documents AND chars <=> characters)"),
+    }
+    each = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("fault")) for name, df in counts.items()])
+    return each.agg(*[F.count(F.when(F.col("fault") == name, 1)).alias(name) for name in counts])
 
 
 QUERIES = {
