@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Iterator, Sequence
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, int]] = []  # session, path, and the thread that wrote it
 
 
 def build_session(app: str = "triloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,7 +57,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{work_folder(spark)}/triloom/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -84,19 +85,19 @@ def drop(*tables: DataFrame) -> None:
 def release(tables: Sequence[str]) -> None:
     """Removes tables that nothing reads any more, by path."""
     gone = set(tables)
-    for spark, path in [w for w in _written if w[1] in gone]:
+    for spark, path, _ in [w for w in _written if w[1] in gone]:
         remove(spark, path)
     _written[:] = [w for w in _written if w[1] not in gone]
 
 
-def mark() -> int:
-    """A point in the list of written tables; `release_since` takes it."""
-    return len(_written)
+def mark() -> set[str]:
+    """The tables there are now; `release_since` removes what this thread has written after."""
+    return {path for _, path, _ in _written}
 
 
-def release_since(point: int, *keep: DataFrame) -> None:
-    kept = {getattr(t, "_triloom_path", None) for t in keep}
-    release([path for _, path in _written[point:] if path not in kept])
+def release_since(point: set[str], *keep: DataFrame) -> None:
+    kept = point | {getattr(t, "_triloom_path", None) for t in keep}
+    release([path for _, path, thread in _written if thread == threading.get_ident() and path not in kept])
 
 
 @contextmanager
@@ -117,7 +118,7 @@ def sweep(spark: SparkSession, older_than_hours: float = 48.0) -> int:
     if not fs.exists(root):
         return 0
     limit = (time.time() - older_than_hours * 3600) * 1000
-    own = {path.rpartition("/")[2] for _, path in _written}
+    own = {path.rpartition("/")[2] for _, path, _ in _written}
     old = [x.getPath() for x in fs.listStatus(root) if x.getModificationTime() < limit and x.getPath().getName() not in own]
     for path in old:
         fs.delete(path, True)
@@ -168,7 +169,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
             remove(spark, path)
         except Exception:

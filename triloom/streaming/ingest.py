@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from triloom.operators import vocab
 from triloom.operators.ranking import globally_indexed
-from triloom.session import exists
+from triloom.session import exists, scope, written
 
 WORDS = "token int, word string, batch bigint"
 
@@ -25,16 +25,17 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def append_batch(triples: DataFrame, batch: int, folder: str) -> None:
     """Adds the words and edges of one batch to the tables `words` and `edges` of the folder."""
     spark = triples.sparkSession
-    known = _read(spark, f"{folder}/words", WORDS).where(F.col("batch") < batch)
-    t = vocab.complete(triples).select(*vocab.TRIPLE).persist()
-    fresh = vocab.terms(t).join(known.select("word"), "word", "left_anti")
-    first = (known.agg(F.max("token")).first()[0] if known.head(1) else None)
-    begin = 0 if first is None else first + 1
-    new = globally_indexed(fresh, [F.col("word")], "i").select((F.col("i") + begin).cast("int").alias("token"), "word", F.lit(batch).alias("batch"))
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/words")
-    words = _read(spark, f"{folder}/words", WORDS).where(F.col("batch") <= batch).select("token", "word")
-    vocab.encoded(t, words).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/edges")
-    t.unpersist()
+    with scope():
+        t = written(vocab.complete(triples).select(*vocab.TRIPLE), "batch")
+        terms = written(vocab.terms(t), "batch-terms")
+        known = _read(spark, f"{folder}/words", WORDS).where(F.col("batch") < batch)
+        last = known.agg(F.max("token")).first()[0]
+        old = written(known.join(terms, "word", "left_semi").select("token", "word"), "batch-known")  # what follows reads only the batch's words
+        fresh = globally_indexed(terms.join(old, "word", "left_anti"), [F.col("word")], "i")
+        new = written(fresh.select((F.col("i") + (0 if last is None else last + 1)).cast("int").alias("token"), "word"), "batch-new")
+        new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/words")
+        edges = vocab.encoded(t, old.unionByName(new)).withColumn("batch", F.lit(batch))
+        edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/edges")
 
 
 def ingest(source: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
