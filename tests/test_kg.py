@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from triloom.operators import corpus, graph, literals, vocab, walks
+from triloom.plans import kg
 
 
 def edges(spark, data, weights=None):
@@ -164,3 +165,27 @@ def test_imported_sequences(spark):
     assert rows(walks.from_sequences(v)) == [(1, 0, 5, 6), (2, 0, 6, 5)]
     t = spark.createDataFrame([(1, 0, 5), (1, 0, 5), (1, 1, None), (1, 2, -1)], "walk_id bigint, pos int, token int")
     assert rows(corpus.unpadded(t)) == [(1, 0, 5)]
+
+
+def test_pair_totals_count_parallel_edges_before_tokens_meet(spark, tmp_path, monkeypatch):
+    one = [("a", "p", "b", 1.0)] * 2000 + [("a", "q", "b", 1.0)] * 1000
+    spark.createDataFrame(one, "subject string, predicate string, object string, weights double").write.parquet(str(tmp_path / "edge_df.parquet"))
+    met, seen = corpus._met, []
+    monkeypatch.setattr(corpus, "_met", lambda toks, window: (seen.append(toks.count()), met(toks.limit(100), window))[1])
+    got = rows(kg.pair_totals(spark, str(tmp_path)))
+    assert seen == [8]  # two walks a, p or q, b
+    a, b, p, q = range(4)
+    half = [(a, b, 18_000_000), (a, p, 12_000_000), (a, q, 6_000_000), (b, p, 12_000_000), (b, q, 6_000_000)]
+    assert got == sorted([*half, *[(x, c, n) for c, x, n in half]])
+
+
+def test_counted_hops_are_those_fanned_out(spark):
+    e = spark.createDataFrame([(0, 9, 1), (0, 9, 1), (0, 8, 1), (1, 9, 0), (1, 7, 2)], "subject int, predicate int, object int")
+    for walk in (lambda how: walks.random_walks(e, None, 3, 5, multi_edge=how), lambda how: walks.bfs_walks(e, None, 3, multi_edge=how)):
+        every = walk("fanout")
+        counts = walk("counted")
+        assert rows(counts.selectExpr("walk_id", "step", "src", "dst", "n")) == rows(every.groupBy("walk_id", "step", "src", "dst").count())
+        tokens = corpus.tokens(every)
+        assert rows(corpus.counted_tokens(counts)) == rows(tokens.groupBy("walk_id", "pos", "token").count())
+        assert rows(corpus.pair_totals(corpus.counted_tokens(counts), 2)) == rows(corpus.pair_totals(tokens, 2))
+        assert rows(corpus.token_counts(corpus.counted_tokens(counts))) == rows(corpus.token_counts(tokens))
