@@ -195,6 +195,47 @@ def test_top_k(spark):
     assert rows(search.top_k(ties, spark.createDataFrame([("a", [2.0])], "query_id string, query array<double>"), 3), "token") == [(0,), (1,), (2,)]
 
 
+def parallel(spark, n):
+    """Two walks of one hop over n parallel edges of one predicate, and a path beside them."""
+    return spark.createDataFrame([("a", "p", "b")] * n + [("c", "q", "d"), ("d", "q", "e")], "subject string, predicate string, object string")
+
+
+def trained_on(monkeypatch, spark, **settings):
+    """The first rows of data that `fit` trains on, in a graph of 1000 parallel edges, and the model."""
+    seen = []
+    monkeypatch.setattr(trainer, "fit", lambda data, model, *a, **kw: (seen.append(data.limit(100).collect()), trainer.Fit(trainer.initial(spark, model, 1), model))[1])
+    m = KGEmbedder(spark, walk_depth=2, walk_number=1, vector_size=4, window_size=2, **settings).fit(parallel(spark, 1000))
+    monkeypatch.undo()
+    return seen[0], m
+
+
+def test_skipgram_trains_on_counts_of_parallel_edges(spark, monkeypatch):
+    data, m = trained_on(monkeypatch, spark)
+    words = {r.token: r.word for r in m.word2idx.collect()}
+    got = [(words[r.center], words[r.context], r.n) for r in data]
+    assert len(got) == 6 + 14 + 6  # walks a p b, c q d q e and d q e; before, three million rows
+    assert sorted(x for x in got if x[0] in "ab") == [(x, y, 10**6) for x, y in ("ab", "ap", "ba", "bp")]
+    assert {n for c, _, n in got if c in "cde"} == {1}
+
+
+def test_a_counted_pair_weighs_as_its_copies():
+    m = models.SkipGram(6, 3, 0)
+    p = {k: v * 3 for k, v in m.params(2).items()}
+    once = {"center": np.array([1, 2]), "target": np.array([[3], [4]])}
+    loss, g = m.grads(p, once | {"n": np.array([3, 1])})
+    copies = {"center": np.array([1, 1, 1, 2]), "target": np.array([[3], [3], [3], [4]])}
+    loss4, g4 = m.grads(p, copies)
+    assert abs(loss * 2 - loss4 * 4) < 1e-5
+    assert all(np.allclose(g[k][1] * 2, g4[k][1] * 4, atol=1e-6) for k in g)
+
+
+def test_counted_training_lowers_the_mean_loss_of_all_pairs(spark):
+    data = spark.createDataFrame([(i % 10, (i % 10) ^ 1, 1 + 99999 * (i % 10 < 2)) for i in range(400)], "center int, context int, n bigint")
+    f = trainer.fit(data, models.SkipGram(10, 8, 3), epochs=3, rate=0.02, batch_size=40, counted=True)
+    assert abs(f.losses[0] - 4 * np.log(2)) < 0.5
+    assert f.losses[-1] < f.losses[0]
+
+
 def test_order_aware_pipeline(spark):
     g = generators.growing_random(spark, 15, 2, ["p"], seed=3)
     for kind in ("skipgram", "cbow"):
