@@ -236,6 +236,29 @@ def test_counted_training_lowers_the_mean_loss_of_all_pairs(spark):
     assert f.losses[-1] < f.losses[0]
 
 
+@pytest.mark.parametrize("order_aware", [True])
+def test_cbow_trains_on_counts_of_parallel_edges(spark, monkeypatch, order_aware):
+    data, m = trained_on(monkeypatch, spark, embedding_model="cbow", order_aware=order_aware)
+    words = {r.token: r.word for r in m.word2idx.collect()}
+    got = {words[r.center]: (sorted(words[t] for t in r.context), list(r.n)) for r in data if words[r.center] in "abp"}
+    assert got == {"a": (["b", "p"], [1000] * 2), "b": (["a", "p"], [1000] * 2), "p": (["a", "b"], [1000] * 2)}  # before, two million contexts in a row
+
+
+@pytest.mark.parametrize("model", [models.OrderAwareCbow(6, 3, 0, 2)], ids=lambda x: type(x).__name__)
+def test_a_counted_context_is_as_its_copies(model):
+    p = {k: v * 3 for k, v in model.params(2).items()}
+    copies = [np.array([[0, 0, 0, 1], [2, 3, 4, 5]]), np.array([[-2, -2, -2, 1], [-2, -1, 1, 2]]), np.array([1, 3])]
+    once = [np.array([[0, 1, -1, -1], [2, 3, 4, 5]]), np.array([[-2, 1, -1, -1], [-2, -1, 1, 2]]), np.array([1, 3]), np.array([[3, 1, -1, -1], [1, 1, 1, 1]])]
+    if len(model.columns) == 2:
+        del copies[1], once[1]
+    a, b = (model.grads(p, {r: i for r, (_, i) in model.rows(tuple(x), np.random.default_rng(1)).items()}) for x in (copies, once))
+    assert abs(a[0] - b[0]) < 1e-5
+    for k, (ids, g) in a[1].items():
+        dense = [np.zeros_like(p[k]), np.zeros_like(p[k])]
+        dense[0][ids], dense[1][b[1][k][0]] = g, b[1][k][1]
+        assert np.allclose(*dense, atol=1e-6)
+
+
 def test_order_aware_pipeline(spark):
     g = generators.growing_random(spark, 15, 2, ["p"], seed=3)
     for kind in ("skipgram", "cbow"):
