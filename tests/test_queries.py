@@ -33,3 +33,14 @@ def test_valid_and_rejected_lines_and_others_are_all(spark, duck):
     blank = duck.execute(r"SELECT count(*) FROM kg_raw_lines WHERE regexp_full_match(raw, '\s*') OR (fmt IN ('nt', 'nq') AND regexp_matches(raw, '^\s*#'))").fetchone()[0]
     assert good.count() + bad.count() + blank == total
     assert good.join(bad, "line_id").count() == 0
+
+
+@pytest.mark.parametrize("name", ["fit_ordered_skipgram_invariants"])
+def test_fits_train_on_counts_of_parallel_edges(spark, tmp_path, monkeypatch, name):
+    from triloom.train import trainer
+
+    seen = []
+    monkeypatch.setattr(trainer, "fit", lambda data, model, *a, **kw: (seen.append(data.limit(100).count()), trainer.Fit(trainer.initial(spark, model, 1), model, [2.0, 1.0]))[1])
+    spark.createDataFrame([("a", "p", "b", 1.0)] * 1000 + [("b", "q", "c", 1.0)], "subject string, predicate string, object string, weights double").write.parquet(str(tmp_path / "edge_df.parquet"))
+    assert kg.QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert 0 < seen[0] < 100  # before, more than a million pairs, or contexts in a row
