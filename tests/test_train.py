@@ -236,7 +236,7 @@ def test_counted_training_lowers_the_mean_loss_of_all_pairs(spark):
     assert f.losses[-1] < f.losses[0]
 
 
-@pytest.mark.parametrize("order_aware", [True])
+@pytest.mark.parametrize("order_aware", [False, True])
 def test_cbow_trains_on_counts_of_parallel_edges(spark, monkeypatch, order_aware):
     data, m = trained_on(monkeypatch, spark, embedding_model="cbow", order_aware=order_aware)
     words = {r.token: r.word for r in m.word2idx.collect()}
@@ -244,7 +244,7 @@ def test_cbow_trains_on_counts_of_parallel_edges(spark, monkeypatch, order_aware
     assert got == {"a": (["b", "p"], [1000] * 2), "b": (["a", "p"], [1000] * 2), "p": (["a", "b"], [1000] * 2)}  # before, two million contexts in a row
 
 
-@pytest.mark.parametrize("model", [models.OrderAwareCbow(6, 3, 0, 2)], ids=lambda x: type(x).__name__)
+@pytest.mark.parametrize("model", [models.Cbow(6, 3), models.OrderAwareCbow(6, 3, 0, 2)], ids=lambda x: type(x).__name__)
 def test_a_counted_context_is_as_its_copies(model):
     p = {k: v * 3 for k, v in model.params(2).items()}
     copies = [np.array([[0, 0, 0, 1], [2, 3, 4, 5]]), np.array([[-2, -2, -2, 1], [-2, -1, 1, 2]]), np.array([1, 3])]
