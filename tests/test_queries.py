@@ -35,7 +35,7 @@ def test_valid_and_rejected_lines_and_others_are_all(spark, duck):
     assert good.join(bad, "line_id").count() == 0
 
 
-@pytest.mark.parametrize("name", ["fit_ordered_skipgram_invariants", "fit_cbow", "fit_skipgram_invariants"])
+@pytest.mark.parametrize("name", ["fit_ordered_skipgram_invariants", "fit_cbow", "fit_skipgram_invariants", "transform_wide"])
 def test_fits_train_on_counts_of_parallel_edges(spark, tmp_path, monkeypatch, name):
     from triloom.train import trainer
 
