@@ -259,6 +259,30 @@ def test_a_counted_context_is_as_its_copies(model):
         assert np.allclose(*dense, atol=1e-6)
 
 
+def test_one_long_list_does_not_widen_the_others():
+    import tracemalloc
+
+    n = np.r_[50_000, np.full(20_000, 2)]
+    context = trainer.Lists(np.arange(n.sum()) % 40, n)
+    assert context[np.array([2, 1])].tolist() == [[(50_002) % 40, 50_003 % 40], [50_000 % 40, 50_001 % 40]]
+    m = models.Cbow(40, 3)
+    p = m.params(2)
+    tracemalloc.start()
+    trainer.local_epoch(m, {k: np.arange(40) for k in p}, p, np.arange(40), (context, np.arange(len(n)) % 40), 0.01, 128, np.random.default_rng(1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2e8  # padded to the longest, eight billion bytes a column
+
+
+def test_cbow_pools_change_with_every_batch():
+    m = models.Cbow(1000, 3, pool=50)
+    rng = np.random.default_rng(1)
+    a, b = (m.rows((CONTEXT, CENTER), rng, np.arange(500))["pool"][1] for _ in range(2))
+    assert all(len(x) == 50 == len(set(x.tolist())) and np.array_equal(x, np.sort(x)) and x.max() < 500 for x in (a, b))
+    assert not np.array_equal(a, b)
+    assert m.held() >= 1000
+
+
 def test_order_aware_pipeline(spark):
     g = generators.growing_random(spark, 15, 2, ["p"], seed=3)
     for kind in ("skipgram", "cbow"):
