@@ -283,6 +283,20 @@ def test_cbow_pools_change_with_every_batch():
     assert m.held() >= 1000
 
 
+def test_an_epoch_moves_runs_of_rows(spark):
+    data = spark.createDataFrame([([i % 5, (i + 1) % 5], i % 5, [1, 2]) for i in range(3000)], "context array<int>, center int, n array<bigint>")
+    columns = ["context", "center", "n"]
+    sharded, count, shards = trainer._sharded(data, models.Cbow(5, 3), columns, 1000)
+    runs = trainer._packed(sharded, columns).orderBy("row").collect()
+    assert (count, shards, len({r.shard for r in runs})) == (3000, 3, 3)
+    assert len(runs) <= 12  # before, an epoch shuffled and sorted all 3000
+    center = np.concatenate([np.frombuffer(r.center, np.int32) for r in runs])
+    assert center.tolist() == sorted(i % 5 for i in range(3000))
+    n = np.concatenate([np.frombuffer(r.n_n, np.int32) for r in runs])
+    context = trainer.Lists(np.concatenate([np.frombuffer(r.context, np.int32) for r in runs]), n)
+    assert context[np.arange(3000)].tolist() == [[c, (c + 1) % 5] for c in center.tolist()]
+
+
 def test_order_aware_pipeline(spark):
     g = generators.growing_random(spark, 15, 2, ["p"], seed=3)
     for kind in ("skipgram", "cbow"):
