@@ -2,7 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from triloom.operators import corpus, graph, literals, vocab, walks
+from triloom.operators import corpus, graph, literals, skew, vocab, walks
 from triloom.plans import kg
 
 
@@ -189,3 +189,14 @@ def test_counted_hops_are_those_fanned_out(spark):
         assert rows(corpus.counted_tokens(counts)) == rows(tokens.groupBy("walk_id", "pos", "token").count())
         assert rows(corpus.pair_totals(corpus.counted_tokens(counts), 2)) == rows(corpus.pair_totals(tokens, 2))
         assert rows(corpus.token_counts(corpus.counted_tokens(counts))) == rows(corpus.token_counts(tokens))
+
+
+def test_only_edges_that_walks_took_are_counted(spark, monkeypatch):
+    left = []
+    join = skew.join_by_key
+    monkeypatch.setattr(skew, "join_by_key", lambda a, *x, **kw: (left.append(a.columns), join(a, *x, **kw))[1])
+    e = spark.createDataFrame([(1, 2, 3)] * 4 + [(1, 5, 3), (3, 2, 4), (7, 2, 8)], "subject int, predicate int, object int")
+    hops = spark.createDataFrame([(1, 0, 1, 3), (2, 0, 1, 3), (1, 1, 3, 4)], "walk_id bigint, step int, src int, dst int")
+    got = {(r.walk_id, r.step): (sorted(tuple(p) for p in r.predicates), r.n) for r in walks.counted(hops, e).collect()}
+    assert got == {(1, 0): ([(2, 4), (5, 1)], 5), (2, 0): ([(2, 4), (5, 1)], 5), (1, 1): ([(2, 1)], 1)}
+    assert left[0] == ["__s", "__o", "predicate"]  # before, all edges were grouped first
