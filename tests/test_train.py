@@ -297,6 +297,16 @@ def test_an_epoch_moves_runs_of_rows(spark):
     assert context[np.arange(3000)].tolist() == [[c, (c + 1) % 5] for c in center.tolist()]
 
 
+@pytest.mark.parametrize("model", [models.OrderAwareSkipGram(5, 4, 2, 2), models.OrderAwareCbow(5, 4, 2, 2)], ids=lambda x: type(x).__name__)
+def test_positions_are_not_named_by_every_row(spark, model):
+    assert model.whole == ("position",)
+    assert [t for t, _ in model.touched()] == ["in", "out"]  # before, each row of data was repeated for each distance
+    data = spark.createDataFrame([([i % 5] if "cbow" in type(model).__name__.lower() else i % 5, [1] if "cbow" in type(model).__name__.lower() else 1, (i + 1) % 5) for i in range(50)], "context array<int>, distance array<int>, center int" if "cbow" in type(model).__name__.lower() else "context int, distance int, center int")
+    f = trainer.fit(data, model, epochs=1, rate=0.05)
+    first, got = model.params(42)["position"], vectors(f)
+    assert not np.array_equal(got[2, 3], first[3])
+
+
 def test_order_aware_pipeline(spark):
     g = generators.growing_random(spark, 15, 2, ["p"], seed=3)
     for kind in ("skipgram", "cbow"):
