@@ -200,3 +200,13 @@ def test_only_edges_that_walks_took_are_counted(spark, monkeypatch):
     got = {(r.walk_id, r.step): (sorted(tuple(p) for p in r.predicates), r.n) for r in walks.counted(hops, e).collect()}
     assert got == {(1, 0): ([(2, 4), (5, 1)], 5), (2, 0): ([(2, 4), (5, 1)], 5), (1, 1): ([(2, 1)], 1)}
     assert left[0] == ["__s", "__o", "predicate"]  # before, all edges were grouped first
+
+
+def test_encoding_drops_terms_that_are_looked_up(spark, monkeypatch):
+    left = []
+    join = skew.join_by_key
+    monkeypatch.setattr(skew, "join_by_key", lambda a, *x, **kw: (left.append(set(a.columns) & {"subject", "predicate", "object"}), join(a, *x, **kw))[1])
+    t = spark.createDataFrame([("a", "p", "b"), ("b", "q", "a"), ("a", "p", None)], "subject string, predicate string, object string")
+    v = vocab.vocabulary(t)
+    assert rows(vocab.encoded(t, v)) == [(0, 2, 1), (1, 3, 0)]
+    assert [len(x) for x in left] == [2, 1]  # the predicates are broadcast; before, all three strings went through every shuffle
