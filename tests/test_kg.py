@@ -191,6 +191,33 @@ def test_counted_hops_are_those_fanned_out(spark):
         assert rows(corpus.token_counts(corpus.counted_tokens(counts))) == rows(corpus.token_counts(tokens))
 
 
+def test_walks_are_the_same_whoever_looks_vertices_up(spark, monkeypatch):
+    e = spark.createDataFrame([(i % 40, i % 3, (i * i) % 41, 1.0 + i % 2) for i in range(600)], "subject int, predicate int, object int, weights double")
+    seen, make = [], graph.walk_table
+    for how, weighted in (("counted", False), ("sample", True)):
+        got = []
+        for steps in (None, 0):
+            monkeypatch.setattr(graph, "walk_table", lambda e, w, _, steps=steps: (seen.append((t := make(e, w, steps))[1].columns), t)[1])
+            w = walks.random_walks(e, None, 3, 2, weighted=weighted, multi_edge=how)
+            got.append(rows(w.withColumn("predicates", F.array_sort("predicates")) if how == "counted" else w))
+        assert got[0] == got[1]
+        assert got[0]
+    assert ["next_first" in c for c in seen] == [True, False] * 2
+
+
+def test_only_parallel_edges_are_met_again(spark, monkeypatch):
+    """Edges that are surely the only ones between their vertices; before, all edges were joined with the hops again."""
+    met, join = [], walks._all_edges
+    monkeypatch.setattr(walks, "_all_edges", lambda hops, edges, how: (met.append(rows(edges, "subject", "predicate", "object")), join(hops, edges, how))[1])
+    e = spark.createDataFrame([(0, 9, i) for i in range(1, 2000)] + [(0, 8, 700)] * 2, "subject int, predicate int, object int").coalesce(1)
+    w = walks.random_walks(e, spark.createDataFrame([(0,)], "v int"), 1, 500, multi_edge="counted")
+    assert len(met[0]) < 20
+    assert {(0, 8, 700), (0, 9, 700)} <= set(met[0])
+    n = {r.dst: r.n for r in w.collect()}
+    assert len(n) > 300
+    assert {t: k for t, k in n.items() if k != 1} == ({700: 3} if 700 in n else {})
+
+
 def test_only_edges_that_walks_took_are_counted(spark, monkeypatch):
     left = []
     join = skew.join_by_key

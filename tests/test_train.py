@@ -106,6 +106,40 @@ def test_pool_smaller_than_the_vocabulary(spark):
     assert 0 < changed <= 2 * 3 * 50
 
 
+@pytest.mark.parametrize("model", [models.SkipGram(9000, 4), models.Cbow(9000, 3)], ids=lambda x: type(x).__name__)
+def test_first_values_of_rows_are_those_of_their_blocks(model):
+    rows_ = np.r_[0, 1, 5, np.arange(4000, 4200), 8190, 8999]
+    for name, table in model.params(7).items():
+        assert np.array_equal(model.initial_rows(name, rows_, 7), table[rows_])
+        assert model.initial_rows(name, rows_[:0], 7).shape == (0, table.shape[1])
+
+
+def test_first_values_are_not_sent_to_shards(spark, monkeypatch):
+    names, write = [], trainer.written
+    monkeypatch.setattr(trainer, "written", lambda df, name, *a: (names.append((name, "vec" in df.columns)), write(df, name, *a))[1])
+    data = spark.createDataFrame([([i % 5, (i + 1) % 5], (i + 2) % 5) for i in range(500)], "context array<int>, center int")
+    f = trainer.fit(data, models.Cbow(5, 4), epochs=2, rate=0.05, batch_size=50, rows_a_task=200)
+    assert [n for n, vec in names if vec] == ["changed", "params", "changed", "params"]  # before, the first values were a table too
+    assert f.losses[1] < f.losses[0]
+    assert f.params.count() == 10
+
+
+@pytest.mark.parametrize("model", [models.SkipGram(50, 4, 3), models.Cbow(50, 4, pool=20)], ids=lambda x: type(x).__name__)
+def test_rows_looked_up_at_once_train_alike(model, monkeypatch):
+    rng, n = np.random.default_rng(5), np.full(300, 3)
+    ids = {t: np.sort(rng.choice(50, 40, replace=False)) for t in model.shapes()}
+    named = [ids[t][rng.integers(0, 40, 900 if c == "context" and isinstance(model, models.Cbow) else 300)] for t, c in zip(model.tables, model.columns, strict=True)]
+    data = (trainer.Lists(named[0], n), named[1]) if isinstance(model, models.Cbow) else tuple(named)
+    pool, got = ids[model.pooled][3:33], []
+    for tables in (model.tables, ()):
+        monkeypatch.setattr(type(model), "tables", tables)
+        p = {t: model.initial_rows(t, r, 1) for t, r in ids.items()}
+        got.append((p, trainer.local_epoch(model, ids, p, pool, data, 0.05, 64, np.random.default_rng(2))))
+    (p, (loss, steps)), (q, (loss_, steps_)) = got
+    assert loss == loss_
+    assert all(np.array_equal(p[t], q[t]) and np.array_equal(steps[t], steps_[t]) for t in p)
+
+
 def test_other_models_train(spark):
     cb = spark.createDataFrame([([i % 5, (i + 1) % 5], [-1, 1], (i + 2) % 5, i % 5) for i in range(500)], "context array<int>, distance array<int>, center int, one int")
     for m in (models.Cbow(5, 4), models.Cbow(5, 4, pool=2), models.OrderAwareCbow(5, 4, 2, 2)):
