@@ -218,6 +218,16 @@ def test_only_parallel_edges_are_met_again(spark, monkeypatch):
     assert {t: k for t, k in n.items() if k != 1} == ({700: 3} if 700 in n else {})
 
 
+def test_contexts_are_sorted_once_a_walk(spark):
+    t = spark.createDataFrame([(1, 2, 5, 1), (1, 0, 7, 2), (1, 1, 9, 3), (1, 1, 4, 1), (1, 3, 7, 1), (2, 0, 3, 1)], "walk_id bigint, pos int, token int, n bigint")
+    c = corpus.cbow_contexts(t, 2)
+    assert "array_sort" not in c._jdf.queryExecution().optimizedPlan().toString()  # before, for every center
+    got = {(r.pos, r.center): (list(r.context), list(r.distance), list(r.n)) for r in c.collect()}
+    assert got[1, 9] == got[1, 4] == ([7, 5, 7], [-1, 1, 2], [2, 1, 1])
+    assert got[2, 5] == ([7, 4, 9, 7], [-2, -1, -1, 1], [2, 1, 3, 1])
+    assert set(got) == {(0, 7), (1, 9), (1, 4), (2, 5), (3, 7)}
+
+
 def test_only_edges_that_walks_took_are_counted(spark, monkeypatch):
     left = []
     join = skew.join_by_key

@@ -140,6 +140,18 @@ def test_rows_looked_up_at_once_train_alike(model, monkeypatch):
     assert all(np.array_equal(p[t], q[t]) and np.array_equal(steps[t], steps_[t]) for t in p)
 
 
+def test_rows_are_set_whole():
+    rng = np.random.default_rng(3)
+    table, ids = rng.random((50, 5), np.float32), np.array([40, 3, 7])
+    want, new = table.copy(), rng.random((3, 5), np.float32)
+    want[ids] = new
+    trainer._put(table, ids, new)
+    assert np.array_equal(table, want)
+    trainer._put(table, ids[:0], new[:0])
+    trainer._put(wide_ := table.astype(np.float64), ids, new * 2)
+    assert np.array_equal(wide_[ids], (new * 2).astype(np.float64))
+
+
 def test_other_models_train(spark):
     cb = spark.createDataFrame([([i % 5, (i + 1) % 5], [-1, 1], (i + 2) % 5, i % 5) for i in range(500)], "context array<int>, distance array<int>, center int, one int")
     for m in (models.Cbow(5, 4), models.Cbow(5, 4, pool=2), models.OrderAwareCbow(5, 4, 2, 2)):
